@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from batchloom.functions.fields import json_null
-
-
-def _nullable_text(value: Column) -> Column:
-    """Written as ``null`` when absent, where a plain NULL field would be left out."""
-    return F.coalesce(value.cast("variant"), json_null())
-
-
-def canonical_event(event: Column) -> Column:
-    """One event with its wire keys in fixed order; an empty id and a zero receipt time are left out."""
-    return F.struct(
-        F.nullif(event["event_id"], F.lit("")).alias("id"),
-        event["name"].alias("event"),
-        event["timestamp_ms"].alias("timestamp"),
-        F.nullif(event["received_at_ms"], F.lit(0).cast("bigint")).alias("received_at"),
-        event["project_id"].alias("projectid"),
-        event["org_id"].alias("orgid"),
-        event["funnel_id"].alias("funnelid"),
-        _nullable_text(event["user_id"]).alias("user_id"),
-        _nullable_text(event["anonymous_id"]).alias("anonymous_id"),
-        _nullable_text(event["session_id"]).alias("session_id"),
-        event["properties"].alias("properties"),
-        event["context"].alias("context"),
-    )
+from batchloom.functions.fields import JSON_NULL
+from batchloom.schemas import EVENT_FIELDS
+
+# Left out of the text when empty; every other key is always written.
+_OMITTED = {"id": "nullif(e.event_id, '')", "received_at": "nullif(e.received_at_ms, 0L)"}
+
 
+def _canonical_value(key: str, column: str, kind: str) -> str:
+    if key in _OMITTED:
+        return _OMITTED[key]
+    if kind == "nullable text":
+        # Written as null when absent, where a plain NULL field would be left out.
+        return f"coalesce(CAST(e.{column} AS variant), {JSON_NULL})"
+    return f"e.{column}"
 
-def canonical_batch_json(batch_id: Column, events: Column) -> Column:
+
+def canonical_batch_json(batch_id: str, events: str) -> Column:
     """Text of a batch: fixed field order, object keys sorted at every depth, array order kept."""
-    return F.to_json(F.struct(batch_id.alias("batch_id"), F.transform(events, canonical_event).alias("events")))
+    fields = ", ".join(f"'{key}', {_canonical_value(key, column, kind)}" for key, column, kind in EVENT_FIELDS)
+    return F.expr(
+        f"to_json(named_struct('batch_id', {batch_id}, 'events', transform({events}, e -> named_struct({fields}))))"
+    )
 
 
 def payload_hash(canonical_text: Column) -> Column:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from batchloom.functions.fields import as_array, as_object
+from batchloom.functions.fields import ARRAY, OBJECT
 
 _INT64 = range(-(2**63), 2**63)
 
@@ -22,6 +22,14 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def _as_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", OBJECT)
+
+
+def _as_array(value: Column) -> Column:
+    return F.try_variant_get(value, "$", ARRAY)
+
+
 def _at(document: Column, path: str) -> Column:
     return document if path == "$" else F.try_variant_get(document, path, "variant")
 
@@ -46,10 +54,10 @@ def _scalar_equals(value: Column, scalar) -> Column:
 def _contains(document: Column, path: str, pattern) -> Column:
     if isinstance(pattern, dict):
         if not pattern:
-            return as_object(_at(document, path)).isNotNull()
+            return _as_object(_at(document, path)).isNotNull()
         return _all([_contains_key(document, path, key, value) for key, value in pattern.items()])
     if isinstance(pattern, list):
-        elements = as_array(_at(document, path))
+        elements = _as_array(_at(document, path))
         return _all(
             [elements.isNotNull()]
             + [
@@ -63,12 +71,12 @@ def _contains(document: Column, path: str, pattern) -> Column:
 def _contains_key(document: Column, path: str, key: str, pattern) -> Column:
     if "'" in key or "]" in key or "\\" in key:
         # No path can spell this key: look it up in the object's fields.
-        return _contains(F.try_element_at(as_object(_at(document, path)), F.lit(key)), "$", pattern)
+        return _contains(F.try_element_at(_as_object(_at(document, path)), F.lit(key)), "$", pattern)
     return _contains(document, f"{path}['{key}']", pattern)
 
 
 def json_contains(document: Column, pattern) -> Column:
     found = _contains(document, "$", pattern)
     if not isinstance(pattern, (dict, list)):
-        found = F.coalesce(found, F.lit(False)) | F.exists(as_array(document), lambda e: _scalar_equals(e, pattern))
+        found = F.coalesce(found, F.lit(False)) | F.exists(_as_array(document), lambda e: _scalar_equals(e, pattern))
     return F.coalesce(found, F.lit(False))

@@ -2,109 +2,90 @@
 
 Rules: keys match in any letter case and the last spelling wins; an absent or ``null`` value is "no value";
 text must be a JSON string, integers must be JSON integers in the 64-bit range, objects must be objects.
+
+The functions take and give SQL expression text, so that a whole event is one expression and not hundreds of
+calls between Python and the JVM; wrap the result in ``F.expr``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from batchloom.schemas import EVENT_FIELDS
 
+# The wire decoder takes neither single-quoted text nor NaN / Infinity.
+STRICT_JSON = "map('allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
+JSON_NULL = "parse_json('null')"
 
-# The wire decoder takes neither single-quoted text nor NaN / Infinity.
-STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-
+_SQL_TYPE = {"text": "string", "nullable text": "string", "integer": "bigint"}
+_JSON_TYPE = {"text": "STRING", "nullable text": "STRING", "integer": "BIGINT"}
+_ZERO = {"text": "''", "integer": "0L", "object": JSON_NULL}
 
-def json_null() -> Column:
-    return F.parse_json(F.lit("null"))
 
+def json_fields(text: str) -> str:
+    """Raw values of a JSON object by lower-case key; NULL when the text is not an object.
 
-def is_json_null(value: Column) -> Column:
-    return F.coalesce(F.is_variant_null(value), F.lit(False))
+    Keys are taken in text order, so of several spellings the last one wins. Bytes after the first JSON
+    value are ignored.
+    """
+    return fold_keys(f"from_json({text}, '{OBJECT}', {STRICT_JSON})")
 
 
-def json_document(value: Column) -> Column:
-    """An absent document is the JSON literal ``null``, not SQL NULL; ``{}`` stays ``{}``."""
-    return F.coalesce(value, json_null())
+def is_null_text(text: str) -> str:
+    """The text ``null`` decodes to an empty record; other non-objects do not decode."""
+    return f"coalesce(is_variant_null(try_parse_json({text})), false)"
 
 
-def fold_keys(fields: Column) -> Column:
-    """Lower-case the keys of a map; of several spellings the last one wins."""
-    return F.transform_keys(fields, lambda key, _: F.lower(key))
+def fold_keys(fields: str) -> str:
+    return f"transform_keys({fields}, (key, value) -> lower(key))"
 
 
-def as_object(value: Column) -> Column:
+def as_object(value: str) -> str:
     """The fields of a JSON object as a map, NULL for anything else."""
-    return F.try_variant_get(value, "$", OBJECT)
+    return f"try_variant_get({value}, '$', '{OBJECT}')"
 
 
-def as_array(value: Column) -> Column:
+def as_array(value: str) -> str:
     """The elements of a JSON array, NULL for anything else."""
-    return F.try_variant_get(value, "$", ARRAY)
-
-
-def has_value(value: Column) -> Column:
-    return value.isNotNull() & ~F.is_variant_null(value)
-
-
-def is_json_string(value: Column) -> Column:
-    return F.schema_of_variant(value) == "STRING"
+    return f"try_variant_get({value}, '$', '{ARRAY}')"
 
 
-def is_json_integer(value: Column) -> Column:
-    return F.schema_of_variant(value) == "BIGINT"
+def has_value(value: str) -> str:
+    return f"({value} IS NOT NULL AND NOT is_variant_null({value}))"
 
 
-def text_field(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
-
-def integer_field(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "bigint")
-
-
-def wrong_type(value: Column, kind: str) -> Column:
+def wrong_type(value: str, kind: str) -> str:
     """True where a present, non-null value has the wrong JSON type for its field."""
     if kind == "object":
-        fits = as_object(value).isNotNull()
-    elif kind == "integer":
-        fits = is_json_integer(value)
+        fits = f"{as_object(value)} IS NOT NULL"
     else:
-        fits = is_json_string(value)
-    return has_value(value) & ~fits
+        fits = f"schema_of_variant({value}) = '{_JSON_TYPE[kind]}'"
+    return f"({has_value(value)} AND NOT {fits})"
 
 
-def zero_default(value: Column, kind: str) -> Column:
-    """Required fields are never NULL: absent text is ``''``, absent integers are ``0``."""
-    if kind == "text":
-        return F.coalesce(value, F.lit(""))
-    if kind == "integer":
-        return F.coalesce(value, F.lit(0).cast("bigint"))
-    if kind == "object":
-        return json_document(value)
-    return value
+def typed_field(value: str, kind: str) -> str:
+    """The value in its SQL type.
 
-
-def typed_field(value: Column, kind: str) -> Column:
-    if kind == "object":
-        return zero_default(value, kind)
-    return zero_default(integer_field(value) if kind == "integer" else text_field(value), kind)
+    Required fields are never NULL: absent text is ``''`` and an absent integer ``0``. An absent object is
+    the JSON literal ``null``, not SQL NULL; ``{}`` stays ``{}``.
+    """
+    typed = value if kind == "object" else f"try_variant_get({value}, '$', '{_SQL_TYPE[kind]}')"
+    return f"coalesce({typed}, {_ZERO[kind]})" if kind in _ZERO else typed
 
 
-def pick_event_fields(fields: Column) -> Column:
+def pick_event_fields(fields: str) -> str:
     """Struct of the raw values of all known event keys; unknown keys are ignored."""
-    return F.struct(*[F.try_element_at(fields, F.lit(key)).alias(key) for key, _, _ in EVENT_FIELDS])
+    return _struct([(key, f"try_element_at({fields}, '{key}')") for key, _, _ in EVENT_FIELDS])
 
 
-def event_has_wrong_type(raw: Column) -> Column:
-    return reduce(lambda a, b: a | b, [wrong_type(raw[key], kind) for key, _, kind in EVENT_FIELDS])
+def event_has_wrong_type(raw: str) -> str:
+    return "(" + " OR ".join(wrong_type(f"{raw}.{key}", kind) for key, _, kind in EVENT_FIELDS) + ")"
 
 
-def typed_event(raw: Column) -> Column:
+def typed_event(raw: str) -> str:
     """Stored column names and defaults for one event's raw values."""
-    return F.struct(*[typed_field(raw[key], kind).alias(column) for key, column, kind in EVENT_FIELDS])
+    return _struct([(column, typed_field(f"{raw}.{key}", kind)) for key, column, kind in EVENT_FIELDS])
+
+
+def _struct(fields: list[tuple[str, str]]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields) + ")"

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom import schemas as S
 from batchloom.functions import fields as J
 from batchloom.operators.validate import event_error
 
-
-def _json_fields(text: Column) -> Column:
-    """Keys in text order and raw values of a JSON object; NULL when the text is not an object.
-
-    Bytes after the first JSON value are ignored.
-    """
-    return F.from_json(text, J.OBJECT, J.STRICT_JSON)
-
-
-def _zero_value_text(text: Column) -> Column:
-    """The text ``null`` decodes to an empty record; other non-objects do not decode."""
-    return J.is_json_null(F.try_parse_json(text))
+_EVENT_ARRAY = f"array<{S.EVENT.simpleString()}>"
 
 
 def decode_batches(messages: DataFrame, text: str = "payload") -> DataFrame:
@@ -29,51 +18,43 @@ def decode_batches(messages: DataFrame, text: str = "payload") -> DataFrame:
     One wrongly typed field in any event fails the whole batch: its ``decode_error`` is set and ``events``
     is NULL. A ``null`` element is an event without values, which validation turns away later.
     """
-    fields = J.fold_keys(_json_fields(F.col(text)))
-    raw_id = F.try_element_at("_fields", F.lit("batch_id"))
-    raw_events = F.try_element_at("_fields", F.lit("events"))
-    no_values = F.create_map().cast(J.OBJECT)
-    element_fields = F.transform(
-        J.as_array(F.col("_raw_events")),
-        lambda e: F.when(F.is_variant_null(e), no_values).otherwise(J.fold_keys(J.as_object(e))),
-    )
-    failed = (
-        F.when(F.col("_fields").isNull(), ~_zero_value_text(F.col(text)))
-        .when(J.wrong_type(F.col("_raw_id"), "text"), True)
-        .when(J.has_value(F.col("_raw_events")) & F.col("_elements").isNull(), True)
-        .otherwise(F.coalesce(F.exists("_elements", lambda e: e.isNull() | J.event_has_wrong_type(e)), F.lit(False)))
-    )
+    element_fields = f"""
+        transform({J.as_array("_raw_events")}, e ->
+            CASE WHEN is_variant_null(e) THEN CAST(map() AS {J.OBJECT}) ELSE {J.fold_keys(J.as_object("e"))} END)
+    """
+    picked = f"transform(_elements, e -> CASE WHEN e IS NOT NULL THEN {J.pick_event_fields('e')} END)"
+    failed = f"""
+        CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)}
+             WHEN {J.wrong_type("_raw_id", "text")} THEN true
+             WHEN {J.has_value("_raw_events")} AND _elements IS NULL THEN true
+             ELSE coalesce(exists(_elements, e -> e IS NULL OR {J.event_has_wrong_type("e")}), false) END
+    """
+    events = f"coalesce(transform(_elements, e -> {J.typed_event('e')}), CAST(array() AS {_EVENT_ARRAY}))"
     return (
-        messages.withColumn("_fields", fields)
-        .withColumns({"_raw_id": raw_id, "_raw_events": raw_events})
-        .withColumn("_elements", element_fields)
-        .withColumn("_elements", F.transform("_elements", lambda e: F.when(e.isNotNull(), J.pick_event_fields(e))))
-        .withColumn("decode_error", F.when(failed, F.lit(S.INVALID_JSON)))
+        messages.withColumn("_fields", F.expr(J.json_fields(text)))
+        .withColumns({
+            "_raw_id": F.expr("try_element_at(_fields, 'batch_id')"),
+            "_raw_events": F.expr("try_element_at(_fields, 'events')"),
+        })
+        .withColumn("_elements", F.expr(element_fields))
+        .withColumn("_elements", F.expr(picked))
+        .withColumn("decode_error", F.expr(f"CASE WHEN {failed} THEN '{S.INVALID_JSON}' END"))
         .withColumns({
-            "batch_id": F.when(F.col("decode_error").isNull(), J.typed_field(F.col("_raw_id"), "text")),
-            "events": F.when(
-                F.col("decode_error").isNull(),
-                F.coalesce(F.transform("_elements", J.typed_event), F.array().cast(_EVENT_ARRAY)),
-            ),
+            "batch_id": F.expr(f"CASE WHEN decode_error IS NULL THEN {J.typed_field('_raw_id', 'text')} END"),
+            "events": F.expr(f"CASE WHEN decode_error IS NULL THEN {events} END"),
         })
         .drop("_fields", "_raw_id", "_raw_events", "_elements")
     )
 
 
-_EVENT_ARRAY = f"array<{S.EVENT.simpleString()}>"
-
-
 def decode_events(bodies: DataFrame, text: str = "body") -> DataFrame:
     """Single-event path: add the typed ``event``, ``accepted`` and ``reason``. Accepted events are not stored."""
-    fields = J.fold_keys(_json_fields(F.col(text)))
-    failed = F.when(F.col("_fields").isNull(), ~_zero_value_text(F.col(text))).otherwise(
-        J.event_has_wrong_type(F.col("_raw"))
-    )
+    failed = f"CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)} ELSE {J.event_has_wrong_type('_raw')} END"
     return (
-        bodies.withColumn("_fields", fields)
-        .withColumn("_raw", J.pick_event_fields(F.col("_fields")))
-        .withColumn("_failed", failed)
-        .withColumn("event", F.when(~F.col("_failed"), J.typed_event(F.col("_raw"))))
+        bodies.withColumn("_fields", F.expr(J.json_fields(text)))
+        .withColumn("_raw", F.expr(J.pick_event_fields("_fields")))
+        .withColumn("_failed", F.expr(failed))
+        .withColumn("event", F.expr(f"CASE WHEN NOT _failed THEN {J.typed_event('_raw')} END"))
         .withColumn("reason", F.when(F.col("_failed"), S.INVALID_JSON).otherwise(event_error(F.col("event"))))
         .withColumn("accepted", F.col("reason").isNull())
         .drop("_fields", "_raw", "_failed")

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from batchloom.operators.spread import fits_broadcast, lookup_join
 
 CONTENT = ["batch_id", "payload_hash"]
+VERDICTS = (
+    "batch_id string, payload_hash string, first struct<message_order:bigint,row_id:bigint>, "
+    "deliveries bigint, verdict string"
+)
 
 
 def stream_id_order(message_id: Column) -> Column:

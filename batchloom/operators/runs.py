@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions import display, logfields
 from batchloom.operators.ranks import value_at_rank
+from batchloom.operators.spread import lookup_join
 from batchloom.schemas import PROCESSED_LINE, VALIDATED_LINE
 
 LATENCY_RATIOS = [0.50, 0.95, 0.99]
@@ -83,6 +84,13 @@ def worker_counts(lines: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def worker_counts_of_runs(lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per run and worker, counting the lines of the run's log from the run's start on."""
+    starts = runs.select("run_id", "started_at")
+    started = lookup_join(lines, starts, ["run_id"], F.col("value"))
+    return worker_counts(log_lines_since(started, F.col("started_at")), "run_id")
+
+
 def workers_by_name(counts: DataFrame) -> DataFrame:
     return counts.orderBy("worker_id")
 

@@ -56,7 +56,7 @@ def validate_batches(decoded: DataFrame) -> DataFrame:
 
 def with_payload_hash(validated: DataFrame) -> DataFrame:
     """Add the hash of the surviving contents of accepted batches."""
-    text = canonical_batch_json(F.col("batch_id"), F.col("valid_list"))
+    text = canonical_batch_json("batch_id", "valid_list")
     return validated.withColumn("payload_hash", F.when(F.col("reason").isNull(), payload_hash(text)))
 
 

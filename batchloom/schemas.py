@@ -75,6 +75,7 @@ BATCHES = T.StructType([
 ])
 
 OUTCOMES = T.StructType([
+    T.StructField("row_id", T.LongType()),
     T.StructField("message_id", T.StringType()),
     T.StructField("batch_id", T.StringType()),
     T.StructField("status", T.StringType()),

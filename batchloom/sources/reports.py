@@ -10,6 +10,7 @@ from batchloom.functions.display import report_name
 from batchloom.operators.runs import runs_newest_first
 
 MANIFEST = "reports.json"
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,12 +34,14 @@ def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
 def write_run_reports(reports: DataFrame, folder: str) -> None:
     """One JSON document per report, in a folder named by its finish time."""
     rows = reports.select(*S.REPORT.fieldNames()).withColumn("file", report_name(F.col("finished_at")))
-    rows.write.mode("append").partitionBy("file").json(folder)
+    rows.write.mode("append").option("timestampFormat", TIME_FORMAT).partitionBy("file").json(folder)
 
 
 def write_run_manifest(manifest: DataFrame, path: str) -> None:
     """The ``(file, report)`` list, newest first; files keep no order, so readers sort again."""
-    runs_newest_first(manifest.select("file", "report")).write.mode("overwrite").json(path)
+    runs_newest_first(manifest.select("file", "report")).write.mode("overwrite").option(
+        "timestampFormat", TIME_FORMAT
+    ).json(path)
 
 
 def read_run_manifest(spark: SparkSession, path: str) -> DataFrame:

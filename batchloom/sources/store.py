@@ -50,6 +50,10 @@ class EventStore:
     def is_committed(self, spark: SparkSession, epoch: int) -> bool:
         return not self._raw(spark, "commits").filter(F.col("epoch") == epoch).isEmpty()
 
+    def written(self, spark: SparkSession, table: str, epoch: int) -> DataFrame:
+        """What an epoch wrote to a table, committed or not."""
+        return spark.read.schema(TABLES[table]).parquet(f"{self.path(table)}/epoch={epoch}")
+
     def write(self, table: str, epoch: int, rows: DataFrame) -> None:
         rows.select(*TABLES[table].fieldNames()).write.mode("overwrite").parquet(f"{self.path(table)}/epoch={epoch}")
 

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from batchloom import schemas as S
 from batchloom.operators import ledger as L
 from batchloom.operators.decode import decode_batches
-from batchloom.operators.spread import fits_broadcast
+from batchloom.operators.spread import BROADCAST_ROWS
 from batchloom.operators.validate import enforce_batch_limit, stored_rows, validate_batches, with_payload_hash
 from batchloom.sources.messages import envelope_error
 from batchloom.sources.store import EventStore
@@ -50,16 +50,19 @@ def _stage(store: EventStore, spark: SparkSession, messages: DataFrame, max_even
     return spark.read.schema(prepared.schema).parquet(store.path("staging"))
 
 
-def _pick(staged: DataFrame, ids: DataFrame, others: DataFrame) -> DataFrame:
-    """Staged rows whose number is in ``ids``; ``others`` are all remaining numbers.
+def _pick(staged: DataFrame, tagged: DataFrame, status: str, counts: dict[str, int]) -> DataFrame:
+    """Staged rows with one status.
 
-    Payloads move only when both sets are large: a small set is broadcast, as a semi or an anti join.
+    Payloads move only when both sides are large: a small set of rows is broadcast by number, either the
+    wanted rows or all the others.
     """
-    if fits_broadcast(ids):
-        return staged.join(F.broadcast(ids), "row_id", "left_semi")
-    if fits_broadcast(others):
+    wanted = tagged.filter(F.col("status") == status).select("row_id")
+    if counts.get(status, 0) <= BROADCAST_ROWS:
+        return staged.join(F.broadcast(wanted), "row_id", "left_semi")
+    if sum(counts.values()) - counts[status] <= BROADCAST_ROWS:
+        others = tagged.filter(F.col("status") != status).select("row_id")
         return staged.join(F.broadcast(others), "row_id", "left_anti")
-    return staged.join(ids, "row_id", "left_semi")
+    return staged.join(wanted, "row_id", "left_semi")
 
 
 def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events: int = 0) -> None:
@@ -69,29 +72,27 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
         return
     created_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
     staged = _stage(store, spark, messages, max_events)
-
     accepted = staged.filter("reason IS NULL")
+    rejected = staged.filter("reason IS NOT NULL")
+
     contents = L.batch_contents(accepted, "row_id")
     known = L.relevant_ledger(store.read(spark, "batches"), contents)
     L.judge_contents(contents, known).write.mode("overwrite").parquet(store.path("verdicts"))
-    verdicts = spark.read.parquet(store.path("verdicts"))
-
-    counts = ["total_events", "valid_events", "invalid_events"]
-    thin = accepted.select("row_id", "message_id", "batch_id", "payload_hash", *counts)
-    rejected = staged.filter("reason IS NOT NULL").withColumn("status", F.lit("rejected"))
-    tagged = L.tag_deliveries(thin, verdicts, "row_id").unionByName(rejected.select("row_id", "message_id", "batch_id", "payload_hash", *counts, "status"))
-    tagged.write.mode("overwrite").parquet(store.path("tagged"))
-    tagged = spark.read.parquet(store.path("tagged"))
-    store.write("outcomes", epoch, tagged)
-
-    is_new = F.col("status") == "new"
-    fresh = _pick(staged, tagged.filter(is_new).select("row_id"), tagged.filter(~is_new).select("row_id"))
-    store.write_events(epoch, stored_rows(fresh).withColumn("created_at", created_at))
+    verdicts = spark.read.schema(L.VERDICTS).parquet(store.path("verdicts"))
 
-    in_conflict = F.col("status") == "conflict"
-    conflicts = _pick(staged, tagged.filter(in_conflict).select("row_id"), tagged.filter(~in_conflict).select("row_id"))
-    quarantined = conflicts.withColumn("reason", F.lit(S.CONFLICT)).unionByName(staged.filter("reason IS NOT NULL"))
-    store.write("quarantine", epoch, quarantined)
+    thin = ["row_id", "message_id", "batch_id", "total_events", "valid_events", "invalid_events", "status"]
+    tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id").select(*thin)
+    turned_away = rejected.withColumn("status", F.lit("rejected")).select(*thin)
+    store.write("outcomes", epoch, tagged.unionByName(turned_away))
+    tagged = store.written(spark, "outcomes", epoch)
+    counts = {r["status"]: r["count"] for r in tagged.groupBy("status").count().collect()}
+
+    fresh = _pick(staged, tagged, "new", counts)
+    store.write_events(epoch, stored_rows(fresh).withColumn("created_at", created_at))
+    if counts.get("conflict"):
+        conflicts = _pick(staged, tagged, "conflict", counts).withColumn("reason", F.lit(S.CONFLICT))
+        rejected = rejected.unionByName(conflicts)
+    store.write("quarantine", epoch, rejected)
     store.write("batches", epoch, L.new_batches(verdicts).withColumn("created_at", created_at))
     store.commit(spark, epoch)
 
