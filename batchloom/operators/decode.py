@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from batchloom import schemas as S
 from batchloom.functions import fields as J
+from batchloom.operators.once import computed_once
 from batchloom.operators.validate import event_error
 
 _EVENT_ARRAY = f"array<{S.EVENT.simpleString()}>"
@@ -30,7 +31,7 @@ def decode_batches(messages: DataFrame, text: str = "payload") -> DataFrame:
              ELSE coalesce(exists(_elements, e -> e IS NULL OR {J.event_has_wrong_type("e")}), false) END
     """
     events = f"coalesce(transform(_elements, e -> {J.typed_event('e')}), CAST(array() AS {_EVENT_ARRAY}))"
-    return (
+    decoded = (
         messages.withColumn("_fields", F.expr(J.json_fields(text)))
         .withColumns({
             "_raw_id": F.expr("try_element_at(_fields, 'batch_id')"),
@@ -38,24 +39,28 @@ def decode_batches(messages: DataFrame, text: str = "payload") -> DataFrame:
         })
         .withColumn("_elements", F.expr(element_fields))
         .withColumn("_elements", F.expr(picked))
-        .withColumn("decode_error", F.expr(f"CASE WHEN {failed} THEN '{S.INVALID_JSON}' END"))
-        .withColumns({
-            "batch_id": F.expr(f"CASE WHEN decode_error IS NULL THEN {J.typed_field('_raw_id', 'text')} END"),
-            "events": F.expr(f"CASE WHEN decode_error IS NULL THEN {events} END"),
-        })
-        .drop("_fields", "_raw_id", "_raw_events", "_elements")
+        .withColumn("_error", F.expr(f"CASE WHEN {failed} THEN '{S.INVALID_JSON}' END"))
     )
+    columns = {
+        "batch_id": F.expr(f"CASE WHEN _error IS NULL THEN {J.typed_field('_raw_id', 'text')} END"),
+        "events": F.expr(f"CASE WHEN _error IS NULL THEN {events} END"),
+        "decode_error": F.col("_error"),
+    }
+    return computed_once(decoded, columns, [c for c in messages.columns if c not in columns])
 
 
 def decode_events(bodies: DataFrame, text: str = "body") -> DataFrame:
     """Single-event path: add the typed ``event``, ``accepted`` and ``reason``. Accepted events are not stored."""
     failed = f"CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)} ELSE {J.event_has_wrong_type('_raw')} END"
-    return (
+    decoded = (
         bodies.withColumn("_fields", F.expr(J.json_fields(text)))
         .withColumn("_raw", F.expr(J.pick_event_fields("_fields")))
         .withColumn("_failed", F.expr(failed))
-        .withColumn("event", F.expr(f"CASE WHEN NOT _failed THEN {J.typed_event('_raw')} END"))
-        .withColumn("reason", F.when(F.col("_failed"), S.INVALID_JSON).otherwise(event_error(F.col("event"))))
+    )
+    event = {"event": F.expr(f"CASE WHEN NOT _failed THEN {J.typed_event('_raw')} END"), "failed": F.col("_failed")}
+    return (
+        computed_once(decoded, event, bodies.columns)
+        .withColumn("reason", F.when(F.col("failed"), S.INVALID_JSON).otherwise(event_error(F.col("event"))))
         .withColumn("accepted", F.col("reason").isNull())
-        .drop("_fields", "_raw", "_failed")
+        .drop("failed")
     )

@@ -85,7 +85,7 @@ def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[flo
     by_ratio = found.groupBy(*keys).agg(
         *[F.max(F.when(F.col("ratio") == r, F.col("lo"))).alias(_ratio_name(r)) for r in ratios]
     )
-    return totals.join(F.broadcast(by_ratio) if few else by_ratio, keys)
+    return totals.join(by_ratio, keys)
 
 
 def _ratio_name(ratio: float) -> str:

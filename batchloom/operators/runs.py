@@ -17,21 +17,30 @@ from batchloom.schemas import PROCESSED_LINE, VALIDATED_LINE
 LATENCY_RATIOS = [0.50, 0.95, 0.99]
 
 
+def _per_status(requests: DataFrame) -> DataFrame:
+    """Requests and body bytes per run and status: a few rows per run, whatever its size."""
+    return requests.groupBy("run_id", "status").agg(F.count("*").alias("n"), F.sum("body_bytes").alias("bytes"))
+
+
+def _outcome_columns() -> list[Column]:
+    answered = F.col("status").isNotNull()
+    success = F.coalesce(F.col("status").cast("int").between(200, 299), F.lit(False))
+    return [
+        F.sum("n").alias("attempts"),
+        F.sum(F.when(success, F.col("n")).otherwise(0)).alias("successful"),
+        F.sum(F.when(success, 0).otherwise(F.col("n"))).alias("failed"),
+        F.sum(F.when(answered, F.col("bytes")).otherwise(0)).alias("submitted_bytes"),
+    ]
+
+
 def status_code_counts(requests: DataFrame) -> DataFrame:
     """Responses per status code; requests without a response are not counted."""
-    return requests.filter("status IS NOT NULL").groupBy("run_id", "status").agg(F.count("*").alias("n"))
+    return _per_status(requests.filter("status IS NOT NULL")).select("run_id", "status", "n")
 
 
 def request_outcomes(requests: DataFrame) -> DataFrame:
     """Attempts, successes (200-299), failures (all else) and bytes of the answered requests."""
-    code = F.col("status").cast("int")
-    success = F.coalesce(code.between(200, 299), F.lit(False))
-    return requests.groupBy("run_id").agg(
-        F.count("*").alias("attempts"),
-        F.count_if(success).alias("successful"),
-        F.count_if(~success).alias("failed"),
-        F.sum(F.when(F.col("status").isNotNull(), F.col("body_bytes")).otherwise(0)).alias("submitted_bytes"),
-    )
+    return _per_status(requests).groupBy("run_id").agg(*_outcome_columns())
 
 
 def latency_summary(requests: DataFrame) -> DataFrame:
@@ -97,8 +106,9 @@ def workers_by_name(counts: DataFrame) -> DataFrame:
 
 def run_report(runs: DataFrame, requests: DataFrame, workers: DataFrame) -> DataFrame:
     """One report row per run. Everything joined here is already one row per run."""
-    codes = status_code_counts(requests).groupBy("run_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("status", F.col("n").cast("int")))).alias("status_codes")
+    code = F.when(F.col("status").isNotNull(), F.struct("status", F.col("n").cast("int")))
+    answers = _per_status(requests).groupBy("run_id").agg(
+        *_outcome_columns(), F.map_from_entries(F.collect_list(code)).alias("status_codes")
     )
     by_worker = workers.groupBy("run_id").agg(
         F.map_from_entries(
@@ -116,8 +126,7 @@ def run_report(runs: DataFrame, requests: DataFrame, workers: DataFrame) -> Data
     no_latency = F.struct(*[F.lit(0.0).alias(n) for n in ("min", "p50", "p95", "p99", "max")])
     joined = (
         run_throughput(runs)
-        .join(request_outcomes(requests), "run_id", "left")
-        .join(codes, "run_id", "left")
+        .join(answers, "run_id", "left")
         .join(latency, "run_id", "left")
         .join(by_worker, "run_id", "left")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from batchloom import schemas as S
 from batchloom.functions.canonical import canonical_batch_json, payload_hash
+from batchloom.operators.once import computed_once
 
 
 def event_error(event: Column) -> Column:
@@ -39,19 +40,17 @@ def validate_batches(decoded: DataFrame) -> DataFrame:
 
     Batches without an id or without events report 0 valid and 0 invalid events, whatever they hold.
     """
-    checked = F.col("batch_id") != ""
-    return (
-        decoded.withColumn(
-            "valid_list", F.when(checked, F.filter("events", lambda e: event_error(e).isNull()))
-        )
-        .withColumn("total_events", F.when(F.col("decode_error").isNull(), F.size("events")))
-        .withColumn("valid_events", F.when(checked, F.size("valid_list")).otherwise(0))
-        .withColumn("invalid_events", F.when(checked, F.col("total_events") - F.col("valid_events")).otherwise(0))
-        .withColumn(
-            "reason",
-            F.coalesce("decode_error", batch_error(F.col("batch_id"), F.col("total_events"), F.col("valid_events"))),
-        )
-    )
+    decodes, checked = F.col("decode_error").isNull(), F.col("batch_id") != ""
+    survivors = F.filter("events", lambda e: event_error(e).isNull())
+    total, valid = F.size("events"), F.size("_survivors")
+    columns = {
+        "valid_list": F.col("_survivors"),
+        "total_events": F.when(decodes, total),
+        "valid_events": F.when(checked, valid).otherwise(0),
+        "invalid_events": F.when(checked, total - valid).otherwise(0),
+        "reason": F.coalesce("decode_error", batch_error(F.col("batch_id"), total, valid)),
+    }
+    return computed_once(decoded.withColumn("_survivors", F.when(checked, survivors)), columns, decoded.columns)
 
 
 def with_payload_hash(validated: DataFrame) -> DataFrame:

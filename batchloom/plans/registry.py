@@ -58,23 +58,16 @@ def _validated(ws: Workspace) -> DataFrame:
     return validate.validate_batches(_decoded(ws))
 
 
-def _accepted(ws: Workspace) -> DataFrame:
-    """The written hash of every accepted message: ``message_id, message_order, batch_id, payload_hash``."""
-    return validate.with_payload_hash(_validated(ws)).filter("reason IS NULL").select(
-        "message_id", "message_order", "batch_id", "payload_hash"
-    )
-
-
 def _empty_ledger(ws: Workspace) -> DataFrame:
     return ws.spark.createDataFrame([], "batch_id string, payload_hash string")
 
 
 def _verdicts(ws: Workspace, stored: DataFrame) -> DataFrame:
-    return ledger.judge_contents(ledger.batch_contents(_accepted(ws)), stored)
+    return ledger.judge_contents(ledger.batch_contents(ws.accepted), stored)
 
 
 def _tagged(ws: Workspace, stored: DataFrame) -> DataFrame:
-    return ledger.tag_deliveries(_accepted(ws), _verdicts(ws, stored))
+    return ledger.tag_deliveries(ws.accepted, _verdicts(ws, stored))
 
 
 # Sources and sinks
@@ -406,7 +399,8 @@ def _(ws):
 
 @query("payload_hash")
 def _(ws):
-    return _accepted(ws).select("message_id", "payload_hash")
+    hashed = validate.with_payload_hash(_validated(ws))
+    return hashed.filter("reason IS NULL").select("message_id", "payload_hash")
 
 
 @query("json_document")
@@ -511,7 +505,7 @@ def _(ws):
 def _(ws):
     """Against a ledger that holds some ids already, one half of them with other contents."""
     group = F.expr("first.message_order div 10") % 10
-    known = ledger.batch_contents(_accepted(ws)).filter(group.isin(0, 5)).select(
+    known = ledger.batch_contents(ws.accepted).filter(group.isin(0, 5)).select(
         "batch_id", F.when(group == 5, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash")).alias("payload_hash")
     )
     return _tagged(ws, known).select("message_id", "batch_id", "status")

@@ -17,7 +17,7 @@ from batchloom.sources.messages import read_batch_messages, stream_batch_message
 from batchloom.sources.reports import read_run_reports, write_run_reports
 from batchloom.sources.store import EventStore
 from batchloom.sources.worker_log import read_worker_log
-from batchloom.streaming.ingest import drain
+from batchloom.streaming.ingest import drain, prepare
 
 
 class Workspace:
@@ -29,6 +29,11 @@ class Workspace:
     def fresh(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex}"
 
+    def _written(self, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/{name}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     @functools.cached_property
     def messages_path(self) -> str:
         path = f"{self.root}/messages"
@@ -43,6 +48,12 @@ class Workspace:
     def message_stream(self) -> DataFrame:
         return stream_batch_messages(self.spark, self.messages_path)
 
+    @functools.cached_property
+    def accepted(self) -> DataFrame:
+        """Hash of every accepted message."""
+        prepared = prepare(self.messages).filter("reason IS NULL")
+        return self._written("accepted", prepared.select("message_id", "message_order", "batch_id", "payload_hash"))
+
     @functools.cached_property
     def store(self) -> EventStore:
         """The messages streamed into a store until none is left."""
@@ -67,9 +78,9 @@ class Workspace:
     def requests(self) -> DataFrame:
         return inputs.requests(self.spark, self.sf_dir)
 
-    @property
+    @functools.cached_property
     def runs(self) -> DataFrame:
-        return inputs.runs(self.spark, self.sf_dir)
+        return self._written("runs", inputs.runs(self.spark, self.sf_dir))
 
     def run_reports(self) -> DataFrame:
         return run_report(self.runs, self.requests, worker_counts_of_runs(self.worker_log, self.runs))
