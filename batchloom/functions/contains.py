@@ -58,16 +58,14 @@ def _contains(document: Column, path: str, pattern) -> Column:
         return _all([_contains_key(document, path, key, value) for key, value in pattern.items()])
     if isinstance(pattern, list):
         elements = _as_array(_at(document, path))
-        return _all(
-            [elements.isNotNull()]
-            + [
-                F.exists(elements, lambda e, p=part: F.coalesce(_contains(e, "$", p), F.lit(False)))
-                for part in pattern
-            ]
-        )
+        return _all([elements.isNotNull(), *[_some_element(elements, part) for part in pattern]])
     return _scalar_equals(_at(document, path), pattern)
 
 
+def _some_element(elements: Column, pattern) -> Column:
+    return F.exists(elements, lambda e: F.coalesce(_contains(e, "$", pattern), F.lit(False)))
+
+
 def _contains_key(document: Column, path: str, key: str, pattern) -> Column:
     if "'" in key or "]" in key or "\\" in key:
         # No path can spell this key: look it up in the object's fields.

@@ -1,0 +1,167 @@
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from batchloom.functions import display
+from batchloom.operators import ranks, runs
+from batchloom.operators.ranks import value_at_rank
+from batchloom.sources.reports import (
+    read_run_manifest,
+    read_run_reports,
+    write_run_manifest,
+    write_run_reports,
+)
+from batchloom.sources.worker_log import read_worker_log
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame(rows, "run_id string, latency_ms double, status string, body_bytes bigint")
+
+
+def _summary(values):
+    ordered = sorted(values)
+    at = lambda ratio: ordered[int((len(ordered) - 1) * ratio)]
+    return (ordered[0], at(0.5), at(0.95), at(0.99), ordered[-1])
+
+
+LISTS = {
+    "ten": [float(i) for i in range(1, 11)],
+    "one": [7.5],
+    "two": [2.0, 1.0],
+    "ties": [3.0] * 100 + [4.0] * 5,
+    "signs": [-2.5, -1.0, 0.0, 0.0, 1e-310, 5e300, 3.0],
+    "dense": [100 + i * 1e-9 for i in range(2000)],
+    "random": [random.Random(1).expovariate(0.02) for _ in range(3000)],
+}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_ranks(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(ranks, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(ranks, "PARTS", 16)
+    monkeypatch.setattr(ranks, "SALTS", 3)
+    rows = [(run, v) for run, values in LISTS.items() for v in values]
+    random.Random(2).shuffle(rows)
+    frame = spark.createDataFrame(rows, "run_id string, latency_ms double")
+    found = {r.run_id: (r.min, r.p50, r.p95, r.p99, r.max) for r in runs.latency_summary(frame).collect()}
+    assert found == {run: _summary(values) for run, values in LISTS.items()}
+
+
+def test_quantile_index(spark):
+    frame = spark.createDataFrame([("r", float(i)) for i in range(1, 11)], "run_id string, v double")
+    row = value_at_rank(frame, ["run_id"], "v", [0.5, 0.95, 0.99]).collect()[0]
+    assert (row.p50, row.p95, row.p99, row.n) == (5.0, 9.0, 9.0, 10)
+
+
+def test_outcomes(spark):
+    requests = _requests(spark, [("r", 1.0, "202", 10), ("r", 2.0, "404", 10), ("r", 3.0, None, 10)])
+    row = runs.request_outcomes(requests).collect()[0]
+    assert (row.attempts, row.successful, row.failed, row.submitted_bytes) == (3, 1, 2, 20)
+    assert {r.status: r.n for r in runs.status_code_counts(requests).collect()} == {"202": 1, "404": 1}
+
+
+def _runs(spark, rows):
+    return spark.sql(
+        "SELECT * FROM VALUES " + ", ".join(
+            f"('{r}', TIMESTAMP '{a}', TIMESTAMP '{b}', 'http://x', {n}L, {size}L, 4)" for r, a, b, n, size in rows
+        ) + " AS t(run_id, started_at, finished_at, url, batches, batch_size, concurrency)"
+    )
+
+
+def test_report_round_trip(spark, tmp_path):
+    table = _runs(spark, [
+        ("r1", "2026-09-10 23:00:00.123456", "2026-09-10 23:00:10.123456", 3, 25),
+        ("r2", "2026-09-11 01:00:00", "2026-09-11 01:00:00", 2, 5),
+    ])
+    requests = _requests(spark, [("r1", 1.0, "202", 10), ("r1", 2.0, "404", 10), ("r1", 3.0, None, 10)])
+    workers = spark.createDataFrame([("r1", "worker-1", 2, 3)], "run_id string, worker_id string, processed int, validated int")
+    reports = {r.run_id: r for r in runs.run_report(table, requests, workers).collect()}
+    assert reports["r1"].status_codes == {"202": 1, "404": 1}
+    assert reports["r1"].workers["worker-1"].validated == 3
+    assert (reports["r1"].requests_per_second, reports["r1"].events_per_second) == (0.3, 7.5)
+    r2 = reports["r2"]
+    assert r2.duration_seconds == 0.000001 and r2.status_codes == {} and r2.workers is None
+    assert tuple(r2.latency_ms) == (0, 0, 0, 0, 0) and r2.successful_requests == 0
+
+    folder = str(tmp_path / "reports")
+    write_run_reports(runs.run_report(table, requests, workers), folder)
+    manifest = read_run_reports(spark, folder)
+    back = {r.file: r.report for r in manifest.collect()}
+    assert set(back) == {"stress-20260910-230010.123456000.json", "stress-20260911-010000.000000000.json"}
+    first = back["stress-20260910-230010.123456000.json"]
+    for name in first.__fields__:
+        assert first[name] == reports["r1"][name], name
+
+    path = str(tmp_path / "manifest")
+    write_run_manifest(manifest, path)
+    listed = read_run_manifest(spark, path)
+    assert [r.file for r in listed.collect()] == sorted(back, reverse=True)
+    assert runs.select_run(listed).collect()[0].file == "stress-20260911-010000.000000000.json"
+    older = "stress-20260910-230010.123456000.json"
+    assert runs.select_run(listed, older).collect()[0].file == older
+    assert runs.select_run(listed, "nothing").collect()[0].file == "stress-20260911-010000.000000000.json"
+    assert [r.file for r in runs.search_runs(listed, "10 23:00:00 utc").collect()] == [older]
+    assert runs.search_runs(listed, "stress").isEmpty()
+
+
+def test_loose_report_files(spark, tmp_path):
+    document = {
+        "started_at": "2026-09-10T23:00:00.123456789Z", "finished_at": "2026-09-10T23:00:05Z", "url": "u", "batches": 1,
+        "batch_size": 2, "requested_events": 2, "submitted_bytes": 9, "concurrency": 1, "successful_requests": 1,
+        "failed_requests": 0, "status_codes": {"202": 1}, "duration_seconds": 5.0, "requests_per_second": 0.2,
+        "events_per_second": 0.4, "latency_ms": {"min": 1, "p50": 1, "p95": 1, "p99": 1, "max": 1},
+    }
+    (tmp_path / "a.json").write_text(json.dumps(document, indent=2))
+    (tmp_path / "reports.json").write_text(json.dumps([{"file": "a.json", "report": document}]))
+    (tmp_path / "notes.txt").write_text("no report")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "b.json").write_text("{")
+    rows = read_run_reports(spark, str(tmp_path)).collect()
+    assert [(r.file, r.report.batches, r.report.workers) for r in rows] == [("a.json", 1, None)]
+    assert rows[0].report.started_at.microsecond == 123456
+    (tmp_path / "broken.json").write_text("{")
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        read_run_reports(spark, str(tmp_path)).collect()
+
+
+def test_worker_log(spark, tmp_path):
+    lines = [
+        'time="2026-09-10T23:00:01Z" level=info msg="Worker processed batch" worker_id=worker-10',
+        'time="2026-09-10T23:00:02Z" level=info msg="Worker processed batch" worker_id=worker-10',
+        'time="2026-09-10T23:00:02Z" level=info msg="Worker validated batch" worker_id=worker-2 worker_id=x',
+        'time="2026-09-11T01:00:02+02:00" level=info msg="Worker started" worker_id=worker-3',
+        'time="yesterday" msg="Worker processed batch" worker_id=worker-4',
+        'msg="Worker processed batch" worker_id=worker-5',
+        'time="2026-09-10T23:00:09Z" msg="Worker processed batch"',
+    ]
+    path = tmp_path / "worker.log"
+    path.write_text("\n".join(lines))
+    log = read_worker_log(spark, str(path))
+
+    def counts(since):
+        since = None if since is None else F.lit(since).cast("timestamp")
+        found = runs.workers_by_name(runs.worker_counts(runs.log_lines_since(log, since))).collect()
+        return [(r.worker_id, r.processed, r.validated) for r in found]
+
+    assert counts("2026-09-10 23:00:01.5") == [("worker-10", 1, 0), ("worker-2", 0, 1), ("worker-3", 0, 0)]
+    assert counts("2026-09-10 23:00:01")[0] == ("worker-10", 2, 0)
+    assert [c[0] for c in counts(None)] == ["worker-10", "worker-2", "worker-3", "worker-4", "worker-5"]
+    assert read_worker_log(spark, str(tmp_path / "missing.log")).isEmpty()
+
+
+def test_display(spark):
+    row = spark.sql("SELECT TIMESTAMP '2026-09-10 23:00:01.999' AS ts, CAST(NULL AS DOUBLE) AS none").select(
+        display.format_run_date(F.col("ts")).alias("date"),
+        display.two_decimals(F.col("none")).alias("zero"),
+        display.two_decimals(F.lit(2.675)).alias("number"),
+        display.epoch_millis(F.col("ts")).alias("ms"),
+        display.report_name(F.col("ts")).alias("name"),
+        runs.success_rate(F.lit(1), F.lit(0)).alias("none_requested"),
+        runs.success_rate(F.lit(1), F.lit(4)).alias("quarter"),
+    ).collect()[0]
+    assert tuple(row) == (
+        "2026-09-10 23:00:01 UTC", "0.00", "2.68", 1789081201999, "stress-20260910-230001.999000000.json", 0.0, 25.0,
+    )
