@@ -54,7 +54,7 @@ def _scalar_equals(value: Column, scalar) -> Column:
 def _contains(document: Column, path: str, pattern) -> Column:
     if isinstance(pattern, dict):
         if not pattern:
-            return _as_object(_at(document, path)).isNotNull()
+            return F.try_variant_get(_at(document, path), "$", "struct<>").isNotNull()
         return _all([_contains_key(document, path, key, value) for key, value in pattern.items()])
     if isinstance(pattern, list):
         elements = _as_array(_at(document, path))

@@ -45,6 +45,11 @@ def as_object(value: str) -> str:
     return f"try_variant_get({value}, '$', '{OBJECT}')"
 
 
+def is_object(value: str) -> str:
+    """True for a JSON object, however large: an empty struct takes no field from it."""
+    return f"try_variant_get({value}, '$', 'struct<>') IS NOT NULL"
+
+
 def as_array(value: str) -> str:
     """The elements of a JSON array, NULL for anything else."""
     return f"try_variant_get({value}, '$', '{ARRAY}')"
@@ -57,7 +62,7 @@ def has_value(value: str) -> str:
 def wrong_type(value: str, kind: str) -> str:
     """True where a present, non-null value has the wrong JSON type for its field."""
     if kind == "object":
-        fits = f"{as_object(value)} IS NOT NULL"
+        fits = is_object(value)
     else:
         fits = f"schema_of_variant({value}) = '{_JSON_TYPE[kind]}'"
     return f"({has_value(value)} AND NOT {fits})"

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from batchloom.operators.spread import BROADCAST_ROWS, SALTS, fits_broadcast
 from batchloom.session import checkpointed
 
-PER_OCTAVE = 256
-PARTS = 65_536
+PER_OCTAVE = 16
+PARTS = 1_048_576
 _ABOVE_ANY_EXPONENT = 1_100 * PER_OCTAVE
 
 

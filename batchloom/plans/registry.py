@@ -13,7 +13,7 @@ from batchloom.functions.contains import json_contains
 from batchloom.operators import decode, ledger, lookups, runs, validate
 from batchloom.plans import inputs
 from batchloom.plans.workspace import Workspace, workspace
-from batchloom.sources import messages, reports, synth, worker_log
+from batchloom.sources import reports, synth, worker_log
 from batchloom.sources.store import EventStore
 from batchloom.streaming import ingest
 
@@ -533,7 +533,7 @@ def _(ws):
 @query("pending_messages")
 def _(ws):
     acknowledged = ws.table("outcomes").filter(F.col("status").isin("new", "duplicate"))
-    return ledger.pending_messages(messages.publish(ws.messages), acknowledged).select("message_id", "batch_id")
+    return ledger.pending_messages(ws.messages, acknowledged).select("message_id", "batch_id")
 
 
 @query("quarantine")

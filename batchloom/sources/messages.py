@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom import schemas as S
+from batchloom.functions.canonical import canonical_batch_json
 
 
 def envelope_error(batch_id: Column, payload: Column) -> Column:
@@ -26,15 +27,20 @@ def stream_batch_messages(spark: SparkSession, path: str, max_files: int | None
 
 
 def kafka_messages(raw: DataFrame) -> DataFrame:
-    """Messages from a frame of the Kafka source: the record key is the batch id, the offset gives the order."""
+    """Messages from a frame of the Kafka source: the record key is the batch id, its time gives the order."""
     return raw.select(
         F.concat_ws("-", F.col("partition").cast("string"), F.col("offset").cast("string")).alias("message_id"),
-        F.col("offset").alias("message_order"),
+        F.unix_micros("timestamp").alias("message_order"),
         F.col("key").cast("string").alias("batch_id"),
         F.col("value").cast("string").alias("payload"),
     )
 
 
-def publish(batches: DataFrame) -> DataFrame:
-    """Envelopes for admitted batches held as ``message_id, message_order, batch_id, payload``."""
-    return batches.select(*S.MESSAGE.fieldNames())
+def publish(admitted: DataFrame) -> DataFrame:
+    """Envelopes for decoded batches that passed admission: the batch's id next to its canonical text.
+
+    The text holds all events as sent, valid or not; only consumers validate.
+    """
+    passed = admitted.filter("admission_error IS NULL")
+    payload = canonical_batch_json("batch_id", "events").alias("payload")
+    return passed.select("message_id", "message_order", "batch_id", payload)

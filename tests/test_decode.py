@@ -4,7 +4,8 @@ import pytest
 
 from batchloom import schemas as S
 from batchloom.operators.decode import decode_batches, decode_events
-from batchloom.operators.validate import stored_rows, validate_batches
+from batchloom.operators.validate import enforce_batch_limit, stored_rows, validate_batches
+from batchloom.sources.messages import kafka_messages, publish
 from helpers import batch, event, messages
 
 GOOD = '{"event":"a","timestamp":1,"projectid":"p","orgid":"o"}'
@@ -110,3 +111,22 @@ def test_single_events(spark):
     bodies = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, body string")
     rows = decode_events(bodies).orderBy("i").select("accepted", "reason").collect()
     assert [tuple(r) for r in rows] == [c[1:] for c in cases]
+
+
+def test_published_batches_decode_to_the_same_events(spark):
+    sent = [batch("b", event(event=""), event(id="x", received_at=3, properties={"k": [1, {"a": None}]})), batch("c")]
+    over = batch("d", *[event()] * 3)
+    decoded = decode_batches(messages(spark, [*sent, over, "{"]))
+    queued = publish(enforce_batch_limit(decoded, 2))
+    again = decode_batches(queued)
+    shown = ["message_id", "batch_id", "to_json(events) AS events"]
+    assert [r.message_id for r in queued.orderBy("message_id").collect()] == ["m0", "m1"]
+    assert again.selectExpr(*shown).collect() == decoded.filter("message_order < 2").selectExpr(*shown).collect()
+
+
+def test_kafka_records(spark):
+    raw = spark.sql(
+        "SELECT CAST('b' AS BINARY) AS key, CAST('{}' AS BINARY) AS value, 3 AS partition, 7L AS offset, "
+        "TIMESTAMP '1970-01-01 00:00:01' AS timestamp"
+    )
+    assert [tuple(r) for r in kafka_messages(raw).collect()] == [("3-7", 1_000_000, "b", "{}")]
