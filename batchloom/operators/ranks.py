@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.operators.spread import BROADCAST_ROWS, SALTS, fits_broadcast
+from batchloom.operators.spread import lookup_join
 from batchloom.session import checkpointed
 
 PER_OCTAVE = 16
@@ -44,16 +44,6 @@ def _holding_bucket(histogram: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _inside(rows: DataFrame, brackets: DataFrame, keys: list[str], value: str, few: bool) -> DataFrame:
-    """Rows whose value lies in a bracket of their group, once per bracket."""
-    inside = F.col(value).between(F.col("lo"), F.col("hi"))
-    if few:
-        return rows.join(F.broadcast(brackets), keys).filter(inside)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
-    copies = brackets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"]).filter(inside).drop("_salt")
-
-
 def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[float]) -> DataFrame:
     """Per group: ``n``, ``low``, ``high`` and, as ``ratio -> value``, the value at index
     ``trunc((n - 1) * ratio)`` of the sorted values. No interpolation.
@@ -64,17 +54,17 @@ def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[flo
     totals = coarse.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    few = fits_broadcast(totals, BROADCAST_ROWS // len(ratios))
     wanted = totals.select(*keys, F.explode(F.array(*map(F.lit, ratios))).alias("ratio"), "n").select(
         *keys, "ratio", F.floor((F.col("n") - 1) * F.col("ratio")).alias("rank")
     )
-    wanted = F.broadcast(wanted) if few else wanted
     brackets = checkpointed(_holding_bucket(coarse.join(wanted, keys), keys))
+    inside = F.col("v").between(F.col("lo"), F.col("hi"))
+    weights = totals.select(*keys, "n")
     found = brackets.filter("lo = hi")
     open_brackets = brackets.filter("lo < hi")
     while not open_brackets.isEmpty():
         parts = (
-            _inside(values, open_brackets, keys, "v", few)
+            lookup_join(values, open_brackets, keys, F.col("v"), condition=inside, weights=weights)
             .withColumn("bucket", _part(F.col("v")))
             .groupBy(*keys, "ratio", "rank", "bucket")
             .agg(*extremes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 HOT_KEYS = 1_000
-SALTS = 64
+ROWS_PER_SALT = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -24,25 +24,27 @@ def lookup_join(
     spread_by: Column,
     how: str = "inner",
     condition: Column | None = None,
+    weights: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` on ``keys``; the lookup must be cheap to read twice (a written table).
 
-    A small lookup is broadcast and ``rows`` does not move. Otherwise both sides are shuffled, and the
-    ``HOT_KEYS`` keys with the most rows are spread over ``SALTS`` partitions each; every other key holds
-    less than 1/HOT_KEYS of all rows.
+    A small lookup is broadcast and ``rows`` does not move. Otherwise both sides are shuffled, and each of the
+    ``HOT_KEYS`` keys with the most rows is spread over one partition per ``ROWS_PER_SALT`` rows; every other
+    key holds less than 1/HOT_KEYS of all rows. ``weights`` holds the number of rows per key as ``n`` where
+    that is known already. ``condition`` narrows an inner join.
     """
+    keys = list(keys)
     if fits_broadcast(lookup, max_rows):
-        joined = rows.join(F.broadcast(lookup), list(keys), how)
+        joined = rows.join(F.broadcast(lookup), keys, how)
         return joined if condition is None else joined.filter(condition)
-    hot = (
-        rows.groupBy(*keys).count().orderBy(F.desc("count")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot"))
-    )
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_hot")
-    salted_lookup = (
-        lookup.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
+    if weights is None:
+        weights = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("_salts")
+    hot = weights.orderBy(F.desc("n")).limit(HOT_KEYS).select(*keys, salts).filter("_salts > 1")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"), F.lit(0))
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    salted_lookup = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     joined = salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
     return joined if condition is None else joined.filter(condition)

@@ -117,10 +117,10 @@ def test_message_order_is_numeric(spark):
 def test_hot_batch_id(spark, store, monkeypatch, limit):
     """One id holds most messages, both as copies and as conflicts; with and without broadcasts."""
     if limit is not None:
-        for module in (spread, ingest):
-            monkeypatch.setattr(module, "BROADCAST_ROWS", limit)
-        monkeypatch.setattr(spread.lookup_join, "__defaults__", ("inner", None, limit))
-        monkeypatch.setattr(spread.fits_broadcast, "__defaults__", (limit,))
+        monkeypatch.setattr(ingest, "BROADCAST_ROWS", limit)
+        for module in (spread, L):
+            monkeypatch.setattr(module, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(spread, "ROWS_PER_SALT", 50)
     copies = [batch("hot", event())] * 200
     conflicts = [batch("hot", event(timestamp=i + 2)) for i in range(200)]
     rest = [batch(f"c{i}", event()) for i in range(50)]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom.functions import display
-from batchloom.operators import ranks, runs
+from batchloom.operators import ranks, runs, spread
 from batchloom.operators.ranks import value_at_rank
 from batchloom.sources.reports import (
     read_run_manifest,
@@ -40,9 +40,9 @@ LISTS = {
 @pytest.mark.parametrize("few", [True, False])
 def test_exact_ranks(spark, monkeypatch, few):
     if not few:
-        monkeypatch.setattr(ranks, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(spread, "fits_broadcast", lambda *_: False)
     monkeypatch.setattr(ranks, "PARTS", 16)
-    monkeypatch.setattr(ranks, "SALTS", 3)
+    monkeypatch.setattr(spread, "ROWS_PER_SALT", 700)
     rows = [(run, v) for run, values in LISTS.items() for v in values]
     random.Random(2).shuffle(rows)
     frame = spark.createDataFrame(rows, "run_id string, latency_ms double")
