@@ -22,7 +22,7 @@ def format_run_date(ts: Column) -> Column:
 
 def two_decimals(value: Column) -> Column:
     """Text with two decimals, ``0.00`` for no value. Display only: keep raw doubles in data."""
-    return F.format_string("%.2f", F.coalesce(value.cast("double"), F.lit(0.0)))
+    return F.format_string("%.2f", F.nanvl(F.coalesce(value.cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
 def batch_label(epoch_ms: Column, number: Column) -> Column:

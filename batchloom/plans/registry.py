@@ -89,23 +89,14 @@ def _(ws):
     return decode.decode_events(inputs.event_bodies(ws.spark, ws.sf_dir)).select("event_id", "accepted", "reason")
 
 
-def _written_twice(ws: Workspace) -> EventStore:
-    """Two epochs with the same messages, and a third that broke off before its commit."""
-    store = EventStore(ws.fresh("written")).create(ws.spark)
-    ingest.process_epoch(store, ws.messages, 0)
-    ingest.process_epoch(store, ws.messages, 1)
-    store.write("batches", 2, store.read(ws.spark, "batches").withColumn("batch_id", F.concat("batch_id", F.lit("x"))))
-    return store
-
-
 @query("write_events")
 def _(ws):
-    return _stored(_written_twice(ws).read(ws.spark, "events"))
+    return _stored(ws.twice_written.read(ws.spark, "events"))
 
 
 @query("write_batch_ledger")
 def _(ws):
-    return _written_twice(ws).read(ws.spark, "batches").select("batch_id", "payload_hash")
+    return ws.twice_written.read(ws.spark, "batches").select("batch_id", "payload_hash")
 
 
 @query("append_batches")

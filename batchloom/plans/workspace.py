@@ -9,6 +9,7 @@ import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from batchloom.operators.runs import run_report, worker_counts_of_runs
 from batchloom.plans import inputs
@@ -17,7 +18,7 @@ from batchloom.sources.messages import read_batch_messages, stream_batch_message
 from batchloom.sources.reports import read_run_reports, write_run_reports
 from batchloom.sources.store import EventStore
 from batchloom.sources.worker_log import read_worker_log
-from batchloom.streaming.ingest import drain, prepare
+from batchloom.streaming.ingest import drain, prepare, process_epoch
 
 
 class Workspace:
@@ -61,6 +62,16 @@ class Workspace:
         drain(store, self.message_stream, f"{self.root}/store-checkpoint")
         return store
 
+    @functools.cached_property
+    def twice_written(self) -> EventStore:
+        """Two epochs with the same messages, and a third that broke off before its commit."""
+        store = EventStore(f"{self.root}/twice-written").create(self.spark)
+        process_epoch(store, self.messages, 0)
+        process_epoch(store, self.messages, 1)
+        halfway = store.read(self.spark, "batches")
+        store.write("batches", 2, halfway.withColumn("batch_id", F.concat("batch_id", F.lit("x"))))
+        return store
+
     def table(self, name: str) -> DataFrame:
         return self.store.read(self.spark, name)
 

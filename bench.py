@@ -34,7 +34,7 @@ LOADS = {
     "mixed_validity": (5_000, 50, 0.10),
     "throughput": (10_000, 100, 0.0),
 }
-RUN_ONCE = {"write_events", "write_batch_ledger", "replay_recovery", "write_run_report"}
+RUN_ONCE = {"replay_recovery", "write_run_report"}
 
 
 def seconds(action) -> float:
@@ -61,6 +61,7 @@ def main() -> None:
     setup = {
         "land_messages": seconds(lambda: shared.messages_path),
         "ingest_store": seconds(lambda: shared.store),
+        "write_twice": seconds(lambda: shared.twice_written),
         "run_tables": seconds(lambda: (shared.accepted, shared.reports_path)),
     }
 

@@ -156,6 +156,7 @@ def test_display(spark):
     row = spark.sql("SELECT TIMESTAMP '2026-09-10 23:00:01.999' AS ts, CAST(NULL AS DOUBLE) AS none").select(
         display.format_run_date(F.col("ts")).alias("date"),
         display.two_decimals(F.col("none")).alias("zero"),
+        display.two_decimals(F.lit(float("nan"))).alias("not_a_number"),
         display.two_decimals(F.lit(2.675)).alias("number"),
         display.epoch_millis(F.col("ts")).alias("ms"),
         display.report_name(F.col("ts")).alias("name"),
@@ -163,5 +164,5 @@ def test_display(spark):
         runs.success_rate(F.lit(1), F.lit(4)).alias("quarter"),
     ).collect()[0]
     assert tuple(row) == (
-        "2026-09-10 23:00:01 UTC", "0.00", "2.68", 1789081201999, "stress-20260910-230001.999000000.json", 0.0, 25.0,
+        "2026-09-10 23:00:01 UTC", "0.00", "0.00", "2.68", 1789081201999, "stress-20260910-230001.999000000.json", 0.0, 25.0,
     )
