@@ -504,13 +504,11 @@ def _(ws):
 
 @query("replay_recovery")
 def _(ws):
-    """The same messages once more from a new stream, and the epoch of the first stream again."""
+    """A stream, the same stream started again, and all its messages once more from a new stream."""
     store = EventStore(ws.fresh("replayed"))
     checkpoint = ws.fresh("replayed-checkpoint")
-    ingest.drain(store, ws.message_stream, checkpoint)
-    ingest.drain(store, ws.message_stream, checkpoint)
-    ingest.process_epoch(store, ws.messages, 0)
-    ingest.process_epoch(store, ws.messages, 1)
+    for stream in (checkpoint, checkpoint, checkpoint + "-new"):
+        ingest.drain(store, ws.message_stream, stream)
     return _stored(store.read(ws.spark, "events"))
 
 

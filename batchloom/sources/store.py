@@ -1,8 +1,10 @@
 """The event store: plain Parquet tables made atomic by a commit marker per epoch.
 
-Every epoch writes ``<table>/epoch=E`` of each table by overwrite and last of all its marker in ``commits``.
-Readers keep only the rows of epochs that have a marker, so a half-written epoch is never seen, and running
-an epoch again replaces what an earlier try left behind. Epoch numbers belong to one stream checkpoint.
+Every epoch writes ``<table>/stream=S/epoch=E`` of each table by overwrite and last of all its marker in
+``commits``. Readers keep only the rows of epochs that have a marker, so a half-written epoch is never seen,
+and running an epoch again replaces what an earlier try left behind. Epoch numbers belong to one stream
+checkpoint: a stream begun afresh has a new name, so its epoch 0 is not taken for one already done. One
+writer at a time per store.
 """
 
 from __future__ import annotations
@@ -22,40 +24,50 @@ TABLES = {
     "quarantine": S.QUARANTINE,
     "commits": S.COMMITS,
 }
-_EPOCH = T.StructField("epoch", T.LongType())
+_KEY = ["stream", "epoch"]
+_KEY_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType())]
 
 
 @dataclass(frozen=True)
 class EventStore:
     root: str
+    stream: str = "batch"
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def epoch_path(self, table: str, epoch: int) -> str:
+        return f"{self.path(table)}/stream={self.stream}/epoch={epoch}"
+
+    def work_path(self, step: str) -> str:
+        """Where a stream keeps an intermediate table; every epoch overwrites it."""
+        return f"{self.root}/work/{self.stream}/{step}"
+
     def create(self, spark: SparkSession) -> EventStore:
         """Make the table folders, so that reading an empty store is no error."""
+        nothing = EventStore(self.root, "none")
         for table, schema in TABLES.items():
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.path(table)}/epoch=-1")
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(nothing.epoch_path(table, -1))
         return self
 
     def _raw(self, spark: SparkSession, table: str) -> DataFrame:
-        schema = T.StructType(TABLES[table].fields + [_EPOCH])
-        return spark.read.schema(schema).parquet(self.path(table))
+        return spark.read.schema(T.StructType(TABLES[table].fields + _KEY_FIELDS)).parquet(self.path(table))
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        """Committed rows of a table."""
-        committed = self._raw(spark, "commits").select("epoch")
-        return self._raw(spark, table).join(committed, "epoch", "left_semi").drop("epoch")
+        """Committed rows of a table, of all streams."""
+        committed = self._raw(spark, "commits").select(*_KEY)
+        return self._raw(spark, table).join(committed, _KEY, "left_semi").drop(*_KEY)
 
     def is_committed(self, spark: SparkSession, epoch: int) -> bool:
-        return not self._raw(spark, "commits").filter(F.col("epoch") == epoch).isEmpty()
+        mine = (F.col("stream") == self.stream) & (F.col("epoch") == epoch)
+        return not self._raw(spark, "commits").filter(mine).isEmpty()
 
     def written(self, spark: SparkSession, table: str, epoch: int) -> DataFrame:
         """What an epoch wrote to a table, committed or not."""
-        return spark.read.schema(TABLES[table]).parquet(f"{self.path(table)}/epoch={epoch}")
+        return spark.read.schema(TABLES[table]).parquet(self.epoch_path(table, epoch))
 
     def write(self, table: str, epoch: int, rows: DataFrame) -> None:
-        rows.select(*TABLES[table].fieldNames()).write.mode("overwrite").parquet(f"{self.path(table)}/epoch={epoch}")
+        rows.select(*TABLES[table].fieldNames()).write.mode("overwrite").parquet(self.epoch_path(table, epoch))
 
     def write_events(self, epoch: int, rows: DataFrame) -> None:
         """Events sorted inside each file, so that row groups outside a project, name or time are skipped."""

@@ -12,6 +12,7 @@ A bad message is put in quarantine with its reason and the stream goes on.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,8 @@ def _stage(store: EventStore, spark: SparkSession, messages: DataFrame, max_even
         "message_id", "message_order", "batch_id", "payload", "payload_hash", "reason",
         "valid_list", "total_events", "valid_events", "invalid_events",
     )
-    prepared.write.mode("overwrite").parquet(store.path("staging"))
-    return spark.read.schema(prepared.schema).parquet(store.path("staging"))
+    prepared.write.mode("overwrite").parquet(store.work_path("staging"))
+    return spark.read.schema(prepared.schema).parquet(store.work_path("staging"))
 
 
 def _pick(staged: DataFrame, tagged: DataFrame, status: str, counts: dict[str, int]) -> DataFrame:
@@ -77,8 +78,8 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
 
     contents = L.batch_contents(accepted, "row_id")
     known = L.relevant_ledger(store.read(spark, "batches"), contents)
-    L.judge_contents(contents, known).write.mode("overwrite").parquet(store.path("verdicts"))
-    verdicts = spark.read.schema(L.VERDICTS).parquet(store.path("verdicts"))
+    L.judge_contents(contents, known).write.mode("overwrite").parquet(store.work_path("verdicts"))
+    verdicts = spark.read.schema(L.VERDICTS).parquet(store.work_path("verdicts"))
 
     thin = ["row_id", "message_id", "batch_id", "total_events", "valid_events", "invalid_events", "status"]
     tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id").select(*thin)
@@ -98,7 +99,13 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
 
 
 def epoch_writer(store: EventStore, max_events: int = 0) -> Callable[[DataFrame, int], None]:
-    return lambda messages, epoch: process_epoch(store, messages, epoch, max_events)
+    """The stream's sink; the stream's id, kept in its checkpoint, names its epochs."""
+
+    def write(messages: DataFrame, epoch: int) -> None:
+        query_id = messages.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        process_epoch(replace(store, stream=query_id), messages, epoch, max_events)
+
+    return write
 
 
 def ingest_stream(

@@ -178,10 +178,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed.read(spark, "commits").count() == 3
     assert drain(streamed, stream_batch_messages(spark, landed, max_files=1), checkpoint)
     assert streamed.read(spark, "commits").count() == 3
+    before = _events(streamed, spark)
+    assert drain(streamed, stream_batch_messages(spark, landed), str(tmp_path / "fresh-checkpoint"))
+    assert streamed.read(spark, "commits").count() == 4
+    again = streamed.read(spark, "outcomes").groupBy("message_id").count()
+    assert again.filter("count <> 2").isEmpty() and _events(streamed, spark) == before
+    streamed_once = EventStore(str(tmp_path / "once"))
+    drain(streamed_once, stream_batch_messages(spark, landed, max_files=2), str(tmp_path / "once-checkpoint"))
     whole = EventStore(str(tmp_path / "whole")).create(spark)
     process_epoch(whole, read_batch_messages(spark, landed), 0)
-    assert _events(streamed, spark) == _events(whole, spark)
-    assert _statuses(streamed, spark) == _statuses(whole, spark)
+    assert before == _events(whole, spark) == _events(streamed_once, spark)
+    assert _statuses(streamed_once, spark) == _statuses(whole, spark)
     counts = {r["status"]: r["count"] for r in whole.read(spark, "outcomes").groupBy("status").count().collect()}
     assert counts == {"new": 37, "duplicate": 8, "conflict": 4, "rejected": 3}
     assert L.orphan_events(whole.read(spark, "events"), whole.read(spark, "batches")).isEmpty()
