@@ -3,30 +3,20 @@
 The first writer of a batch id owns it for ever. A stored ledger row wins over everything that comes later;
 without one the smallest ``message_order`` among the accepted deliveries wins. Only accepted batches compete.
 
-Hot batch ids: deliveries are first reduced to distinct contents (partial aggregation before the shuffle) and
-every later join runs on ``(batch_id, payload_hash)``, which has one row per side. No join ever brings all
-deliveries, or all contents, of one id together.
+Hot batch ids: deliveries are first reduced to distinct contents (partial aggregation before the shuffle). The
+joins that decide are one to one, on ``batch_id`` between owners and ledger rows and on
+``(batch_id, payload_hash)`` between contents and owners, so they never bring all deliveries, or all contents,
+of one id together. Only tagging every delivery is many to one; see ``lookup_join``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.spread import fits_broadcast, lookup_join
 
 CONTENT = ["batch_id", "payload_hash"]
-VERDICTS = (
-    "batch_id string, payload_hash string, first struct<message_order:bigint,row_id:bigint>, verdict string"
-)
-
-
-def stream_id_order(message_id: Column) -> Column:
-    """Numeric order of stream ids of the form ``<ms>-<sequence>``, which do not sort as text."""
-    return F.struct(
-        F.split_part(message_id, F.lit("-"), F.lit(1)).cast("bigint").alias("ms"),
-        F.split_part(message_id, F.lit("-"), F.lit(2)).cast("bigint").alias("sequence"),
-    )
 
 
 def batch_contents(accepted: DataFrame, row_id: str = "message_id") -> DataFrame:

@@ -26,6 +26,20 @@ def stream_batch_messages(spark: SparkSession, path: str, max_files: int | None
     return reader.json(path)
 
 
+def stream_id_order(message_id: Column) -> Column:
+    """Numeric order of stream ids of the form ``<ms>-<sequence>``, which do not sort as text."""
+
+    def part(n: int) -> Column:
+        return F.split_part(message_id, F.lit("-"), F.lit(n)).cast("bigint")
+
+    return F.struct(part(1).alias("ms"), part(2).alias("sequence"))
+
+
+def with_stream_order(envelopes: DataFrame) -> DataFrame:
+    """Messages from envelopes ``(message_id, batch_id, payload)`` whose ids carry the order."""
+    return envelopes.withColumn("message_order", stream_id_order(F.col("message_id")))
+
+
 def kafka_messages(raw: DataFrame) -> DataFrame:
     """Messages from a frame of the Kafka source: the record key is the batch id, its time gives the order."""
     return raw.select(

@@ -78,8 +78,9 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
 
     contents = L.batch_contents(accepted, "row_id")
     known = L.relevant_ledger(store.read(spark, "batches"), contents)
-    L.judge_contents(contents, known).write.mode("overwrite").parquet(store.work_path("verdicts"))
-    verdicts = spark.read.schema(L.VERDICTS).parquet(store.work_path("verdicts"))
+    judged = L.judge_contents(contents, known)
+    judged.write.mode("overwrite").parquet(store.work_path("verdicts"))
+    verdicts = spark.read.schema(judged.schema).parquet(store.work_path("verdicts"))
 
     thin = ["row_id", "message_id", "batch_id", "total_events", "valid_events", "invalid_events", "status"]
     tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id").select(*thin)

@@ -10,7 +10,7 @@ from batchloom.operators import ledger as L
 from batchloom.operators import spread
 from batchloom.plans import inputs
 from batchloom.sources import store as store_module
-from batchloom.sources.messages import read_batch_messages, stream_batch_messages
+from batchloom.sources.messages import read_batch_messages, stream_batch_messages, with_stream_order
 from batchloom.sources.store import EventStore
 from batchloom.sources.synth import batch_numbers, synth_batches, synth_messages
 from batchloom.streaming import ingest
@@ -107,10 +107,12 @@ def test_admission_limit(spark, store):
     assert _statuses(store, spark) == {"m0": "rejected", "m1": "new"}
 
 
-def test_message_order_is_numeric(spark):
-    ids = spark.createDataFrame([("10-2",), ("9-11",), ("9-2",)], "id string")
-    ordered = ids.orderBy(L.stream_id_order(ids.id)).collect()
-    assert [r.id for r in ordered] == ["9-2", "9-11", "10-2"]
+def test_stream_ids_order_as_numbers(spark, store):
+    first, later = batch("b", event()), batch("b", event(orgid="q"))
+    rows = [("10-2", "b", later), ("9-11", "b", later), ("9-2", "b", first)]
+    envelopes = spark.createDataFrame(rows, "message_id string, batch_id string, payload string")
+    process_epoch(store, with_stream_order(envelopes), 0)
+    assert _statuses(store, spark) == {"9-2": "new", "9-11": "conflict", "10-2": "conflict"}
 
 
 @pytest.mark.parametrize("limit", [None, 0])
