@@ -132,6 +132,21 @@ def drain(store: EventStore, messages: DataFrame, checkpoint: str, max_events: i
     return True
 
 
+def live_lag(query: StreamingQuery) -> dict[str, int]:
+    """Messages of the last epoch, and files and bytes that wait behind it; zeros before the first epoch."""
+    progress = query.lastProgress
+    if progress is None:
+        return {"messages": 0, "files": 0, "bytes": 0}
+    waiting = [source.metrics or {} for source in progress.sources]
+
+    def total(metric: str) -> int:
+        return sum(int(metrics.get(metric, 0)) for metrics in waiting)
+
+    return {
+        "messages": progress.numInputRows, "files": total("numFilesOutstanding"), "bytes": total("numBytesOutstanding"),
+    }
+
+
 def append_batches(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """The plain backend: append every accepted batch as it is, nested, without looking for duplicates."""
     accepted = prepare(messages).filter("reason IS NULL")

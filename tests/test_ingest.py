@@ -198,6 +198,18 @@ def test_stream_equals_batch(spark, tmp_path):
     assert L.orphan_events(whole.read(spark, "events"), whole.read(spark, "batches")).isEmpty()
 
 
+def test_live_lag(spark, tmp_path):
+    landed = str(tmp_path / "messages")
+    for name in ("a", "b"):
+        messages(spark, [batch(name, event())]).coalesce(1).write.mode("append").json(landed)
+    store = EventStore(str(tmp_path / "store"))
+    stream = stream_batch_messages(spark, landed, max_files=1)
+    query = ingest.ingest_stream(store, stream, str(tmp_path / "checkpoint"), availableNow=True)
+    query.awaitTermination()
+    assert ingest.live_lag(query) == {"messages": 1, "files": 0, "bytes": 0}
+    assert [p.numInputRows for p in query.recentProgress] == [1, 1]
+
+
 def test_append_backend_keeps_copies(spark, tmp_path):
     landed, path = str(tmp_path / "messages"), str(tmp_path / "appended")
     payload = batch("b", event(event=""), event())
