@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.operators.spread import lookup_join
+from batchloom.operators.spread import fits_broadcast, lookup_join
 from batchloom.session import checkpointed
 
 PER_OCTAVE = 16
@@ -49,8 +49,11 @@ def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[flo
     ``trunc((n - 1) * ratio)`` of the sorted values. No interpolation.
     """
     values = rows.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    extremes = [F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
-    coarse = checkpointed(values.withColumn("bucket", _ratio_bucket(F.col("v"))).groupBy(*keys, "bucket").agg(*extremes))
+    coarse = checkpointed(
+        values.withColumn("bucket", _ratio_bucket(F.col("v")))
+        .groupBy(*keys, "bucket")
+        .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    )
     totals = coarse.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
@@ -63,11 +66,16 @@ def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[flo
     found = brackets.filter("lo = hi")
     open_brackets = brackets.filter("lo < hi")
     while not open_brackets.isEmpty():
+        if fits_broadcast(open_brackets):
+            counted = values.withColumn("count", F.lit(1))
+        else:
+            # The values will be shuffled: equal ones first become one row, or a common value would be hot.
+            counted = values.groupBy(*keys, "v").count()
         parts = (
-            lookup_join(values, open_brackets, keys, F.col("v"), condition=inside, weights=weights)
+            lookup_join(counted, open_brackets, keys, F.col("v"), condition=inside, weights=weights)
             .withColumn("bucket", _part(F.col("v")))
             .groupBy(*keys, "ratio", "rank", "bucket")
-            .agg(*extremes)
+            .agg(F.sum("count").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         )
         brackets = checkpointed(_holding_bucket(parts, keys))
         found = found.unionByName(brackets.filter("lo = hi"))

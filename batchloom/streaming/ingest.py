@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from batchloom import schemas as S
 from batchloom.operators import ledger as L
 from batchloom.operators.decode import decode_batches
-from batchloom.operators.spread import BROADCAST_ROWS
+from batchloom.operators.spread import BROADCAST_ROWS, lookup_join
 from batchloom.operators.validate import enforce_batch_limit, stored_rows, validate_batches, with_payload_hash
 from batchloom.sources.messages import envelope_error
 from batchloom.sources.store import EventStore
@@ -40,30 +40,47 @@ def prepare(messages: DataFrame, max_events: int = 0) -> DataFrame:
 def _stage(store: EventStore, spark: SparkSession, messages: DataFrame, max_events: int) -> DataFrame:
     """Write the prepared messages once; from here on every step reads the written copy.
 
-    Row numbers are fixed by the write, so later steps agree on them even when executors are lost.
+    Row numbers are fixed by the write, so later steps agree on them even when executors are lost. The text
+    of accepted messages, most of the bytes, is not kept: their decoded events are.
     """
     prepared = prepare(messages, max_events).select(
         F.monotonically_increasing_id().alias("row_id"),
-        "message_id", "message_order", "batch_id", "payload", "payload_hash", "reason",
+        "message_id", "message_order", "batch_id", "payload_hash", "reason",
+        F.when(F.col("reason").isNotNull(), F.col("payload")).alias("payload"),
         "valid_list", "total_events", "valid_events", "invalid_events",
     )
     prepared.write.mode("overwrite").parquet(store.work_path("staging"))
     return spark.read.schema(prepared.schema).parquet(store.work_path("staging"))
 
 
-def _pick(staged: DataFrame, tagged: DataFrame, status: str, counts: dict[str, int]) -> DataFrame:
-    """Staged rows with one status.
+def _fresh(staged: DataFrame, tagged: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """Staged rows of the new messages.
 
-    Payloads move only when both sides are large: a small set of rows is broadcast by number, either the
-    wanted rows or all the others.
+    Events move only when both the new and the other messages are many: a small set of rows is broadcast by
+    number, either the new rows or all the others.
     """
-    wanted = tagged.filter(F.col("status") == status).select("row_id")
-    if counts.get(status, 0) <= BROADCAST_ROWS:
-        return staged.join(F.broadcast(wanted), "row_id", "left_semi")
-    if sum(counts.values()) - counts[status] <= BROADCAST_ROWS:
-        others = tagged.filter(F.col("status") != status).select("row_id")
+    is_new = F.col("status") == "new"
+    new, others = tagged.filter(is_new).select("row_id"), tagged.filter(~is_new).select("row_id")
+    if counts.get("new", 0) <= BROADCAST_ROWS:
+        return staged.join(F.broadcast(new), "row_id", "left_semi")
+    if sum(counts.values()) - counts["new"] <= BROADCAST_ROWS:
         return staged.join(F.broadcast(others), "row_id", "left_anti")
-    return staged.join(wanted, "row_id", "left_semi")
+    return staged.join(new, "row_id", "left_semi")
+
+
+def _conflicts(messages: DataFrame, tagged: DataFrame, max_events: int) -> DataFrame:
+    """The messages in conflict, with their text, read once more from the source.
+
+    Candidates are found by message id; decoding them again tells apart different contents sent under one id.
+    """
+    contents = tagged.filter(F.col("status") == "conflict").select("message_id", "payload_hash").distinct()
+    ids = contents.select("message_id").distinct()
+    # Numbered as read, before any shuffle, so that a repeated task spreads its rows as the first one did.
+    place = F.col("place")
+    numbered = messages.withColumn("place", F.monotonically_increasing_id())
+    candidates = prepare(lookup_join(numbered, ids, ["message_id"], place), max_events)
+    found = lookup_join(candidates, contents, ["message_id", "payload_hash"], place)
+    return found.withColumn("reason", F.lit(S.CONFLICT))
 
 
 def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events: int = 0) -> None:
@@ -71,6 +88,7 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
     spark = messages.sparkSession
     if store.is_committed(spark, epoch):
         return
+    messages = messages.withColumn("message_id", F.coalesce("message_id", F.lit("")))
     created_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
     staged = _stage(store, spark, messages, max_events)
     accepted = staged.filter("reason IS NULL")
@@ -82,19 +100,19 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
     judged.write.mode("overwrite").parquet(store.work_path("verdicts"))
     verdicts = spark.read.schema(judged.schema).parquet(store.work_path("verdicts"))
 
-    thin = ["row_id", "message_id", "batch_id", "total_events", "valid_events", "invalid_events", "status"]
-    tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id").select(*thin)
-    turned_away = rejected.withColumn("status", F.lit("rejected")).select(*thin)
-    store.write("outcomes", epoch, tagged.unionByName(turned_away))
+    tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id")
+    turned_away = rejected.withColumn("status", F.lit("rejected"))
+    thin = S.OUTCOMES.fieldNames()
+    store.write("outcomes", epoch, tagged.select(*thin).unionByName(turned_away.select(*thin)))
     tagged = store.written(spark, "outcomes", epoch)
     counts = {r["status"]: r["count"] for r in tagged.groupBy("status").count().collect()}
 
-    fresh = _pick(staged, tagged, "new", counts)
-    store.write_events(epoch, stored_rows(fresh).withColumn("created_at", created_at))
+    store.write_events(epoch, stored_rows(_fresh(staged, tagged, counts)).withColumn("created_at", created_at))
+    quarantined = rejected.select(*S.QUARANTINE.fieldNames())
     if counts.get("conflict"):
-        conflicts = _pick(staged, tagged, "conflict", counts).withColumn("reason", F.lit(S.CONFLICT))
-        rejected = rejected.unionByName(conflicts)
-    store.write("quarantine", epoch, rejected)
+        conflicts = _conflicts(messages, tagged, max_events)
+        quarantined = quarantined.unionByName(conflicts.select(*S.QUARANTINE.fieldNames()))
+    store.write("quarantine", epoch, quarantined)
     store.write("batches", epoch, L.new_batches(verdicts).withColumn("created_at", created_at))
     store.commit(spark, epoch)
 

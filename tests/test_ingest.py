@@ -92,6 +92,16 @@ def test_same_message_id_twice(spark, store):
     assert store.read(spark, "events").count() == 1
 
 
+def test_different_contents_under_one_message_id(spark, store):
+    first, other, later = batch("b", event()), batch("b", event(orgid="q")), batch("c", event())
+    rows = [("m0", 0, "b", first), ("m0", 1, "b", other), ("m0", 2, "b", later), ("m0", 3, "b", other), (None, 4, "b", other)]
+    process_epoch(store, spark.createDataFrame(rows, S.MESSAGE), 0)
+    statuses = sorted((r.message_id, r.status) for r in store.read(spark, "outcomes").collect())
+    assert statuses == [("", "conflict"), ("m0", "conflict"), ("m0", "conflict"), ("m0", "new"), ("m0", "new")]
+    quarantine = sorted((r.message_id, r.payload) for r in store.read(spark, "quarantine").collect())
+    assert quarantine == [("", other), ("m0", other), ("m0", other)]
+
+
 def test_envelopes(spark, store):
     good = batch("inner", event())
     rows = [("m0", 0, None, good), ("m1", 1, "b", None), ("m2", 2, "outer", good), ("m3", 3, "b", "{")]

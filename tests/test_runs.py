@@ -40,7 +40,8 @@ LISTS = {
 @pytest.mark.parametrize("few", [True, False])
 def test_exact_ranks(spark, monkeypatch, few):
     if not few:
-        monkeypatch.setattr(spread, "fits_broadcast", lambda *_: False)
+        for module in (spread, ranks):
+            monkeypatch.setattr(module, "fits_broadcast", lambda *_: False)
     monkeypatch.setattr(ranks, "PARTS", 16)
     monkeypatch.setattr(spread, "ROWS_PER_SALT", 700)
     rows = [(run, v) for run, values in LISTS.items() for v in values]
