@@ -24,7 +24,7 @@ def _per_status(requests: DataFrame) -> DataFrame:
 
 def _outcome_columns() -> list[Column]:
     answered = F.col("status").isNotNull()
-    success = F.coalesce(F.col("status").cast("int").between(200, 299), F.lit(False))
+    success = F.coalesce(F.col("status").try_cast("int").between(200, 299), F.lit(False))
     return [
         F.sum("n").alias("attempts"),
         F.sum(F.when(success, F.col("n")).otherwise(0)).alias("successful"),

@@ -21,7 +21,11 @@ def event_error(event: Column) -> Column:
 
 
 def batch_error(batch_id: Column, total: Column, valid: Column) -> Column:
-    return F.when(batch_id == "", S.MISSING_BATCH_ID).when(total == 0, S.EMPTY_BATCH).when(valid == 0, S.NO_VALID_EVENTS)
+    return (
+        F.when(batch_id == "", S.MISSING_BATCH_ID)
+        .when(total == 0, S.EMPTY_BATCH)
+        .when(valid == 0, S.NO_VALID_EVENTS)
+    )
 
 
 def enforce_batch_limit(decoded: DataFrame, max_events: int) -> DataFrame:

@@ -369,7 +369,7 @@ def _(ws):
 @query("runs_newest_first")
 def _(ws):
     return runs.runs_newest_first(ws.manifest).select(
-        display.format_run_date(F.col("report.started_at")).alias("started"), "file", F.col("report.batches").alias("batches")
+        display.format_run_date(F.col("report.started_at")).alias("started"), "file", "report.batches"
     )
 
 
@@ -460,7 +460,9 @@ def _(ws):
 @query("log_fields")
 def _(ws):
     return worker_log.log_fields(ws.worker_log).groupBy("worker_id", "msg").agg(
-        F.count("*").alias("lines"), F.count("ts").alias("timed"), F.max(display.epoch_millis(F.col("ts"))).alias("last_ms")
+        F.count("*").alias("lines"),
+        F.count("ts").alias("timed"),
+        F.max(display.epoch_millis(F.col("ts"))).alias("last_ms"),
     )
 
 
@@ -496,9 +498,9 @@ def _(ws):
 def _(ws):
     """Against a ledger that holds some ids already, one half of them with other contents."""
     group = F.expr("first.message_order div 10") % 10
-    known = ledger.batch_contents(ws.accepted).filter(group.isin(0, 5)).select(
-        "batch_id", F.when(group == 5, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash")).alias("payload_hash")
-    )
+    other = F.when(group == 5, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash"))
+    contents = ledger.batch_contents(ws.accepted).filter(group.isin(0, 5))
+    known = contents.select("batch_id", other.alias("payload_hash"))
     return _tagged(ws, known).select("message_id", "batch_id", "status")
 
 

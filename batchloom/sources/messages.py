@@ -30,7 +30,7 @@ def stream_id_order(message_id: Column) -> Column:
     """Numeric order of stream ids of the form ``<ms>-<sequence>``, which do not sort as text."""
 
     def part(n: int) -> Column:
-        return F.split_part(message_id, F.lit("-"), F.lit(n)).cast("bigint")
+        return F.split_part(message_id, F.lit("-"), F.lit(n)).try_cast("bigint")
 
     return F.struct(part(1).alias("ms"), part(2).alias("sequence"))
 

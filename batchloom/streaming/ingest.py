@@ -140,7 +140,9 @@ def ingest_stream(
     )
 
 
-def drain(store: EventStore, messages: DataFrame, checkpoint: str, max_events: int = 0, timeout: int | None = None) -> bool:
+def drain(
+    store: EventStore, messages: DataFrame, checkpoint: str, max_events: int = 0, timeout: int | None = None
+) -> bool:
     """Process all that is there, then stop; False when ``timeout`` seconds ran out first."""
     query = ingest_stream(store, messages, checkpoint, max_events, availableNow=True)
     done = query.awaitTermination(timeout)
