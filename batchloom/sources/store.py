@@ -1,10 +1,12 @@
 """The event store: plain Parquet tables made atomic by a commit marker per epoch.
 
 Every epoch writes ``<table>/stream=S/epoch=E`` of each table by overwrite and last of all its marker in
-``commits``. Readers keep only the rows of epochs that have a marker, so a half-written epoch is never seen,
-and running an epoch again replaces what an earlier try left behind. Epoch numbers belong to one stream
-checkpoint: a stream begun afresh has a new name, so its epoch 0 is not taken for one already done. One
-writer at a time per store.
+``commits``. The epochs of a stream come in order, so all up to the last marker are complete: readers keep
+only those, by a filter on the folders and without a join, and see the store as it was when ``read`` was
+called. A half-written epoch is never seen, and running it again replaces what an earlier try left behind.
+
+Epoch numbers belong to one stream checkpoint: a stream begun afresh has a new name, so its epoch 0 is not
+taken for one already done. One writer at a time per store.
 """
 
 from __future__ import annotations
@@ -24,7 +26,6 @@ TABLES = {
     "quarantine": S.QUARANTINE,
     "commits": S.COMMITS,
 }
-_KEY = ["stream", "epoch"]
 _KEY_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType())]
 
 
@@ -53,14 +54,26 @@ class EventStore:
     def _raw(self, spark: SparkSession, table: str) -> DataFrame:
         return spark.read.schema(T.StructType(TABLES[table].fields + _KEY_FIELDS)).parquet(self.path(table))
 
+    def last_epochs(self, spark: SparkSession) -> dict[str, int]:
+        """The last committed epoch of every stream that ever wrote to the store."""
+        last = self._raw(spark, "commits").groupBy("stream").agg(F.max("epoch").alias("epoch"))
+        return {row.stream: row.epoch for row in last.collect()}
+
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         """Committed rows of a table, of all streams."""
-        committed = self._raw(spark, "commits").select(*_KEY)
-        return self._raw(spark, table).join(committed, _KEY, "left_semi").drop(*_KEY)
+        committed = F.lit(False)
+        for stream, epoch in self.last_epochs(spark).items():
+            committed = committed | ((F.col("stream") == stream) & (F.col("epoch") <= epoch))
+        return self._raw(spark, table).filter(committed).drop("stream", "epoch")
 
     def is_committed(self, spark: SparkSession, epoch: int) -> bool:
+        last = self.last_epochs(spark).get(self.stream, -1)
+        if epoch > last:
+            return False
         mine = (F.col("stream") == self.stream) & (F.col("epoch") == epoch)
-        return not self._raw(spark, "commits").filter(mine).isEmpty()
+        if self._raw(spark, "commits").filter(mine).isEmpty():
+            raise ValueError(f"epoch {epoch} of stream {self.stream} comes after its epoch {last}")
+        return True
 
     def written(self, spark: SparkSession, table: str, epoch: int) -> DataFrame:
         """What an epoch wrote to a table, committed or not."""

@@ -153,6 +153,21 @@ def test_replaying_an_epoch_changes_nothing(spark, store):
     assert store.read(spark, "batches").count() == 2
 
 
+def test_epochs_come_in_order(spark, store):
+    process_epoch(store, messages(spark, [batch("a", event())]), 3)
+    with pytest.raises(ValueError):
+        process_epoch(store, messages(spark, [batch("b", event())]), 2)
+    process_epoch(EventStore(store.root, "other"), messages(spark, [batch("b", event())]), 2)
+    assert store.read(spark, "events").count() == 2
+
+
+def test_a_read_is_a_snapshot(spark, store):
+    process_epoch(store, messages(spark, [batch("a", event())]), 0)
+    before = store.read(spark, "events")
+    process_epoch(store, messages(spark, [batch("b", event())]), 1)
+    assert (before.count(), store.read(spark, "events").count()) == (1, 2)
+
+
 def test_crash_between_writes(spark, store, monkeypatch):
     """One epoch that breaks off before each of its writes in turn, then runs through."""
     process_epoch(store, messages(spark, [batch("a", event())]), 0)
