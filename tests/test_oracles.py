@@ -8,7 +8,9 @@ import pytest
 import __spark_entry__ as entry_module
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+ALL = entry_module.queries()
+# Queries over training text are tested in their own folder.
+QUERIES, ORACLES = entry_module.QUERIES, entry_module.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +27,7 @@ def _sorted(rows):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ALL) and set(ORACLES) <= set(entry_module.oracle_sql()) <= set(ALL)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
