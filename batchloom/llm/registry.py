@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from batchloom.llm import decontaminate, simhash
+from batchloom.llm import decontaminate, mixing, quality, simhash, tokens
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op5_co_training": quality.op5_co_training,
+    "op6_token_ids": tokens.op6_token_ids,
     "op8_winnowing": decontaminate.op8_winnowing,
 }
 ORACLES = {
