@@ -4,7 +4,7 @@ Every document's inclusion ratio is its source's target over the source's size:
 an inclusion probability. The flight phase moves the probabilities of three documents at a time along the null space
 of the two balancing constraints (tokens and documents of the source) until one of them is 0 or 1, so both totals stay
 as they are. Documents of a source are dealt over blocks of bounded size by hash; at most two documents a block remain
-undecided and go to the next level, until one block per source is left. There the flight ends with the last dozen
+undecided and go to the next level, until one block per source is left. There the flight ends with the last sixteen
 documents: the landing problem, small enough to try all outcomes. The one that misses the
 totals least is taken.
 """
@@ -27,7 +27,7 @@ MOST = 3
 #: Documents of one flight at most, on average.
 BLOCK = 4096
 #: Undecided documents of a source that are left to the landing; all their outcomes are tried.
-LANDING = 12
+LANDING = 16
 
 
 def word_count(text) -> F.Column:
