@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from batchloom.llm import decontaminate, mixing, quality, simhash, tokens
+from batchloom.llm import decontaminate, mixing, quality, rules, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op5_co_training": quality.op5_co_training,
     "op6_token_ids": tokens.op6_token_ids,
     "op8_winnowing": decontaminate.op8_winnowing,
+    "op10_rule_cascade": rules.op10_rule_cascade,
 }
 ORACLES = {
     "op8_winnowing": decontaminate.OP8_SQL,
+    "op10_rule_cascade": rules.OP10_SQL,
 }
