@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from batchloom.llm import decontaminate, mixing, quality, rules, simhash, tokens, toxicity
+from batchloom.llm import chat, decontaminate, mixing, quality, rules, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_simhash": simhash.op3_simhash,
+    "op4_prefix_targets": chat.op4_prefix_targets,
     "op5_co_training": quality.op5_co_training,
     "op6_token_ids": tokens.op6_token_ids,
+    "op7_markov_secrets": secrets.op7_markov_secrets,
     "op8_winnowing": decontaminate.op8_winnowing,
     "op10_rule_cascade": rules.op10_rule_cascade,
 }
 ORACLES = {
+    "op4_prefix_targets": chat.OP4_SQL,
     "op8_winnowing": decontaminate.OP8_SQL,
     "op10_rule_cascade": rules.OP10_SQL,
 }
