@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from batchloom.llm import chat, decontaminate, mixing, quality, rules, secrets, simhash, tokens, toxicity
+from batchloom.llm import chat, decontaminate, mixing, passages, quality, rules, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_ids": tokens.op6_token_ids,
     "op7_markov_secrets": secrets.op7_markov_secrets,
     "op8_winnowing": decontaminate.op8_winnowing,
+    "op9_chained_passages": passages.op9_chained_passages,
     "op10_rule_cascade": rules.op10_rule_cascade,
 }
 ORACLES = {
