@@ -3,7 +3,7 @@
 Every document's inclusion ratio is its source's target over the source's size: whole copies are certain, the rest is
 an inclusion probability. The flight phase moves the probabilities of three documents at a time along the null space
 of the two balancing constraints (tokens and documents of the source) until one of them is 0 or 1, so both totals stay
-as they are. Documents of a source are dealt over blocks of bounded size by hash; at most two documents a block remain
+as they are. Documents of a source are dealt over blocks of bounded size by hash; a few documents a block remain
 undecided and go to the next level, until one block per source is left. There the flight ends with the last sixteen
 documents: the landing problem, small enough to try all outcomes. The one that misses the
 totals least is taken.
@@ -28,6 +28,8 @@ MOST = 3
 BLOCK = 4096
 #: Undecided documents of a source that are left to the landing; all their outcomes are tried.
 LANDING = 16
+#: Undecided documents that a block leaves to the next level.
+LEAVE = 8
 
 
 def word_count(text) -> F.Column:
@@ -119,7 +121,7 @@ def _fly(level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
         place, number = order.column("place")[0].as_py(), order.column("block")[0].as_py()
         draw = random.Random(f"{place}/{level}/{number}").random
         size = [float(x) for x in order.column("size").to_pylist()]
-        p = flight(order.column("p").to_pylist(), size, draw, LANDING if last else 2)
+        p = flight(order.column("p").to_pylist(), size, draw, LANDING if last else LEAVE)
         p = land(p, size) if last else p
         return order.set_column(order.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
@@ -157,7 +159,7 @@ def mix(
         units = materialize(flown, f"flight{level}")
         if last:
             break
-        blocks, most_blocks, level = F.ceil(2 * blocks / block), -(-2 * most_blocks // block), level + 1
+        blocks, most_blocks, level = F.ceil(LEAVE * blocks / block), -(-LEAVE * most_blocks // block), level + 1
     done.append(units)
     every = done[0]
     for part in done[1:]:

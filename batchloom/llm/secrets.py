@@ -30,8 +30,8 @@ WORD = r"[A-Za-z0-9+/_=-]{4,}"
 SAMPLE = 2_000
 DIGESTS = 2_000
 #: A token is a secret when random strings explain it better by this much: in all, and per character pair.
-LEAST_RATIO = 12.0
-LEAST_PER_PAIR = 0.9
+LEAST_RATIO = 6.0
+LEAST_PER_PAIR = 0.2
 _BLOCK = 128
 
 
@@ -102,7 +102,7 @@ def labelled_samples(docs: DataFrame, key: str, text: str, sample: int = SAMPLE)
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_t", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = texts.select(F.explode(_matches(rest, WORD)).alias("token"))
     number = docs.sparkSession.range(DIGESTS).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("d"))
-    b64 = F.rtrim(F.lit("="), F.base64(F.unhex("d")))
+    b64 = F.rtrim(F.base64(F.unhex("d")), F.lit("="))
     made = number.select(F.explode(F.array(
         b64, F.substring("d", 1, 40), F.substring(F.upper(F.regexp_replace(b64, "[+/]", "")), 1, 20),
         F.substring(F.regexp_replace(b64, "[+/]", ""), 1, 32),

@@ -1,0 +1,83 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from samples import LONG, prose
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from batchloom.llm import tokens as K
+
+PATH = K.tokenizer_path()
+LIBRARY = Tokenizer.from_file(PATH)
+ENCODER = K.Encoder(PATH)
+
+
+def plain(text):
+    return np.array(LIBRARY.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_PIECES = ["a", "B", " ", "\n", "\t", "'s", "don't", "é", "’", "1", "23", ".", ",\n", "\xa0", "<|endoftext|>", "x\ny", "Ġ", "😀", "\x1c", "\r"]
+
+
+@settings(max_examples=300)
+@given(st.lists(st.lists(st.sampled_from(_PIECES), max_size=12).map("".join), max_size=5))
+def test_same_ids_as_the_library(texts):
+    assert ENCODER.encode(texts) == [plain(t) for t in texts]
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(K, "MEMO_WORDS", 3)
+    encoder = K.Encoder(PATH)
+    for text in (prose(1), prose(2), prose(1)):
+        assert encoder.encode([text]) == [plain(text)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 4096])
+def test_hash_is_minimal_and_perfect(n):
+    draw = np.random.default_rng(n)
+    h1, h2 = draw.integers(0, 1 << 64, (2, n), dtype=np.uint64)
+    seeds, slots = K.build_hash(h1, h2)
+    assert sorted(slots.tolist()) == list(range(n))
+    assert (K.find_slots(h1, h2, seeds, n) == slots).all()
+
+
+def test_round_trip(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_IDS", 200)
+    monkeypatch.setattr(K, "BUCKET_KEYS", 16)
+    draw = random.Random(4)
+    rows = [(i, prose(i, draw.randint(0, 60)), "en", "a", 1) for i in range(150)]
+    rows += [(7, "same", "en", "a", 1)] * 40 + [(None, f"null {i % 3}", "en", "a", 1) for i in range(30)] + [(200, LONG, "", "", 1), (201, None, "", "", 1)]
+    draw.shuffle(rows)
+    docs = docs_of(rows)
+    store = K.write_tokens(docs)
+    found = K.read_all(store, docs).orderBy("start").collect()
+    keys = [(r.key is None, r.key or 0) for r in found]
+    assert keys == sorted(keys) and len(found) == len(rows)
+    at, wanted = 0, {}
+    for key, text, *_ in rows:
+        wanted.setdefault(key, []).append(plain(text) + b"\0\0\0\0")
+    copies = {}
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+        copies.setdefault(r.key, []).append((r.copy, r.n_tokens, r.ids_crc32))
+    for key, raw in wanted.items():
+        assert sorted(c for c, _, _ in copies[key]) == list(range(len(raw)))
+        assert sorted((n, s) for _, n, s in copies[key]) == sorted((len(x) // 4, zlib.crc32(x)) for x in raw)
+    asked = spark.createDataFrame([(3, 0), (7, 5), (None, 1), (3, 9), (999, 0)], "key long, copy long")
+    got = {(r.key, r.copy): bytes(r.ids) for r in K.fetch(store, asked).collect()}
+    assert set(got) == {(3, 0), (7, 5), (None, 1)}  # unknown keys have another fingerprint
+    assert got[(3, 0)] == wanted[3][0] and got[(None, 1)] in wanted[None]
+
+
+def test_query_against_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    at = 0
+    for r in K.op6_token_ids(spark, folder).orderBy("doc_id").collect():
+        raw = plain(texts[r.doc_id]) + b"\0\0\0\0"
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(raw) // 4, zlib.crc32(raw))
+        at += r.n_tokens
