@@ -3,7 +3,7 @@
 ``write_tokens`` sorts the documents by key over range partitions and encodes them in the same task. A shard is a
 range; its file holds blocks of raw little-endian unsigned 32-bit ids with the keys and lengths of their documents.
 The index is split by key hash into buckets of bounded size. A bucket is one row: a minimal perfect hash by hash and
-displace (a seed for each group of about four keys, a direct slot for groups of one) and, per slot, a fingerprint of
+displace (a seed for each group of about two keys, a direct slot for groups of one) and, per slot, a fingerprint of
 the key, the shard and the offsets. A lookup reads one bucket, one seed and one slot, whatever the number of keys.
 """
 
@@ -29,15 +29,20 @@ BLOCK_IDS = 1 << 18
 BLOCK_DOCS = 1 << 13
 #: Keys of an index bucket on average, and of a displacement group.
 BUCKET_KEYS = 4096
-GROUP_KEYS = 4
+GROUP_KEYS = 2
 #: Words whose ids a worker keeps.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
 
-# Texts for which words may be encoded one by one: single spaces between other characters, and only characters whose
-# classes no version of Unicode has changed. Others are encoded whole.
-_WHOLE = re.compile(
-    r"^[\s\x1c-\x1f]|[\s\x1c-\x1f]$| [\s\x1c-\x1f]|[\s\x1c-\x1f] |<\|endoftext\|>|[^\t\n\r\x20-\x7e\xa1-ɏ]"
-)
+# Words may be encoded one by one where single spaces and line ends stand between other characters, and only characters
+# whose classes no version of Unicode has changed. Other texts are encoded whole.
+_RARE = re.compile(r"[^\x00-\x7f\xa1-ɏ]")
+_WHOLE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
+
+
+def _by_words(text: str) -> bool:
+    if not text or text[0] in " \n" or text[-1] in " \n" or "<|endoftext|>" in text:
+        return False
+    return not any(map(text.__contains__, _WHOLE)) and (text.isascii() or not _RARE.search(text))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,9 +54,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, without special tokens.
 
-    A byte-level BPE never merges across a single space, so the ids of a text are those of its words, each with the
-    space before it. Ids of words are kept; new words are encoded many at a time and cut where a token begins with
-    the space. ``encode_batch`` of the tokenizers library gives the same ids, more slowly.
+    A byte-level BPE of this kind never merges across a single space or line end, so the ids of a text are those of
+    its words, each with the space or line end before it. Ids of words are kept; new words are encoded many at a time
+    and cut where a token begins with the space or line end. ``encode_batch`` of the tokenizers library gives the same
+    ids, more slowly.
     """
 
     def __init__(self, path: str):
@@ -61,7 +67,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
-            self.opens[i] = token.startswith("Ġ")  # how the vocabulary spells a space
+            self.opens[i] = token[0] in "ĠĊ"  # how the vocabulary spells a space and a line end
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -69,30 +75,41 @@ class Encoder:
         return [np.array(e.ids, "<u4") for e in found]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words that each stand after a space, or after the line end they begin with."""
+        spelled = [w if w[0] == "\n" else " " + w for w in words]
         learnt = {}
-        lots = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for lot, ids in zip(lots, self._ids([" " + " ".join(lot) for lot in lots])):
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(lot):  # cannot happen with the classes above; kept exact all the same
-                learnt.update(zip(lot, (x.tobytes() for x in self._ids([" " + w for w in lot]))))
-                continue
-            raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids)]
-            learnt.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(lot, cuts.tolist(), ends))
+        for lines in (False, True):  # not mixed: a space before a line end would be another token
+            some = [(w, x) for w, x in zip(words, spelled) if (x[0] == "\n") == lines]
+            lots = [some[i : i + 64] for i in range(0, len(some), 64)]
+            for lot, ids in zip(lots, self._ids(["".join(x for _, x in lot) for lot in lots])):
+                cuts = np.flatnonzero(self.opens[ids])
+                if len(cuts) != len(lot):  # cannot happen with the characters above; kept exact all the same
+                    learnt.update((w, i.tobytes()) for (w, _), i in zip(lot, self._ids([x for _, x in lot])))
+                    continue
+                raw, ends = ids.tobytes(), [*cuts[1:].tolist(), len(ids)]
+                learnt.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(lot, cuts.tolist(), ends))
         return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if not t or _WHOLE.search(t) else t.split(" ") for t in texts]
-        new = {w for words in split if words for w in words[1:]}
-        fresh = self._learn([w for w in new if w not in self.memo])
-        if len(self.memo) + len(fresh) <= MEMO_WORDS:
-            self.memo.update(fresh)
-            fresh = {}
+        split = [t.replace("\n", " \n").split(" ") if _by_words(t) else [] for t in texts]
+        # The first word has nothing before it: it is encoded as the head of its text.
         heads = self._ids([words[0] if words else text for words, text in zip(split, texts)])
-        kept = self.memo.get if not fresh else lambda w, memo=self.memo: fresh.get(w) or memo[w]
-        return [
-            head.tobytes() + b"".join(map(kept, words[1:])) if words else head.tobytes()
-            for head, words in zip(heads, split)
-        ]
+        parts = [list(map(self.memo.get, words)) for words in split]
+        holes = []
+        for words, found in zip(split, parts):
+            if words:
+                found[0] = b""
+            at = 0
+            for _ in range(found.count(None)):
+                at = found.index(None, at)
+                holes.append((found, at, words[at]))
+                found[at] = b""
+        fresh = self._learn(list({word for _, _, word in holes}))
+        for found, at, word in holes:
+            found[at] = fresh[word]
+        if len(self.memo) < MEMO_WORDS:
+            self.memo.update(fresh)
+        return [head.tobytes() + b"".join(found) for head, found in zip(heads, parts)]
 
 
 def _encoder(path: str) -> Encoder:
@@ -238,28 +255,22 @@ def build_hash(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(h1)
     groups = -(-n // GROUP_KEYS)
     group = (h1 % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(group, kind="stable")
-    ends = np.cumsum(np.bincount(group, minlength=groups))
+    sizes = np.bincount(group, minlength=groups)
     seeds, slots, taken = np.zeros(groups, np.int32), np.empty(n, np.int64), np.zeros(n, bool)
-    sizes = np.diff(ends, prepend=0)
-    tries = np.arange(32, dtype=np.uint64)
-    for g in np.argsort(-sizes, kind="stable").tolist():
-        if sizes[g] < 2:
-            break
-        members, seed = order[ends[g] - sizes[g] : ends[g]], 0
-        while True:
-            spots = (_mix(h1[members, None], h2[members, None], tries[None] + np.uint64(seed)) % np.uint64(n)).astype(np.int64)
-            ordered = np.sort(spots, axis=0)
-            good = np.flatnonzero(~taken[spots].any(axis=0) & (ordered[1:] != ordered[:-1]).all(axis=0))
-            if len(good):
-                break
-            seed += len(tries)
-        seeds[g], slots[members] = seed + good[0], spots[:, good[0]]
-        taken[spots[:, good[0]]] = True
-    free = np.flatnonzero(~taken)
-    single = np.flatnonzero(sizes == 1)
-    seeds[single] = -1 - free[: len(single)]  # a group of one names its slot
-    slots[order[ends[single] - 1]] = free[: len(single)]
+    for size in range(int(sizes.max(initial=0)), 1, -1):  # large groups while there is room
+        keys, seed = np.flatnonzero(sizes[group] == size), 0
+        keys = keys[np.argsort(group[keys], kind="stable")]
+        while len(keys):  # one seed for all groups that have no place yet; the first to ask gets a slot
+            spots = (_mix(h1[keys], h2[keys], seed) % np.uint64(n)).astype(np.int64)
+            first = np.zeros(len(keys), bool)
+            first[np.unique(spots, return_index=True)[1]] = True
+            free = (first & ~taken[spots]).reshape(-1, size).all(axis=1)
+            won = np.repeat(free, size)
+            seeds[group[keys[won]]], slots[keys[won]], taken[spots[won]] = seed, spots[won], True
+            keys, seed = keys[~won], seed + 1
+    left, alone = np.flatnonzero(~taken), np.flatnonzero(sizes[group] == 1)
+    seeds[group[alone]] = -1 - left  # a group of one names its slot
+    slots[alone] = left
     return seeds, slots
 
 
