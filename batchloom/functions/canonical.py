@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from batchloom.functions.fields import JSON_NULL
+from batchloom.functions.fields import JSON_NULL, JSON_PARTS
 from batchloom.schemas import EVENT_FIELDS
 
 # Left out of the text when empty; every other key is always written.
@@ -21,12 +21,29 @@ def _canonical_value(key: str, column: str, kind: str) -> str:
     return f"e.{column}"
 
 
+def _numbers_by_value(text: str) -> str:
+    """One spelling per number: whole numbers without point or exponent, all others as 64-bit floats.
+
+    Whole numbers of the 64-bit range stay exact. Strings are left as they are.
+    """
+    value = "CAST(n AS double)"
+    whole = f"{value} = floor({value}) AND abs({value}) < 9.2e18"
+    one = f"CASE WHEN n RLIKE '^-?[0-9]{{1,18}}$' THEN n WHEN n RLIKE '^-?[0-9]+$' AND try_cast(n AS bigint) IS NOT NULL THEN n"
+    one += f" WHEN {whole} THEN CAST(CAST({value} AS bigint) AS string) ELSE CAST({value} AS string) END"
+    pieces = f"regexp_extract_all(p, '-?[0-9][-+.eE0-9]*+|[^-0-9]++|-', 0)"
+    spelled = f"array_join(transform({pieces}, n -> CASE WHEN n RLIKE '^-?[0-9]' THEN {one} ELSE n END), '')"
+    parts = f"regexp_extract_all(t, '{JSON_PARTS}', 0)"
+    joined = f"array_join(transform({parts}, p -> CASE WHEN startswith(p, '\"') THEN p ELSE {spelled} END), '')"
+    odd = "t RLIKE '[0-9][.eE]|[0-9]{19}'"
+    # ``transform`` over one element names the text, so that it is not worked out again at each use.
+    return f"transform(array({text}), t -> CASE WHEN {odd} THEN {joined} ELSE t END)[0]"
+
+
 def canonical_batch_json(batch_id: str, events: str) -> Column:
-    """Text of a batch: fixed field order, object keys sorted at every depth, array order kept."""
+    """Text of a batch: fixed field order, object keys sorted at every depth, array order kept, numbers by value."""
     fields = ", ".join(f"'{key}', {_canonical_value(key, column, kind)}" for key, column, kind in EVENT_FIELDS)
-    return F.expr(
-        f"to_json(named_struct('batch_id', {batch_id}, 'events', transform({events}, e -> named_struct({fields}))))"
-    )
+    text = f"to_json(named_struct('batch_id', {batch_id}, 'events', transform({events}, e -> named_struct({fields}))))"
+    return F.expr(_numbers_by_value(text))
 
 
 def payload_hash(canonical_text: Column) -> Column:

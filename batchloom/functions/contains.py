@@ -8,6 +8,7 @@ a bare scalar.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,9 +43,10 @@ def _scalar_equals(value: Column, scalar) -> Column:
         return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == F.lit(scalar))
     if isinstance(scalar, str):
         return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(scalar))
-    by_value = ((kind == "DOUBLE") | kind.startswith("DECIMAL")) & (
-        F.try_variant_get(value, "$", "double") == F.lit(float(scalar))
-    )
+    # A decimal has digits that a float cannot hold: it is compared as text, which variants spell one way only.
+    as_double = (kind == "DOUBLE") & (F.try_variant_get(value, "$", "double") == F.lit(float(scalar)))
+    spelled = format(Decimal(repr(scalar)).normalize(), "f")
+    by_value = as_double | (kind.startswith("DECIMAL") & (F.try_variant_get(value, "$", "string") == F.lit(spelled)))
     if scalar == int(scalar) and int(scalar) in _INT64:
         exact = (kind == "BIGINT") & (F.try_variant_get(value, "$", "bigint") == F.lit(int(scalar)).cast("bigint"))
         return exact | by_value

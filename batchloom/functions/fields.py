@@ -36,6 +36,29 @@ def is_null_text(text: str) -> str:
     return f"coalesce(is_variant_null(try_parse_json({text})), false)"
 
 
+def is_one_value(text: str) -> str:
+    """True when nothing but white space follows the first JSON value.
+
+    The text is put in an array before its own hash: anything after the value breaks the array or changes its length.
+    """
+    array = f"from_json(concat('[', {text}, ',\"', md5({text}), '\"]'), 'array<string>', {STRICT_JSON})"
+    return f"coalesce(size({array}) = 2 AND {array}[1] = md5({text}), false)"
+
+
+# Strings and what lies between them, and the numbers in the latter.
+JSON_PARTS = r'''"(?:[^"\\\\]|\\\\.)*+"|[^"]++'''
+_NUMBER = r"-?[0-9]++(?:\\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+
+
+def has_infinite_number(text: str) -> str:
+    """True when a number of the JSON text is beyond the range of 64-bit floats."""
+    parts = f"filter(regexp_extract_all({text}, '{JSON_PARTS}', 0), p -> NOT startswith(p, '\"'))"
+    numbers = f"flatten(transform({parts}, p -> regexp_extract_all(p, '{_NUMBER}', 0)))"
+    # Only a long exponent or a very long number can be out of range; nearly no text holds one.
+    possible = f"{text} RLIKE '[eE][+]?[0-9]{{3}}|[0-9]{{300}}'"
+    return f"({possible} AND exists({numbers}, n -> abs(try_cast(n AS double)) = double('Infinity')))"
+
+
 def fold_keys(fields: str) -> str:
     return f"transform_keys({fields}, (key, value) -> lower(key))"
 

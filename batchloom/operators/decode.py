@@ -13,11 +13,13 @@ from batchloom.operators.validate import event_error
 _EVENT_ARRAY = f"array<{S.EVENT.simpleString()}>"
 
 
-def decode_batches(messages: DataFrame, text: str = "payload") -> DataFrame:
+def decode_batches(messages: DataFrame, text: str = "payload", strict: bool = False) -> DataFrame:
     """Add ``batch_id``, ``events`` and ``decode_error`` to rows holding a batch as JSON text.
 
     One wrongly typed field in any event fails the whole batch: its ``decode_error`` is set and ``events``
-    is NULL. A ``null`` element is an event without values, which validation turns away later.
+    is NULL. A ``null`` element is an event without values, which validation turns away later. A number beyond the
+    range of 64-bit floats fails the batch too. With ``strict`` the text must be one JSON value and nothing more;
+    else bytes after it are ignored.
     """
     element_fields = f"""
         transform({J.as_array("_raw_events")}, e ->
@@ -26,6 +28,8 @@ def decode_batches(messages: DataFrame, text: str = "payload") -> DataFrame:
     picked = f"transform(_elements, e -> CASE WHEN e IS NOT NULL THEN {J.pick_event_fields('e')} END)"
     failed = f"""
         CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)}
+             WHEN {J.has_infinite_number(text)} THEN true
+             {f"WHEN NOT {J.is_one_value(text)} THEN true" if strict else ""}
              WHEN {J.wrong_type("_raw_id", "text")} THEN true
              WHEN {J.has_value("_raw_events")} AND _elements IS NULL THEN true
              ELSE coalesce(exists(_elements, e -> e IS NULL OR {J.event_has_wrong_type("e")}), false) END

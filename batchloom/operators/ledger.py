@@ -24,7 +24,8 @@ def batch_contents(accepted: DataFrame, row_id: str = "message_id") -> DataFrame
 
     ``row_id`` must be unique, so that exactly one delivery is the first.
     """
-    first = F.struct("message_order", F.col(row_id).alias("row_id"))
+    # A message without an order comes after all that have one.
+    first = F.struct(F.col("message_order").isNull().alias("unordered"), "message_order", F.col(row_id).alias("row_id"))
     # Accepted batches have an id. Saying so gives both uses of the contents the same plan, so one shuffle
     # serves both.
     named = accepted.filter("batch_id IS NOT NULL")

@@ -47,8 +47,11 @@ def _holding_bucket(histogram: DataFrame, keys: list[str]) -> DataFrame:
 def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[float]) -> DataFrame:
     """Per group: ``n``, ``low``, ``high`` and, as ``ratio -> value``, the value at index
     ``trunc((n - 1) * ratio)`` of the sorted values. No interpolation.
+
+    NULL, NaN and infinite values are no measurements: they are left out of all results.
     """
-    values = rows.select(*keys, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    values = rows.select(*keys, F.col(value).cast("double").alias("v"))
+    values = values.filter("v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')")
     coarse = checkpointed(
         values.withColumn("bucket", _ratio_bucket(F.col("v")))
         .groupBy(*keys, "bucket")
@@ -77,7 +80,10 @@ def value_at_rank(rows: DataFrame, keys: list[str], value: str, ratios: list[flo
             .groupBy(*keys, "ratio", "rank", "bucket")
             .agg(F.sum("count").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         )
-        brackets = checkpointed(_holding_bucket(parts, keys))
+        before, brackets = open_brackets, checkpointed(_holding_bucket(parts, keys))
+        same = [*keys, "ratio", "lo", "hi"]
+        if not brackets.filter("lo < hi").join(before.select(*same), same, "left_semi").isEmpty():
+            raise ArithmeticError("a pass did not narrow the bracket of a rank")
         found = found.unionByName(brackets.filter("lo = hi"))
         open_brackets = brackets.filter("lo < hi")
     by_ratio = found.groupBy(*keys).agg(

@@ -96,7 +96,9 @@ def worker_counts(lines: DataFrame, *keys: str) -> DataFrame:
 def worker_counts_of_runs(lines: DataFrame, runs: DataFrame) -> DataFrame:
     """Per run and worker, counting the lines of the run's log from the run's start on."""
     starts = runs.select("run_id", "started_at")
-    started = lookup_join(lines, starts, ["run_id"], F.col("value"))
+    # Equal lines of a hot run must not share a salt: spread by place, not by text.
+    placed = lines.withColumn("place", F.monotonically_increasing_id())
+    started = lookup_join(placed, starts, ["run_id"], F.col("place")).drop("place")
     return worker_counts(log_lines_since(started, F.col("started_at")), "run_id")
 
 
@@ -105,8 +107,12 @@ def workers_by_name(counts: DataFrame) -> DataFrame:
 
 
 def run_report(runs: DataFrame, requests: DataFrame, workers: DataFrame) -> DataFrame:
-    """One report row per run. Everything joined here is already one row per run."""
-    code = F.when(F.col("status").isNotNull(), F.struct("status", F.col("n").cast("int")))
+    """One report row per run. Everything joined here is already one row per run.
+
+    A report holds a map of its status codes and one of its workers, so their number is bounded by what one row holds.
+    A run without log lines has no workers (NULL).
+    """
+    code = F.when(F.col("status").isNotNull(), F.struct("status", F.col("n").cast("bigint")))
     answers = _per_status(requests).groupBy("run_id").agg(
         *_outcome_columns(), F.map_from_entries(F.collect_list(code)).alias("status_codes")
     )
@@ -115,10 +121,10 @@ def run_report(runs: DataFrame, requests: DataFrame, workers: DataFrame) -> Data
             F.collect_list(
                 F.struct(
                     "worker_id",
-                    F.struct(F.col("processed").cast("int"), F.col("validated").cast("int")),
+                    F.struct(F.col("processed").cast("bigint"), F.col("validated").cast("bigint")),
                 )
             )
-        ).cast("map<string,struct<processed:int,validated:int>>").alias("workers")
+        ).cast("map<string,struct<processed:bigint,validated:bigint>>").alias("workers")
     )
     latency = latency_summary(requests).select(
         "run_id", F.struct("min", "p50", "p95", "p99", "max").alias("latency_ms")
@@ -135,14 +141,14 @@ def run_report(runs: DataFrame, requests: DataFrame, workers: DataFrame) -> Data
         "started_at",
         "finished_at",
         "url",
-        F.col("batches").cast("int").alias("batches"),
-        F.col("batch_size").cast("int").alias("batch_size"),
-        F.col("requested_events").cast("int").alias("requested_events"),
+        F.col("batches").cast("bigint").alias("batches"),
+        F.col("batch_size").cast("bigint").alias("batch_size"),
+        F.col("requested_events").cast("bigint").alias("requested_events"),
         F.coalesce("submitted_bytes", F.lit(0)).cast("bigint").alias("submitted_bytes"),
-        F.col("concurrency").cast("int").alias("concurrency"),
-        F.coalesce("successful", F.lit(0)).cast("int").alias("successful_requests"),
-        F.coalesce("failed", F.lit(0)).cast("int").alias("failed_requests"),
-        F.coalesce("status_codes", F.create_map().cast("map<string,int>")).alias("status_codes"),
+        F.col("concurrency").cast("bigint").alias("concurrency"),
+        F.coalesce("successful", F.lit(0)).cast("bigint").alias("successful_requests"),
+        F.coalesce("failed", F.lit(0)).cast("bigint").alias("failed_requests"),
+        F.coalesce("status_codes", F.create_map().cast("map<string,bigint>")).alias("status_codes"),
         "duration_seconds",
         "requests_per_second",
         "events_per_second",

@@ -8,13 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-HOT_KEYS = 1_000
+BROADCAST_BYTES = 32 << 20
 ROWS_PER_SALT = 1_000_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has few enough rows; reads no more than that many."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has few enough rows and bytes; reads no more than that many rows.
+
+    Text columns are counted by their bytes, since keys are client text of any length.
+    """
+    width = F.lit(16 * len(df.columns)).cast("bigint")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return found["n"] <= max_rows and found["b"] <= max_bytes
 
 
 def lookup_join(
@@ -29,10 +37,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to ``lookup`` on ``keys``; the lookup must be cheap to read twice (a written table).
 
-    A small lookup is broadcast and ``rows`` does not move. Otherwise both sides are shuffled, and each of the
-    ``HOT_KEYS`` keys with the most rows is spread over one partition per ``ROWS_PER_SALT`` rows; every other
-    key holds less than 1/HOT_KEYS of all rows. ``weights`` holds the number of rows per key as ``n`` where
-    that is known already. ``condition`` narrows an inner join.
+    A small lookup is broadcast and ``rows`` does not move. Otherwise both sides are shuffled, and every key with
+    more than ``ROWS_PER_SALT`` rows is spread over one partition per that many. Such keys are at most the rows
+    divided by ``ROWS_PER_SALT``; their table is broadcast when it fits, else shuffled. ``weights`` holds the number
+    of rows per key as ``n`` where that is known already. ``condition`` narrows an inner join.
     """
     keys = list(keys)
     if fits_broadcast(lookup, max_rows):
@@ -41,10 +49,11 @@ def lookup_join(
     if weights is None:
         weights = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     salts = F.ceil(F.col("n") / ROWS_PER_SALT).cast("int").alias("_salts")
-    hot = weights.orderBy(F.desc("n")).limit(HOT_KEYS).select(*keys, salts).filter("_salts > 1")
+    hot = weights.filter(F.col("n") > ROWS_PER_SALT).select(*keys, salts)
+    hot = F.broadcast(hot) if fits_broadcast(hot, max_rows) else hot
     salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int"), F.lit(0))
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
-    salted_lookup = lookup.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
+    salted_rows = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    salted_lookup = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     joined = salted_rows.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
     return joined if condition is None else joined.filter(condition)

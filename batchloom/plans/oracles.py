@@ -184,18 +184,18 @@ _SHOWN = "strftime({}, '%Y-%m-%d %H:%M:%S') || ' UTC'"
 
 _REPORTS = f"""{_LATENCY}, {_OUTCOMES}, {_RUNS}, {_LINES},
 codes AS (
-  SELECT run_id, CAST(count(*) FILTER (WHERE status = '202') AS INTEGER) AS status_202,
-    CAST(count(*) FILTER (WHERE status = '500') AS INTEGER) AS status_500
+  SELECT run_id, CAST(count(*) FILTER (WHERE status = '202') AS BIGINT) AS status_202,
+    CAST(count(*) FILTER (WHERE status = '500') AS BIGINT) AS status_500
   FROM requests GROUP BY run_id
 ),
 workers AS (
-  SELECT l.run_id, l.worker_id, CAST(count(*) FILTER (WHERE msg = '{S.PROCESSED_LINE}') AS INTEGER) AS processed,
-    CAST(count(*) FILTER (WHERE msg = '{S.VALIDATED_LINE}') AS INTEGER) AS validated
+  SELECT l.run_id, l.worker_id, CAST(count(*) FILTER (WHERE msg = '{S.PROCESSED_LINE}') AS BIGINT) AS processed,
+    CAST(count(*) FILTER (WHERE msg = '{S.VALIDATED_LINE}') AS BIGINT) AS validated
   FROM lines l JOIN runs r ON l.run_id = r.run_id
   WHERE l.worker_id IS NOT NULL AND l.ts >= r.started_at GROUP BY l.run_id, l.worker_id
 ),
 by_run AS (
-  SELECT run_id, CAST(count(*) AS INTEGER) AS n_workers,
+  SELECT run_id, CAST(count(*) AS BIGINT) AS n_workers,
     max(processed) FILTER (WHERE worker_id = 'worker-3') AS worker_3_processed,
     max(validated) FILTER (WHERE worker_id = 'worker-3') AS worker_3_validated
   FROM workers GROUP BY run_id
@@ -203,9 +203,9 @@ by_run AS (
 reports AS (
   SELECT r.run_id, 'stress-' || strftime(finished_at, '%Y%m%d-%H%M%S.%f') || '000.json' AS file,
     r.started_at, {_SHOWN.format("r.started_at")} AS started, {_SHOWN.format("r.finished_at")} AS finished,
-    CAST(r.batches AS INTEGER) AS batches, 25 AS batch_size, CAST(r.batches * 25 AS INTEGER) AS requested_events,
-    o.submitted_bytes, 8 AS concurrency, CAST(o.successful AS INTEGER) AS successful_requests,
-    CAST(o.failed AS INTEGER) AS failed_requests, {_DURATION} AS duration_seconds,
+    CAST(r.batches AS BIGINT) AS batches, CAST(25 AS BIGINT) AS batch_size, CAST(r.batches * 25 AS BIGINT) AS requested_events,
+    o.submitted_bytes, CAST(8 AS BIGINT) AS concurrency, CAST(o.successful AS BIGINT) AS successful_requests,
+    CAST(o.failed AS BIGINT) AS failed_requests, {_DURATION} AS duration_seconds,
     r.batches / {_DURATION} AS requests_per_second, (r.batches * 25) / {_DURATION} AS events_per_second,
     l."min" AS latency_min, l.p50 AS latency_p50, l.p95 AS latency_p95, l.p99 AS latency_p99,
     l."max" AS latency_max, c.status_202, c.status_500, w.n_workers, w.worker_3_processed, w.worker_3_validated

@@ -83,7 +83,7 @@ class Workspace:
 
     @property
     def worker_log(self) -> DataFrame:
-        return read_worker_log(self.spark, self.worker_log_path)
+        return read_worker_log(self.spark, self.worker_log_path, "run_id string")
 
     @property
     def requests(self) -> DataFrame:

@@ -25,6 +25,7 @@ EVENT_FIELDS = [
 # Reasons a message, a batch or an event is turned away.
 BAD_ENVELOPE_ID = "message has invalid batch_id"
 BAD_ENVELOPE_PAYLOAD = "message has invalid payload"
+BAD_ENVELOPE = "message is not a JSON object"
 INVALID_JSON = "invalid JSON"
 NAME_REQUIRED = "Event name is required!"
 TIMESTAMP_REQUIRED = "Timestamp is required!"
@@ -97,22 +98,22 @@ COMMITS = T.StructType([T.StructField("committed_at", T.TimestampType())])
 LATENCY = T.StructType([T.StructField(n, T.DoubleType()) for n in ("min", "p50", "p95", "p99", "max")])
 
 WORKER_STATS = T.StructType([
-    T.StructField("processed", T.IntegerType()),
-    T.StructField("validated", T.IntegerType()),
+    T.StructField("processed", T.LongType()),
+    T.StructField("validated", T.LongType()),
 ])
 
 REPORT = T.StructType([
     T.StructField("started_at", T.TimestampType()),
     T.StructField("finished_at", T.TimestampType()),
     T.StructField("url", T.StringType()),
-    T.StructField("batches", T.IntegerType()),
-    T.StructField("batch_size", T.IntegerType()),
-    T.StructField("requested_events", T.IntegerType()),
+    T.StructField("batches", T.LongType()),
+    T.StructField("batch_size", T.LongType()),
+    T.StructField("requested_events", T.LongType()),
     T.StructField("submitted_bytes", T.LongType()),
-    T.StructField("concurrency", T.IntegerType()),
-    T.StructField("successful_requests", T.IntegerType()),
-    T.StructField("failed_requests", T.IntegerType()),
-    T.StructField("status_codes", T.MapType(T.StringType(), T.IntegerType())),
+    T.StructField("concurrency", T.LongType()),
+    T.StructField("successful_requests", T.LongType()),
+    T.StructField("failed_requests", T.LongType()),
+    T.StructField("status_codes", T.MapType(T.StringType(), T.LongType())),
     T.StructField("duration_seconds", T.DoubleType()),
     T.StructField("requests_per_second", T.DoubleType()),
     T.StructField("events_per_second", T.DoubleType()),

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 from batchloom.functions import logfields
 
 
-def read_worker_log(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as ``value``, plus the columns of a partitioned folder; a missing path gives no lines."""
+def read_worker_log(spark: SparkSession, path: str, partitions: str = "") -> DataFrame:
+    """Lines as ``value``, plus the columns of a partitioned folder; a missing path gives no lines.
+
+    ``partitions`` names those columns with their types (``run_id string``), so that a missing log has them too.
+    """
+    schema = f"value string, {partitions}" if partitions else "value string"
     try:
-        return spark.read.option("lineSep", "\n").text(path)
+        return spark.read.schema(schema).option("lineSep", "\n").text(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "value string")
+        return spark.createDataFrame([], schema)
 
 
 def log_fields(lines: DataFrame, *keys: str) -> DataFrame:

@@ -30,8 +30,11 @@ from batchloom.sources.store import EventStore
 
 def prepare(messages: DataFrame, max_events: int = 0) -> DataFrame:
     """Decode, admit, validate and hash messages; one output row per message, nothing is dropped."""
-    envelopes = messages.withColumn("envelope_error", envelope_error(F.col("batch_id"), F.col("payload")))
-    admitted = enforce_batch_limit(decode_batches(envelopes), max_events)
+    error = envelope_error(F.col("batch_id"), F.col("payload"))
+    if "line_error" in messages.columns:
+        error = F.coalesce("line_error", error)
+    envelopes = messages.withColumn("envelope_error", error).drop("line_error")
+    admitted = enforce_batch_limit(decode_batches(envelopes, strict=True), max_events)
     validated = validate_batches(admitted)
     rejected = validated.withColumn("reason", F.coalesce("envelope_error", "admission_error", "reason"))
     return with_payload_hash(rejected).drop("envelope_error", "admission_error", "decode_error")
