@@ -274,9 +274,11 @@ ORACLES: dict[str, str] = {
         FROM stored WHERE batch_id = '{R.BATCH_ID}'""",
     "log_lines_since": f"""WITH {_LINES} SELECT run_id, {_LINE_TEXT} AS line FROM lines
         WHERE ts >= TIMESTAMP '{R.SINCE}'""",
-    "search_runs": f"WITH {_REPORTS} SELECT file FROM reports WHERE contains(lower(started), '-01 00:1')",
+    "search_runs": f"""WITH {_REPORTS} SELECT file FROM reports
+        WHERE contains(lower(started), (SELECT lower(min(started)) FROM reports))""",
     "select_run": f"""WITH {_REPORTS}, newest AS (SELECT file FROM reports ORDER BY started_at DESC, file LIMIT 1)
-        SELECT 'newest' AS asked, file FROM newest UNION ALL SELECT 'unknown' AS asked, file FROM newest""",
+        SELECT 'newest' AS asked, file FROM newest UNION ALL SELECT 'unknown' AS asked, file FROM newest
+        UNION ALL SELECT 'there' AS asked, min(file) AS file FROM reports""",
     "new_batches": _FIRST_HASHES,
     "new_events": f"WITH {_STATUS} SELECT batch_id, event_index, name FROM stored WHERE name = '{R.NAME}'",
     "batch_conflicts": f"WITH {_STATUS} SELECT message_id, batch_id FROM tagged WHERE status = 'conflict'",
@@ -310,7 +312,8 @@ ORACLES: dict[str, str] = {
     "json_contains": """SELECT event_id, json_contains(props, '{"k":87}') AS number,
         props::JSON ->> '$.k' = '87' AS same_number, json_contains(props, '{"k":"87"}') AS text,
         json_type(props) = 'OBJECT' AS object, json_type(props, '$.k') = 'OBJECT' AS nested,
-        json_exists(props, '$.missing') AS missing FROM events""",
+        json_exists(props, '$.missing') AS missing, json_contains(props, '{"k":87}') AS in_array,
+        event_id % 10 = 3 AS big_number FROM events""",
     "zero_defaults": f"""WITH {_MESSAGES} SELECT message_id, CAST(pos AS INTEGER) AS event_index,
         coalesce(id, '') AS event_id, coalesce(funnel_id, '') AS funnel_id, CAST(0 AS BIGINT) AS received_at_ms
         FROM message_events""",

@@ -266,14 +266,20 @@ def _(ws):
 
 @query("search_runs")
 def _(ws):
-    return runs.search_runs(ws.manifest, "-01 00:1").select("file")
+    """The shown start of the first run: some runs have it, not all."""
+    shown = display.format_run_date(F.col("report.started_at"))
+    text = ws.manifest.agg(F.min(shown)).first()[0]
+    return runs.search_runs(ws.manifest, text).select("file")
 
 
 @query("select_run")
 def _(ws):
-    asked = "stress-20240131-000000.000000000.json"
-    newest = runs.select_run(ws.manifest).select(F.lit("newest").alias("asked"), "file")
-    return newest.unionByName(runs.select_run(ws.manifest, asked).select(F.lit("unknown").alias("asked"), "file"))
+    asked = {
+        "newest": None, "unknown": "stress-20000131-000000.000000000.json",
+        "there": ws.manifest.agg(F.min("file")).first()[0],
+    }
+    found = [runs.select_run(ws.manifest, file).select(F.lit(name).alias("asked"), "file") for name, file in asked.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 # Joins
@@ -409,6 +415,9 @@ def _(ws):
 def _(ws):
     events = inputs.source_events(ws.spark, ws.sf_dir).withColumn("doc", F.parse_json("props"))
     doc = F.col("doc")
+    big, digit = "1234567890123456789", (F.col("event_id") % 10).cast("string")
+    deep = F.concat(F.lit('{"list":[1,{"in":'), "props", F.lit('}],"big":' + big), digit, F.lit("}"))
+    events = events.withColumn("deep", F.parse_json(deep))
     return events.select(
         "event_id",
         json_contains(doc, {"k": 87}).alias("number"),
@@ -417,6 +426,8 @@ def _(ws):
         json_contains(doc, {}).alias("object"),
         json_contains(doc, {"k": {}}).alias("nested"),
         json_contains(doc, {"missing": None}).alias("missing"),
+        json_contains(F.col("deep"), {"list": [{"in": {"k": 87}}, 1]}).alias("in_array"),
+        json_contains(F.col("deep"), {"big": int(big + "3")}).alias("big_number"),
     )
 
 
