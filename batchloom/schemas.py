@@ -93,8 +93,6 @@ QUARANTINE = T.StructType([
     T.StructField("payload", T.StringType()),
 ])
 
-COMMITS = T.StructType([T.StructField("committed_at", T.TimestampType())])
-
 LATENCY = T.StructType([T.StructField(n, T.DoubleType()) for n in ("min", "p50", "p95", "p99", "max")])
 
 WORKER_STATS = T.StructType([

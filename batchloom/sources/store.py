@@ -1,18 +1,25 @@
-"""The event store: plain Parquet tables made atomic by a commit marker per epoch.
+"""The event store: plain Parquet tables made atomic by a log of commits.
 
-Every epoch writes ``<table>/stream=S/epoch=E`` of each table by overwrite and last of all its marker in
-``commits``. The epochs of a stream come in order, so all up to the last marker are complete: readers keep
-only those, by a filter on the folders and without a join, and see the store as it was when ``read`` was
-called. A half-written epoch is never seen, and running it again replaces what an earlier try left behind.
+Every epoch writes ``<table>/stream=S/epoch=E`` of each table by overwrite and last of all its entry in the log. The
+epochs of a stream come one after another, so all up to the last entry are complete: readers keep only those, by a
+filter on the folders and without a join, and see the store as it was when ``read`` was called. A half-written epoch is
+never seen, and running it again replaces what an earlier try left behind.
 
-Epoch numbers belong to one stream checkpoint: a stream begun afresh has a new name, so its epoch 0 is not
-taken for one already done. One writer at a time per store.
+Entries are numbered across all streams, and an entry is made only where none is: a writer that has read the store
+before another one committed does not get the next number, and has to decide its epoch again. Every ``ROLL_UP`` entries
+the log is rolled up into one file and the old entries are removed, so a read lists a bounded number of them.
+
+Epoch numbers belong to one stream checkpoint: a stream begun afresh has a new name, so its epoch 0 is not taken for
+one already done.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +31,105 @@ TABLES = {
     "batches": S.BATCHES,
     "outcomes": S.OUTCOMES,
     "quarantine": S.QUARANTINE,
-    "commits": S.COMMITS,
 }
+BLOOM_FILTERS = {"events": ("batch_id", "user_id", "funnel_id", "org_id"), "batches": ("batch_id",)}
+#: Entries of the log between two roll-ups.
+ROLL_UP = 50
 _KEY_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType())]
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """State of the log after entry ``number``: first and last epoch of every stream."""
+
+    number: int
+    epochs: dict[str, tuple[int, int]]
+
+
+class CommitLog:
+    """Files ``<number>.entry`` with one stream and epoch, and ``<number>.all`` with the state after that number."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.fs_api = spark._jvm.org.apache.hadoop.fs
+        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
+        self.conf, self.folder = spark._jsc.hadoopConfiguration(), folder
+        self.fs = self._path("").getFileSystem(self.conf)
+
+    def _path(self, name: str):
+        return self.fs_api.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def _load(self, name: str):
+        stream = self.fs.open(self._path(name))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _create(self, name: str, content) -> bool:
+        """Write a file whole, by a rename that fails where one of that name is."""
+        part = self._path(f"_{uuid.uuid4().hex}")
+        out = self.fs.create(part, True)
+        try:
+            out.write(bytearray(json.dumps(content).encode()))
+        finally:
+            out.close()
+        context = self.fs_api.FileContext.getFileContext(part.toUri(), self.conf)
+        try:
+            context.rename(part, self._path(name), self.gateway.new_array(self.fs_api.Options.Rename, 0))
+        except Py4JJavaError as error:
+            self.fs.delete(part, False)
+            if "AlreadyExists" in str(error.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def _names(self) -> list[str]:
+        if not self.fs.exists(self._path("")):
+            return []
+        found = (s.getPath().getName() for s in self.fs.listStatus(self._path("")))
+        return sorted(n for n in found if n.endswith((".entry", ".all")))
+
+    def read(self) -> Snapshot:
+        for _ in range(5):
+            names = self._names()
+            states = [n for n in names if n.endswith(".all")]
+            try:
+                number, epochs = 0, {}
+                if states:
+                    number, epochs = int(states[-1][:12]), {k: tuple(v) for k, v in self._load(states[-1]).items()}
+                for name in names:
+                    if name.endswith(".entry") and int(name[:12]) > number:
+                        number = int(name[:12])
+                        entry = self._load(name)
+                        first = epochs.get(entry["stream"], (entry["epoch"], 0))[0]
+                        epochs[entry["stream"]] = (first, entry["epoch"])
+                return Snapshot(number, epochs)
+            except Py4JJavaError as error:  # rolled up and removed between listing and reading: list again
+                if "FileNotFound" not in str(error.java_exception.getClass().getName()):
+                    raise
+        raise RuntimeError(f"the log in {self.folder} changes faster than it can be read")
+
+    def add(self, snapshot: Snapshot, stream: str, epoch: int) -> bool:
+        number = snapshot.number + 1
+        # A number that was rolled up away is taken too.
+        if self.read().number != snapshot.number or not self._create(_name(number, "entry"), {"stream": stream, "epoch": epoch}):
+            return False
+        if number % ROLL_UP == 0:
+            self._roll_up()
+        return True
+
+    def _roll_up(self) -> None:
+        state = self.read()
+        self._create(_name(state.number, "all"), state.epochs)
+        for name in self._names():
+            if int(name[:12]) < state.number or name == _name(state.number, "entry"):
+                self.fs.delete(self._path(name), False)
+
+
+def _name(number: int, kind: str) -> str:
+    return f"{number:012d}.{kind}"
+
+
 @dataclass(frozen=True)
 class EventStore:
     root: str
@@ -54,38 +155,45 @@ class EventStore:
     def _raw(self, spark: SparkSession, table: str) -> DataFrame:
         return spark.read.schema(T.StructType(TABLES[table].fields + _KEY_FIELDS)).parquet(self.path(table))
 
-    def last_epochs(self, spark: SparkSession) -> dict[str, int]:
-        """The last committed epoch of every stream that ever wrote to the store."""
-        last = self._raw(spark, "commits").groupBy("stream").agg(F.max("epoch").alias("epoch"))
-        return {row.stream: row.epoch for row in last.collect()}
+    def snapshot(self, spark: SparkSession) -> Snapshot:
+        """What is committed now."""
+        return CommitLog(spark, self.path("commits")).read()
 
-    def read(self, spark: SparkSession, table: str) -> DataFrame:
+    def read(self, spark: SparkSession, table: str, snapshot: Snapshot | None = None) -> DataFrame:
         """Committed rows of a table, of all streams."""
         committed = F.lit(False)
-        for stream, epoch in self.last_epochs(spark).items():
-            committed = committed | ((F.col("stream") == stream) & (F.col("epoch") <= epoch))
+        for stream, (first, last) in (snapshot or self.snapshot(spark)).epochs.items():
+            committed = committed | ((F.col("stream") == stream) & F.col("epoch").between(first, last))
         return self._raw(spark, table).filter(committed).drop("stream", "epoch")
 
-    def is_committed(self, spark: SparkSession, epoch: int) -> bool:
-        last = self.last_epochs(spark).get(self.stream, -1)
-        if epoch > last:
-            return False
-        mine = (F.col("stream") == self.stream) & (F.col("epoch") == epoch)
-        if self._raw(spark, "commits").filter(mine).isEmpty():
-            raise ValueError(f"epoch {epoch} of stream {self.stream} comes after its epoch {last}")
-        return True
+    def is_committed(self, snapshot: Snapshot, epoch: int) -> bool:
+        first, last = snapshot.epochs.get(self.stream, (epoch, epoch - 1))
+        if not first <= epoch <= last + 1:
+            raise ValueError(f"epoch {epoch} of stream {self.stream} does not follow its epochs {first} to {last}")
+        return epoch <= last
 
     def written(self, spark: SparkSession, table: str, epoch: int) -> DataFrame:
         """What an epoch wrote to a table, committed or not."""
         return spark.read.schema(TABLES[table]).parquet(self.epoch_path(table, epoch))
 
     def write(self, table: str, epoch: int, rows: DataFrame) -> None:
-        rows.select(*TABLES[table].fieldNames()).write.mode("overwrite").parquet(self.epoch_path(table, epoch))
+        writer = rows.select(*TABLES[table].fieldNames()).write.mode("overwrite")
+        for column in BLOOM_FILTERS.get(table, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(self.epoch_path(table, epoch))
 
     def write_events(self, epoch: int, rows: DataFrame) -> None:
-        """Events sorted inside each file, so that row groups outside a project, name or time are skipped."""
-        self.write("events", epoch, rows.sortWithinPartitions("project_id", "name", "timestamp_ms"))
+        """Events sorted inside each file, so that row groups outside a project, name or time are skipped.
+
+        Bloom filters skip row groups without a batch, user, funnel or organization that is asked for.
+        """
+        keys = ["project_id", "name", "timestamp_ms"]
+        self.write("events", epoch, rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
+
+    def write_ledger(self, epoch: int, rows: DataFrame) -> None:
+        """Ledger rows sorted by batch id, so that a lookup skips row groups."""
+        self.write("batches", epoch, rows.sortWithinPartitions("batch_id"))
 
-    def commit(self, spark: SparkSession, epoch: int) -> None:
-        marker = spark.range(1).select(F.current_timestamp().alias("committed_at")).coalesce(1)
-        self.write("commits", epoch, marker)
+    def commit(self, spark: SparkSession, epoch: int, snapshot: Snapshot) -> bool:
+        """Commit an epoch that was decided on ``snapshot``; False when another writer committed since then."""
+        return CommitLog(spark, self.path("commits")).add(snapshot, self.stream, epoch)

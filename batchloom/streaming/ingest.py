@@ -4,7 +4,7 @@ Delivery is at least once and the sink is idempotent. One epoch:
 
 1. decode, validate and hash every message in one narrow pass, written to ``staging`` with a row number;
 2. decide per distinct content against the ledger, tag every delivery;
-3. write outcomes, events, quarantine and ledger rows of the epoch, then its commit marker.
+3. write outcomes, events, quarantine and ledger rows of the epoch, then its entry in the commit log.
 
 A bad message is put in quarantine with its reason and the stream goes on.
 """
@@ -25,7 +25,7 @@ from batchloom.operators.decode import decode_batches
 from batchloom.operators.spread import BROADCAST_ROWS, lookup_join
 from batchloom.operators.validate import enforce_batch_limit, stored_rows, validate_batches, with_payload_hash
 from batchloom.sources.messages import envelope_error
-from batchloom.sources.store import EventStore
+from batchloom.sources.store import EventStore, Snapshot
 
 
 def prepare(messages: DataFrame, max_events: int = 0) -> DataFrame:
@@ -87,18 +87,39 @@ def _conflicts(messages: DataFrame, tagged: DataFrame, max_events: int) -> DataF
 
 
 def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events: int = 0) -> None:
-    """Ingest one micro-batch. Does nothing when the epoch is already committed."""
+    """Ingest one micro-batch. Does nothing when the epoch is already committed.
+
+    When another writer commits to the store meanwhile, the epoch is decided again on what is there then.
+    """
     spark = messages.sparkSession
-    if store.is_committed(spark, epoch):
+    snapshot = store.snapshot(spark)
+    if store.is_committed(snapshot, epoch):
         return
     messages = messages.withColumn("message_id", F.coalesce("message_id", F.lit("")))
-    created_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
     staged = _stage(store, spark, messages, max_events)
+    contents = L.batch_contents(staged.filter("reason IS NULL"), "row_id")
+    contents.write.mode("overwrite").parquet(store.work_path("contents"))
+    contents = spark.read.schema(contents.schema).parquet(store.work_path("contents"))
+    while True:
+        _decide(store, messages, staged, contents, epoch, max_events, snapshot)
+        if store.commit(spark, epoch, snapshot):
+            return
+        snapshot = store.snapshot(spark)
+        if store.is_committed(snapshot, epoch):
+            return
+
+
+def _decide(
+    store: EventStore, messages: DataFrame, staged: DataFrame, contents: DataFrame, epoch: int, max_events: int,
+    snapshot: Snapshot,
+) -> None:
+    """Write everything an epoch adds to the store as it is in ``snapshot``."""
+    spark = messages.sparkSession
+    created_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
     accepted = staged.filter("reason IS NULL")
     rejected = staged.filter("reason IS NOT NULL")
 
-    contents = L.batch_contents(accepted, "row_id")
-    known = L.relevant_ledger(store.read(spark, "batches"), contents)
+    known = L.relevant_ledger(store.read(spark, "batches", snapshot), contents)
     judged = L.judge_contents(contents, known)
     judged.write.mode("overwrite").parquet(store.work_path("verdicts"))
     verdicts = spark.read.schema(judged.schema).parquet(store.work_path("verdicts"))
@@ -116,8 +137,7 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
         conflicts = _conflicts(messages, tagged, max_events)
         quarantined = quarantined.unionByName(conflicts.select(*S.QUARANTINE.fieldNames()))
     store.write("quarantine", epoch, quarantined)
-    store.write("batches", epoch, L.new_batches(verdicts).withColumn("created_at", created_at))
-    store.commit(spark, epoch)
+    store.write_ledger(epoch, L.new_batches(verdicts).withColumn("created_at", created_at))
 
 
 def epoch_writer(store: EventStore, max_events: int = 0) -> Callable[[DataFrame, int], None]:
