@@ -116,13 +116,31 @@ _DIGEST = (
 def digests(examples: DataFrame) -> DataFrame:
     """Per conversation what its formatted examples hold, parsed from them: turns from the longest, loss from each.
 
-    ``formatted_chars`` counts the code points of all its examples.
+    ``formatted_chars`` counts the code points of all its examples. Every example is parsed where it lies; only its
+    reply and digest are shuffled, so what moves grows with the conversations and not with their expansion.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = examples.schema["conv_id"].dataType
     arrow = to_arrow_type(kind)
-    ordered = examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            turns, hashes, replies, chars = [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("formatted", "loss_start", "loss_end")]
+            for text, a, b in zip(*columns):
+                found, whole = parse(text), hashlib.sha256()
+                for r, x in found:
+                    whole.update(f"{r}\n{x}\n".encode("utf-8", "surrogatepass"))
+                turns.append(len(found))
+                hashes.append(whole.hexdigest())
+                replies.append(unescape(text[a:b]))
+                chars.append(len(text))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), batch.column("example"), pa.array(turns, pa.int64()), pa.array(hashes, pa.string()),
+                 pa.array(replies, pa.string()), pa.array(chars, pa.int64())],
+                ["conv_id", "example", "turns", "sha", "reply", "chars"],
+            )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -131,35 +149,32 @@ def digests(examples: DataFrame) -> DataFrame:
             ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64()),
         ])
 
-        def close(key, longest, loss, chars, formatted, n):
-            turns, whole = parse(longest), hashlib.sha256()
-            for r, x in turns:
-                whole.update(f"{r}\n{x}\n".encode("utf-8", "surrogatepass"))
-            done.append((key, len(turns), whole.hexdigest(), chars, loss.hexdigest(), formatted, n))
-
         def out():
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
 
-        begun, key, longest, loss, chars, formatted, n = False, None, "", hashlib.sha256(), 0, 0, 0
+        begun, key, longest, loss, chars, formatted, n = False, None, (0, ""), hashlib.sha256(), 0, 0, 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")]
-            for c, text, a, b in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "turns", "sha", "reply", "chars")]
+            for c, turns, sha, reply, size in zip(*columns):
                 if begun and c != key:
-                    close(key, longest, loss, chars, formatted, n)
+                    done.append((key, *longest, chars, loss.hexdigest(), formatted, n))
                     loss, chars, formatted, n = hashlib.sha256(), 0, 0, 0
-                reply = unescape(text[a:b])
-                begun, key, longest, formatted, n = True, c, text, formatted + len(text), n + 1
+                begun, key, longest, formatted, n = True, c, (turns, sha), formatted + size, n + 1
                 loss.update(reply.encode("utf-8", "surrogatepass"))
                 chars += len(reply)
             if len(done) >= 4096:
                 yield out()
                 done.clear()
         if begun:
-            close(key, longest, loss, chars, formatted, n)
+            done.append((key, *longest, chars, loss.hexdigest(), formatted, n))
             yield out()
 
-    columns = ordered.select("conv_id", "formatted", "loss_start", "loss_end")
-    return columns.mapInArrow(read, _DIGEST.format(kind.simpleString()))
+    name = kind.simpleString()
+    each = examples.select("conv_id", "example", "formatted", "loss_start", "loss_end").mapInArrow(
+        parsed, f"conv_id {name}, example long, turns long, sha string, reply string, chars long"
+    )
+    ordered = each.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return ordered.mapInArrow(read, _DIGEST.format(name))
 
 
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon is learned from labelled texts: words and word beginnings that toxic texts hold far more often than others.
+A short list of insults is extended by a lexicon learned from labelled texts: words and word beginnings that toxic texts
+hold far more often than others.
 Every text becomes a row of dense features: lexicon densities, nearness of the second person, capitals, punctuation
 and obfuscation. Trees are fitted on most of the sample, their margin is calibrated on the rest. Only the text is an
 input of the score.
@@ -29,7 +30,7 @@ from batchloom.llm.common import free_name, materialize, named, table
 SAMPLE = 16_000
 #: Lexicon entries at most, by strength of evidence (twice the log-likelihood ratio), which must reach EVIDENCE.
 LEXICON = 4_000
-EVIDENCE = 18.0
+EVIDENCE = 13.0
 TREES, DEPTH = 40, 4
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
@@ -41,6 +42,15 @@ MEMO_WORDS = 400_000
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine ihr euch tu toi te ton ta tes vous votre vos usted ustedes tú ti".split()
 )
+# Common insults, which count as lexicon words also when the labels do not show them.
+INSULTS = (
+    "idiot idiots moron morons stupid dumb fool jerk loser losers scum trash clown pathetic worthless disgusting ugly "
+    "imbecile bastard asshole bitch shit fuck fucking damn crap hate "
+    "dumm dummkopf trottel arschloch scheisse scheiße idioten "
+    "con connard connasse salope merde imbécile crétin débile "
+    "estúpido estúpida imbécil mierda puta cabrón gilipollas tonto"
+).split()
+INSULT_WEIGHT = 2.0
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "+": "t"})
 _EDGES = ".,;:!?\"'()[]{}<>|*#%&-_/\\=~^`"
 _INNER = re.compile(r"[^\W\d_][\d@$!+*#.\-_][^\W\d_]|[@$013457][^\W\d_]{2}")
@@ -100,7 +110,8 @@ def learn_lexicon(rows: DataFrame, limit: int = LEXICON) -> dict[str, float]:
     ).otherwise(0.0)
     best = terms.filter("pos >= 3").filter(F.col("pos") > share * n).withColumn("gain", 2 * gain)
     best = best.filter(F.col("gain") >= EVIDENCE).orderBy(F.desc("gain"), "term").limit(limit)
-    return {r.term: _evidence(r.pos, r.neg, pos, neg)[1] for r in best.collect()}
+    learned = {r.term: _evidence(r.pos, r.neg, pos, neg)[1] for r in best.collect()}
+    return {**dict.fromkeys(INSULTS, INSULT_WEIGHT), **learned}
 
 
 class Featurizer:
