@@ -1,7 +1,8 @@
 """Times every registered query, and the ingest of five synthetic loads; prints one JSON line.
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the number of cores. Queries are timed on their second run,
-with the result computed in full and thrown away; those that write a store of their own run once.
+with the result computed in full and thrown away; those that write a store of their own run once. Tables that several
+queries share are made once; that time is part of the total.
 """
 
 from __future__ import annotations
@@ -84,8 +85,8 @@ def main() -> None:
         loads[name] = {"events": batches * size, "sec": took, "events_per_sec": round(batches * size / took)}
 
     line = {
-        "metric": "total seconds of all registered queries",
-        "value": round(sum(times.values()), 3),
+        "metric": "total seconds of all registered event queries and their shared set-up",
+        "value": round(sum(times.values()) + sum(setup.values()), 3),
         "unit": "sec",
         "queries": times,
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
