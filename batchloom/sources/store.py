@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +40,19 @@ _KEY_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("epoch", T
 
 @dataclass(frozen=True)
 class Snapshot:
-    """State of the log after entry ``number``: first and last epoch of every stream."""
+    """State of the log after entry ``number``: first and last epoch of every stream.
+
+    ``replaced`` holds the last epoch of a stream whose rows were compacted into another stream.
+    """
 
     number: int
     epochs: dict[str, tuple[int, int]]
+    replaced: dict[str, int] = field(default_factory=dict)
+
+    def with_entry(self, number: int, entry: dict) -> Snapshot:
+        first = self.epochs.get(entry["stream"], (entry["epoch"], 0))[0]
+        epochs = {**self.epochs, entry["stream"]: (first, entry["epoch"])}
+        return Snapshot(number, epochs, {**self.replaced, **entry.get("replaces", {})})
 
 
 class CommitLog:
@@ -94,25 +103,24 @@ class CommitLog:
             names = self._names()
             states = [n for n in names if n.endswith(".all")]
             try:
-                number, epochs = 0, {}
+                state = Snapshot(0, {})
                 if states:
-                    number, epochs = int(states[-1][:12]), {k: tuple(v) for k, v in self._load(states[-1]).items()}
+                    saved = self._load(states[-1])
+                    epochs = {k: tuple(v) for k, v in saved["epochs"].items()}
+                    state = Snapshot(int(states[-1][:12]), epochs, saved["replaced"])
                 for name in names:
-                    if name.endswith(".entry") and int(name[:12]) > number:
-                        number = int(name[:12])
-                        entry = self._load(name)
-                        first = epochs.get(entry["stream"], (entry["epoch"], 0))[0]
-                        epochs[entry["stream"]] = (first, entry["epoch"])
-                return Snapshot(number, epochs)
+                    if name.endswith(".entry") and int(name[:12]) > state.number:
+                        state = state.with_entry(int(name[:12]), self._load(name))
+                return state
             except Py4JJavaError as error:  # rolled up and removed between listing and reading: list again
                 if "FileNotFound" not in str(error.java_exception.getClass().getName()):
                     raise
         raise RuntimeError(f"the log in {self.folder} changes faster than it can be read")
 
-    def add(self, snapshot: Snapshot, stream: str, epoch: int) -> bool:
-        number = snapshot.number + 1
+    def add(self, snapshot: Snapshot, stream: str, epoch: int, replaces: dict[str, int] | None = None) -> bool:
+        number, entry = snapshot.number + 1, {"stream": stream, "epoch": epoch, "replaces": replaces or {}}
         # A number that was rolled up away is taken too.
-        if self.read().number != snapshot.number or not self._create(_name(number, "entry"), {"stream": stream, "epoch": epoch}):
+        if self.read().number != snapshot.number or not self._create(_name(number, "entry"), entry):
             return False
         if number % ROLL_UP == 0:
             self._roll_up()
@@ -120,7 +128,7 @@ class CommitLog:
 
     def _roll_up(self) -> None:
         state = self.read()
-        self._create(_name(state.number, "all"), state.epochs)
+        self._create(_name(state.number, "all"), {"epochs": state.epochs, "replaced": state.replaced})
         for name in self._names():
             if int(name[:12]) < state.number or name == _name(state.number, "entry"):
                 self.fs.delete(self._path(name), False)
@@ -161,9 +169,12 @@ class EventStore:
 
     def read(self, spark: SparkSession, table: str, snapshot: Snapshot | None = None) -> DataFrame:
         """Committed rows of a table, of all streams."""
+        snapshot = snapshot or self.snapshot(spark)
         committed = F.lit(False)
-        for stream, (first, last) in (snapshot or self.snapshot(spark)).epochs.items():
-            committed = committed | ((F.col("stream") == stream) & F.col("epoch").between(first, last))
+        for stream, (first, last) in snapshot.epochs.items():
+            first = max(first, snapshot.replaced.get(stream, first - 1) + 1)
+            if first <= last:
+                committed = committed | ((F.col("stream") == stream) & F.col("epoch").between(first, last))
         return self._raw(spark, table).filter(committed).drop("stream", "epoch")
 
     def is_committed(self, snapshot: Snapshot, epoch: int) -> bool:
@@ -194,6 +205,36 @@ class EventStore:
         """Ledger rows sorted by batch id, so that a lookup skips row groups."""
         self.write("batches", epoch, rows.sortWithinPartitions("batch_id"))
 
+    def compact(self, spark: SparkSession) -> bool:
+        """Write all committed rows again as one epoch; False when another writer committed meanwhile.
+
+        Events are then in one global order by project, name and time, and the ledger in order of batch ids, so a
+        lookup reads few files. The replaced folders stay for readers that hold an earlier snapshot;
+        ``remove_replaced`` takes them away.
+        """
+        snapshot = self.snapshot(spark)
+        target = replace(self, stream=f"compact-{uuid.uuid4().hex}")
+        for table in TABLES:
+            rows = self.read(spark, table, snapshot)
+            if table == "events":
+                target.write_events(0, rows)
+            elif table == "batches":
+                target.write_ledger(0, rows.repartitionByRange("batch_id"))
+            else:
+                target.write(table, 0, rows)
+        replaces = {stream: last for stream, (_, last) in snapshot.epochs.items()}
+        return CommitLog(spark, self.path("commits")).add(snapshot, target.stream, 0, replaces)
+
+    def remove_replaced(self, spark: SparkSession) -> None:
+        """Delete the folders of compacted epochs; no reader may still use an earlier snapshot."""
+        log, snapshot = CommitLog(spark, self.path("commits")), self.snapshot(spark)
+        for table in TABLES:
+            for stream, last in snapshot.replaced.items():
+                for epoch in range(snapshot.epochs[stream][0], last + 1):
+                    path = log.fs_api.Path(f"{self.path(table)}/stream={stream}/epoch={epoch}")
+                    if log.fs.exists(path):
+                        log.fs.delete(path, True)
+
     def commit(self, spark: SparkSession, epoch: int, snapshot: Snapshot) -> bool:
         """Commit an epoch that was decided on ``snapshot``; False when another writer committed since then."""
         return CommitLog(spark, self.path("commits")).add(snapshot, self.stream, epoch)

@@ -309,3 +309,35 @@ def test_the_log_stays_short(spark, tmp_path, monkeypatch):
         most = max(most, len(log._names()))
     assert log.read() == store_module.Snapshot(300, {f"s{k}": (0, 99) for k in range(3)})
     assert most <= 8
+
+
+def test_compaction_changes_no_result(spark, tmp_path):
+    store = EventStore(str(tmp_path / "store")).create(spark)
+    for epoch in range(4):
+        process_epoch(store, messages(spark, [batch(f"b{epoch}", event(), event()), batch("b0", event(), event()), "{"]), epoch)
+    before = {t: sorted(map(str, store.read(spark, t).drop("properties", "context").collect())) for t in store_module.TABLES}
+    old = store.read(spark, "batches")
+    assert store.compact(spark)
+    after = {t: sorted(map(str, store.read(spark, t).drop("properties", "context").collect())) for t in store_module.TABLES}
+    assert after == before and old.count() == 4
+    process_epoch(store, messages(spark, [batch("b2", event(orgid="z"))]), 3)  # done already
+    process_epoch(store, messages(spark, [batch("b2", event(orgid="z")), batch("c", event())]), 4)
+    assert sorted(r.batch_id for r in store.read(spark, "batches").collect()) == ["b0", "b1", "b2", "b3", "c"]
+    store.remove_replaced(spark)
+    assert store.read(spark, "batches").count() == 5 and store.read(spark, "events").count() == 9
+    assert len(list((tmp_path / "store" / "events").glob("stream=*/epoch=*/*.parquet"))) <= 12
+
+
+def test_compaction_gives_way_to_a_writer(spark, tmp_path, monkeypatch):
+    store = EventStore(str(tmp_path / "store")).create(spark)
+    process_epoch(store, messages(spark, [batch("a", event())]), 0)
+    write = EventStore.write_ledger
+
+    def meanwhile(self, epoch, rows):
+        write(self, epoch, rows)
+        if self.stream.startswith("compact"):
+            process_epoch(EventStore(store.root, "other"), messages(spark, [batch("b", event())]), 0)
+
+    monkeypatch.setattr(EventStore, "write_ledger", meanwhile)
+    assert not store.compact(spark)
+    assert store.read(spark, "events").count() == 2
