@@ -136,7 +136,7 @@ class TokenStore:
 
     @property
     def index(self) -> DataFrame:
-        """One row per bucket: ``bucket, seeds, prints, shards, blocks, firsts, starts, lengths``."""
+        """One row per bucket: ``bucket, seeds, prints, shards, blocks, firsts, starts, lengths, buckets`` (their number)."""
         return self.spark.read.parquet(f"{self.root}/index")
 
 
@@ -302,16 +302,17 @@ def _build(rows: pa.Table) -> pa.Table:
 def _write_index(store: TokenStore) -> None:
     found = entries(store)
     total = store.shards.agg(F.sum(F.size("keys"))).first()[0] or 0
-    hashed = _hashes(found, max(1, -(-total // BUCKET_KEYS))).drop("key", "copy")
+    buckets = max(1, -(-total // BUCKET_KEYS))
+    hashed = _hashes(found, buckets).drop("key", "copy")
     binary = ", ".join(f"{c} binary" for c in ("seeds", "prints", *(many for many, _ in _SLOTS)))
     index = hashed.groupBy("bucket").applyInArrow(_build, f"bucket long, {binary}")
-    index.write.parquet(f"{store.root}/index")
+    index.withColumn("buckets", F.lit(buckets)).write.parquet(f"{store.root}/index")
 
 
 def lookup(store: TokenStore, keys: DataFrame) -> DataFrame:
     """``key, copy, shard, block, first, start, length`` of those ``(key, copy)`` whose slot has their fingerprint."""
-    buckets = store.index.count()
-    asked = _hashes(keys.select("key", "copy"), max(1, store.index.agg(F.max("bucket")).first()[0] + 1 if buckets else 1))
+    buckets = store.index.agg(F.max("buckets")).first()[0] or 1
+    asked = _hashes(keys.select("key", "copy"), buckets)
     grouped = asked.groupBy("bucket").agg(F.collect_list(F.struct("key", "copy", "h1", "h2")).alias("asked"))
     kind = dict(keys.dtypes)["key"]
 
@@ -332,7 +333,7 @@ def lookup(store: TokenStore, keys: DataFrame) -> DataFrame:
                 )
 
     schema = f"key {kind}, copy long, " + ", ".join(f"{one} long" for _, one in _SLOTS)
-    return grouped.join(store.index, "bucket").drop("bucket").mapInArrow(find, schema)
+    return grouped.join(store.index, "bucket").drop("bucket", "buckets").mapInArrow(find, schema)
 
 
 def fetch(store: TokenStore, keys: DataFrame) -> DataFrame:
