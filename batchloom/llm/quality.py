@@ -188,7 +188,8 @@ def train(
 ) -> Model:
     """Fit on at most ``labelled`` documents with a label and ``pool`` without, chosen by hash of the key.
 
-    Null labels and keys are no labels; a key labelled more than once has its mean, rounded.
+    Null labels and keys are no labels; a key labelled more than once has its mean, rounded. Of the rows of one key the
+    one with the smallest hash of its content is read.
     """
     known = labels.filter(named(key).isNotNull() & named(label).isNotNull()).groupBy(named(key).alias("_key"))
     known = known.agg(F.round(F.avg(named(label))).alias("_label"))
@@ -208,6 +209,8 @@ def train(
     picked = docs.withColumn(free_name(docs, "_key"), named(key)).select(named(key).alias("_key"), *[
         c.alias(n) for c, n in zip(inputs, _COLUMNS)
     ]).join(F.broadcast(chosen), "_key")  # bounded by labelled + pool thin rows
+    content = F.struct(F.xxhash64(*_COLUMNS).alias("h"), *_COLUMNS)
+    picked = picked.groupBy("_key", "_label").agg(F.min(content).alias("c")).select("_key", "_label", "c.*")
     rows = picked.select("_key", "_label", features(*_COLUMNS).alias("f")).toPandas()
     if rows.empty:
         return co_train([np.zeros((0, CONTENT)), np.zeros((0, META))], np.empty(0), np.empty(0, bool))

@@ -55,3 +55,15 @@ def test_without_labels_everything_stays(spark, docs_of):
     assert Q.keep_good(docs_of(rows), none).count() == 8
     one = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert Q.keep_good(docs_of(rows), one).count() == 8
+
+
+def test_one_row_of_a_key_is_fitted(spark, docs_of, monkeypatch):
+    """A key with very many rows counts once, and only one of its rows reaches the driver."""
+    rows, labels = _docs(60)
+    many = [(0, *r[1:]) for r in _docs(300, seed=2)[0]]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "co_train", lambda views, y, held: seen.append((len(y), views[0].tobytes())))
+    for order in (1, -1):
+        Q.train(docs_of((rows + many)[::order]), frame)
+    assert [n for n, _ in seen] == [60, 60] and seen[0] == seen[1]
