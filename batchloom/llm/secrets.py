@@ -2,8 +2,8 @@
 
 All DataFrame expressions. Patterns give the base spans. Every other token of the secret alphabet is scored by the
 log-likelihood ratio of its character pairs under a model of random strings and one of ordinary identifiers; both are
-counted from labelled samples: random strings are the values of base spans and digests made by rule, identifiers are
-the other words of a bounded sample of documents.
+counted from labelled strings: random ones are the values of base spans and digests made by rule, identifiers are the
+other words of all documents.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: A token that the models judge, and its length at least.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
-#: Documents that training reads at most, chosen by hash of the key; and digests made by rule.
-SAMPLE = 2_000
+#: Digests made by rule.
 DIGESTS = 2_000
 #: A token is a secret when random strings explain it better by this much: in all, and per character pair.
 LEAST_RATIO = 6.0
@@ -87,16 +86,14 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return _spans(df, text, "hex", HEX, named(text).rlike(HEX))
 
 
-def labelled_samples(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
+def labelled_samples(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``token, label, n``: random strings (1) and ordinary identifiers (0).
 
-    Identifiers are words of at most ``sample`` documents outside their base spans; random strings are the values of
-    those spans, and digests of numbers in hexadecimal, base 64 and capitals, so that a corpus without any has some.
+    Identifiers are the words of all documents outside their base spans, whatever their ``key``; random strings are the
+    values of those spans, and digests of numbers in hexadecimal, base 64 and capitals, so that a corpus without any has
+    some.
     """
-    order = F.xxhash64(named(key).cast("string"))
-    chosen = docs.select(named(key).alias("_k")).distinct().orderBy(order, "_k").limit(sample)
-    texts = docs.select(named(key).alias("_k"), named(text).alias("_t")).filter("_t IS NOT NULL")
-    texts = texts.join(F.broadcast(chosen), "_k", "left_semi")  # bounded by ``sample`` keys
+    texts = docs.select(named(text).alias("_t")).filter("_t IS NOT NULL")
     spans = base_spans(texts, "_t")
     values = spans.select(F.explode(F.concat("assign", "access", "hex")).alias("s")).select(F.col("s.value").alias("token"))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_t", ASSIGN, " "), ACCESS, " "), HEX, " ")

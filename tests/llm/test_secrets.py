@@ -70,3 +70,11 @@ def test_digest(spark):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in spans) for k in KINDS]
+
+
+def test_models_count_every_document(spark):
+    rows = [(i, f"identifier_{i} AKIAABCDEFGH{i:08d}") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    found = S.labelled_samples(docs, "doc_id", "text")
+    assert found.filter("token LIKE 'identifier\\_%' AND label = 0").count() == 2100
+    assert found.filter("token LIKE 'AKIAABCDEFGH%' AND label = 1").count() == 2100
