@@ -24,8 +24,8 @@ from pyspark.sql.functions import arrow_udf
 from batchloom.llm.common import free_name, named, table
 
 #: Bounds of the rows that fitting reads.
-LABELLED = 12_000
-POOL = 6_000
+LABELLED = 16_000
+POOL = 8_000
 ROUNDS = 3
 #: Share of the pool that a view hands over per round, at most, and how sure it must be.
 SHARE = 0.1

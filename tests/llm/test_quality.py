@@ -67,3 +67,11 @@ def test_one_row_of_a_key_is_fitted(spark, docs_of, monkeypatch):
     for order in (1, -1):
         Q.train(docs_of((rows + many)[::order]), frame)
     assert [n for n, _ in seen] == [60, 60] and seen[0] == seen[1]
+
+
+def test_default_sample(spark, docs_of, monkeypatch):
+    """As many rows as before they were lowered: 16,000 with a label, 8,000 without."""
+    rows = [(i, f"w{i}", "en", "a", 1) for i in range(25_000)]
+    frame = spark.range(16_500).selectExpr("id AS doc_id", "int(id % 2) AS quality")
+    monkeypatch.setattr(Q, "co_train", lambda views, y, held: (int((~np.isnan(y)).sum()), int(np.isnan(y).sum())))
+    assert Q.train(docs_of(rows), frame) == (16_000, 8_000)
