@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from batchloom.llm import chat, decontaminate, mixing, passages, quality, rules, secrets, simhash, tokens, toxicity
+from batchloom.llm import (
+    chat, decontaminate, importance, mixing, passages, quality, rules, secrets, simhash, tokens, toxicity,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,9 +17,11 @@ QUERIES = {
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_chained_passages": passages.op9_chained_passages,
     "op10_rule_cascade": rules.op10_rule_cascade,
+    "op13_importance": importance.op13_importance,
 }
 ORACLES = {
     "op4_prefix_targets": chat.OP4_SQL,
     "op8_winnowing": decontaminate.OP8_SQL,
     "op10_rule_cascade": rules.OP10_SQL,
+    "op13_importance": importance.OP13_SQL,
 }
