@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from batchloom.llm import (
-    chat, decontaminate, importance, mixing, passages, quality, rules, secrets, simhash, tokens, toxicity,
+    brown, chat, codes, decontaminate, importance, mixing, passages, quality, rules, secrets, simhash, tokens, toxicity,
 )
 
 QUERIES = {
@@ -17,11 +17,14 @@ QUERIES = {
     "op8_winnowing": decontaminate.op8_winnowing,
     "op9_chained_passages": passages.op9_chained_passages,
     "op10_rule_cascade": rules.op10_rule_cascade,
+    "op11_norm_bounds": codes.op11_norm_bounds,
+    "op12_class_ngrams": brown.op12_class_ngrams,
     "op13_importance": importance.op13_importance,
 }
 ORACLES = {
     "op4_prefix_targets": chat.OP4_SQL,
     "op8_winnowing": decontaminate.OP8_SQL,
     "op10_rule_cascade": rules.OP10_SQL,
+    "op11_norm_bounds": codes.OP11_SQL,
     "op13_importance": importance.OP13_SQL,
 }
