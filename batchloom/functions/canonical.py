@@ -39,12 +39,19 @@ def _numbers_by_value(text: str) -> str:
     return f"transform(array({text}), t -> CASE WHEN {odd} THEN {joined} ELSE t END)[0]"
 
 
+_EVENT = "named_struct(" + ", ".join(f"'{key}', {_canonical_value(key, column, kind)}" for key, column, kind in EVENT_FIELDS) + ")"
+
+
 def canonical_batch_json(batch_id: str, events: str) -> Column:
     """Text of a batch: fixed field order, object keys sorted at every depth, array order kept, numbers by value."""
-    fields = ", ".join(f"'{key}', {_canonical_value(key, column, kind)}" for key, column, kind in EVENT_FIELDS)
-    text = f"to_json(named_struct('batch_id', {batch_id}, 'events', transform({events}, e -> named_struct({fields}))))"
+    text = f"to_json(named_struct('batch_id', {batch_id}, 'events', transform({events}, e -> {_EVENT})))"
     return F.expr(_numbers_by_value(text))
 
 
+def event_digests(events: str) -> Column:
+    """A digest of each event's part of the canonical text, in order: equal where the hash of the batch would be."""
+    return F.expr(f"transform({events}, e -> xxhash64({_numbers_by_value(f'to_json({_EVENT})')}))")
+
+
 def payload_hash(canonical_text: Column) -> Column:
     return F.sha2(canonical_text, 256)

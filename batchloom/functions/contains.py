@@ -4,11 +4,14 @@ The pattern is a Python value, so it compiles to a tree of built-in expressions.
 pattern is there and contains its value. Arrays: every pattern element is contained in some element, in any
 order and number. Scalars: same JSON type and equal, numbers by value. Only at the top may an array contain
 a bare scalar.
+
+A stored document holds integers of more than 38 digits as 64-bit floats. Two such integers that round to the same
+float are equal here, and no pattern tells them apart; up to 38 digits every digit counts.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+from decimal import Context, Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 from batchloom.functions.fields import ARRAY, OBJECT
 
+#: Normalizing must not round; decimals have 38 digits, and 64-bit floats 309 before the point.
+_EXACT = Context(prec=400)
 _INT64 = range(-(2**63), 2**63)
 
 
@@ -45,7 +50,7 @@ def _scalar_equals(value: Column, scalar) -> Column:
         return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == F.lit(scalar))
     # A decimal has digits that a float cannot hold: it is compared as text, which variants spell one way only.
     as_double = (kind == "DOUBLE") & (F.try_variant_get(value, "$", "double") == F.lit(float(scalar)))
-    spelled = format(Decimal(repr(scalar)).normalize(), "f")
+    spelled = format(Decimal(repr(scalar)).normalize(_EXACT), "f")
     by_value = as_double | (kind.startswith("DECIMAL") & (F.try_variant_get(value, "$", "string") == F.lit(spelled)))
     if scalar == int(scalar) and int(scalar) in _INT64:
         exact = (kind == "BIGINT") & (F.try_variant_get(value, "$", "bigint") == F.lit(int(scalar)).cast("bigint"))

@@ -36,13 +36,33 @@ def is_null_text(text: str) -> str:
     return f"coalesce(is_variant_null(try_parse_json({text})), false)"
 
 
-def is_one_value(text: str) -> str:
-    """True when nothing but white space follows the first JSON value.
+def _mark(text: str) -> str:
+    return f"xxhash64({text})"
 
-    The text is put in an array before its own hash: anything after the value breaks the array or changes its length.
+
+def marked_values(text: str) -> str:
+    """The objects of a JSON text, and behind them one that marks the end of the text by its own hash.
+
+    The text is put into an array: whatever follows its first value breaks the array, adds to it or ends it early, so
+    the mark is not the second element then. NULL where the text does not parse or holds other values than objects
+    and nulls.
     """
-    array = f"from_json(concat('[', {text}, ',\"', md5({text}), '\"]'), 'array<string>', {STRICT_JSON})"
-    return f"coalesce(size({array}) = 2 AND {array}[1] = md5({text}), false)"
+    return f"from_json(concat('[', {text}, ',{{\"\":', {_mark(text)}, '}}]'), 'array<{OBJECT}>', {STRICT_JSON})"
+
+
+def _is_marked(values: str, text: str) -> str:
+    mark = f"try_variant_get(try_element_at({values}[1], ''), '$', 'bigint')"
+    return f"coalesce(size({values}) = 2 AND {mark} = {_mark(text)}, false)"
+
+
+def one_object(values: str, text: str) -> str:
+    """As ``json_fields``, for a text that is one JSON object and nothing more."""
+    return f"CASE WHEN {_is_marked(values, text)} THEN {fold_keys(f'{values}[0]')} END"
+
+
+def is_one_null(values: str, text: str) -> str:
+    """True where the text is the word ``null`` and nothing more."""
+    return f"({_is_marked(values, text)} AND {values}[0] IS NULL)"
 
 
 # Strings and what lies between them, and the numbers in the latter.

@@ -19,7 +19,7 @@ def decode_batches(messages: DataFrame, text: str = "payload", strict: bool = Fa
     One wrongly typed field in any event fails the whole batch: its ``decode_error`` is set and ``events``
     is NULL. A ``null`` element is an event without values, which validation turns away later. A number beyond the
     range of 64-bit floats fails the batch too. With ``strict`` the text must be one JSON value and nothing more;
-    else bytes after it are ignored.
+    else bytes after it are ignored. Either way the text is parsed once.
     """
     element_fields = f"""
         transform({J.as_array("_raw_events")}, e ->
@@ -27,16 +27,18 @@ def decode_batches(messages: DataFrame, text: str = "payload", strict: bool = Fa
     """
     picked = f"transform(_elements, e -> CASE WHEN e IS NOT NULL THEN {J.pick_event_fields('e')} END)"
     failed = f"""
-        CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)}
+        CASE WHEN _fields IS NULL THEN NOT {J.is_one_null("_values", text) if strict else J.is_null_text(text)}
              WHEN {J.has_infinite_number(text)} THEN true
-             {f"WHEN NOT {J.is_one_value(text)} THEN true" if strict else ""}
              WHEN {J.wrong_type("_raw_id", "text")} THEN true
              WHEN {J.has_value("_raw_events")} AND _elements IS NULL THEN true
              ELSE coalesce(exists(_elements, e -> e IS NULL OR {J.event_has_wrong_type("e")}), false) END
     """
     events = f"coalesce(transform(_elements, e -> {J.typed_event('e')}), CAST(array() AS {_EVENT_ARRAY}))"
+    parsed = messages
+    if strict:
+        parsed = messages.withColumn("_values", F.expr(J.marked_values(text)))
     decoded = (
-        messages.withColumn("_fields", F.expr(J.json_fields(text)))
+        parsed.withColumn("_fields", F.expr(J.one_object("_values", text) if strict else J.json_fields(text)))
         .withColumns({
             "_raw_id": F.expr("try_element_at(_fields, 'batch_id')"),
             "_raw_events": F.expr("try_element_at(_fields, 'events')"),
@@ -54,8 +56,15 @@ def decode_batches(messages: DataFrame, text: str = "payload", strict: bool = Fa
 
 
 def decode_events(bodies: DataFrame, text: str = "body") -> DataFrame:
-    """Single-event path: add the typed ``event``, ``accepted`` and ``reason``. Accepted events are not stored."""
-    failed = f"CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)} ELSE {J.event_has_wrong_type('_raw')} END"
+    """Single-event path: add the typed ``event``, ``accepted`` and ``reason``. Accepted events are not stored.
+
+    Bytes after the first JSON value are ignored; a number in it beyond the range of 64-bit floats is refused.
+    """
+    failed = f"""
+        CASE WHEN _fields IS NULL THEN NOT {J.is_null_text(text)}
+             WHEN {J.has_infinite_number(text)} THEN true
+             ELSE {J.event_has_wrong_type('_raw')} END
+    """
     decoded = (
         bodies.withColumn("_fields", F.expr(J.json_fields(text)))
         .withColumn("_raw", F.expr(J.pick_event_fields("_fields")))

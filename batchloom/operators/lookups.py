@@ -1,34 +1,43 @@
 """Queries over the stored events and the ledger.
 
-Filters are plain column predicates, so they reach the Parquet scan; events are stored sorted by
-project, name and time inside each file, so row groups outside a project are skipped.
+Filters are plain column predicates, so they reach the Parquet scan. Each lookup adds those of the layout: a time range
+names the folders of its days, and a project, organization or user the cells of the curve, by which row groups are
+skipped. ``events`` is the store's table with its ``event_day`` and ``cell``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.contains import json_contains
+from batchloom.operators.layout import bucket, in_cells, in_days
 
 _TIME_ORDER = ["timestamp_ms", "batch_id", "event_index"]
 
 
-def _between(start_ms: int, end_ms: int):
-    return F.col("timestamp_ms").between(start_ms, end_ms)
+def _between(start_ms: int | None, end_ms: int | None) -> Column:
+    """Both ends belong to the range, ``None`` leaves one open."""
+    time, found = F.col("timestamp_ms"), in_days(start_ms, end_ms)
+    if start_ms is not None:
+        found = found & (time >= start_ms)
+    return found if end_ms is None else found & (time <= end_ms)
 
 
 def events_by_project_name(events: DataFrame, project_id: str, name: str) -> DataFrame:
-    return events.filter((F.col("project_id") == project_id) & (F.col("name") == name))
+    own = (F.col("project_id") == project_id) & (F.col("name") == name)
+    return events.filter(own & in_cells(project_id=project_id))
 
 
 def events_by_project_time(events: DataFrame, project_id: str, name: str, start_ms: int, end_ms: int) -> DataFrame:
     return events_by_project_name(events, project_id, name).filter(_between(start_ms, end_ms))
 
 
-def funnel_timeline(events: DataFrame, funnel_id: str) -> DataFrame:
+def funnel_timeline(
+    events: DataFrame, funnel_id: str, start_ms: int | None = None, end_ms: int | None = None
+) -> DataFrame:
     """One funnel's events in time order; ties by batch and place."""
-    return events.filter(F.col("funnel_id") == funnel_id).orderBy(*_TIME_ORDER)
+    return events.filter((F.col("funnel_id") == funnel_id) & _between(start_ms, end_ms)).orderBy(*_TIME_ORDER)
 
 
 def events_by_properties(events: DataFrame, pattern: dict) -> DataFrame:
@@ -36,20 +45,26 @@ def events_by_properties(events: DataFrame, pattern: dict) -> DataFrame:
 
 
 def events_by_org_time(events: DataFrame, org_id: str, start_ms: int, end_ms: int) -> DataFrame:
-    return events.filter((F.col("org_id") == org_id) & _between(start_ms, end_ms))
+    return events.filter((F.col("org_id") == org_id) & in_cells(org_id=org_id) & _between(start_ms, end_ms))
 
 
-def events_by_user_time(events: DataFrame, user_id: str) -> DataFrame:
+def events_by_user_time(
+    events: DataFrame, user_id: str, start_ms: int | None = None, end_ms: int | None = None
+) -> DataFrame:
     """One user's events in time order; events without a user never match."""
-    return events.filter(F.col("user_id") == user_id).orderBy(*_TIME_ORDER)
+    own = (F.col("user_id") == user_id) & in_cells(user_id=user_id)
+    return events.filter(own & _between(start_ms, end_ms)).orderBy(*_TIME_ORDER)
 
 
-def batch_by_id(ledger: DataFrame, batch_id: str) -> DataFrame:
-    return ledger.filter(F.col("batch_id") == batch_id).select("batch_id", "payload_hash")
+def batch_by_id(ledger: DataFrame, batch_id: str, buckets: int) -> DataFrame:
+    """A batch's ledger row; one of the ``buckets`` is read."""
+    own = (F.col("batch_id") == batch_id) & (F.col("part") == bucket(F.lit(batch_id), buckets))
+    return ledger.filter(own).select("batch_id", "payload_hash")
 
 
-def events_by_batch(events: DataFrame, batch_id: str) -> DataFrame:
-    return events.filter(F.col("batch_id") == batch_id).select(
+def events_by_batch(events: DataFrame) -> DataFrame:
+    """What the event store shows of a batch's events; ``EventStore.read_batch`` finds them."""
+    return events.select(
         "batch_id", "event_index", "name", "project_id", "org_id", "funnel_id", "properties"
     )
 

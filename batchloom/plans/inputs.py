@@ -136,6 +136,7 @@ def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(group == 6, F.concat(F.left(text, F.length(text) - 1), F.lit(',"properties":[]}')))
         .when(group == 7, F.concat(F.left(text, F.length(text) - 1), F.lit(',"more":[{"a":null}]} junk')))
         .when(group == 8, "")
+        .when(group == 9, F.concat(F.left(text, F.length(text) - 1), F.lit(',"more":[1e400]}')))
         .otherwise(text)
         .alias("body"),
     )

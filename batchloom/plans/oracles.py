@@ -96,15 +96,16 @@ def _or_null(column: str) -> str:
     return f"""coalesce('"' || {column} || '"', 'null')"""
 
 
-_CONTENTS = f"""{_CHECKED},
-contents AS (
-  SELECT message_order, message_id, batch_id,
-    '{{"batch_id":"' || batch_id || '","events":[' || string_agg(
-      '{{' || (CASE WHEN event_id = '' THEN '' ELSE '"id":"' || event_id || '",' END)
+_EVENT_TEXT = f"""'{{' || (CASE WHEN event_id = '' THEN '' ELSE '"id":"' || event_id || '",' END)
       || '"event":"' || name || '","timestamp":' || timestamp_ms || ',"projectid":"' || project_id
       || '","orgid":"' || org_id || '","funnelid":"' || funnel_id || '","user_id":' || {_or_null("user_id")}
       || ',"anonymous_id":' || {_or_null("anonymous_id")} || ',"session_id":' || {_or_null("session_id")}
-      || ',"properties":' || properties || ',"context":' || context || '}}', ',' ORDER BY event_index)
+      || ',"properties":' || properties || ',"context":' || context || '}}'"""
+
+_CONTENTS = f"""{_CHECKED},
+contents AS (
+  SELECT message_order, message_id, batch_id,
+    '{{"batch_id":"' || batch_id || '","events":[' || string_agg({_EVENT_TEXT}, ',' ORDER BY event_index)
     || ']}}' AS canonical
   FROM survivors GROUP BY message_order, message_id, batch_id
 )"""
@@ -233,7 +234,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN {_GROUP} IN (0, 1, 3) THEN NULL WHEN {_GROUP} = 2 THEN 0 ELSE total_events END AS total_events,
         CASE WHEN {_GROUP} IN (0, 1, 3) THEN '{S.INVALID_JSON}' END AS decode_error FROM summary""",
     "decode_event": f"""WITH {_WIRE}, judged AS (SELECT event_id,
-        CASE WHEN event_id % 11 IN (1, 2, 5, 6, 8) THEN '{S.INVALID_JSON}'
+        CASE WHEN event_id % 11 IN (1, 2, 5, 6, 8, 9) THEN '{S.INVALID_JSON}'
           WHEN event_id % 11 = 3 THEN '{S.NAME_REQUIRED}' ELSE {_EVENT_ERROR} END AS reason FROM wire)
         SELECT event_id, reason IS NULL AS accepted, reason FROM judged""",
     "write_events": _STORED,
@@ -266,6 +267,7 @@ ORACLES: dict[str, str] = {
     "events_by_project_name": f"{_STORED} WHERE project_id = '{R.PROJECT}' AND name = '{R.NAME}'",
     "events_by_funnel": f"{_STORED} WHERE funnel_id = '{R.FUNNEL}' ORDER BY timestamp_ms",
     "events_by_properties": f"{_STORED} WHERE properties::JSON ->> '$.k' = '87'",
+    "events_by_properties_indexed": f"{_STORED} WHERE properties::JSON ->> '$.k' = '87'",
     "events_by_org_time": f"{_STORED} WHERE org_id = '{R.ORG}' AND {_TIME_RANGE}",
     "events_by_user_time": f"{_STORED} WHERE user_id = '{R.USER}' ORDER BY timestamp_ms",
     "events_by_project_time": f"{_STORED} WHERE project_id = '{R.PROJECT}' AND name = '{R.NAME}' AND {_TIME_RANGE}",
@@ -282,6 +284,22 @@ ORACLES: dict[str, str] = {
     "new_batches": _FIRST_HASHES,
     "new_events": f"WITH {_STATUS} SELECT batch_id, event_index, name FROM stored WHERE name = '{R.NAME}'",
     "batch_conflicts": f"WITH {_STATUS} SELECT message_id, batch_id FROM tagged WHERE status = 'conflict'",
+    "conflict_places": f"""WITH {_STATUS}, texts AS (
+          SELECT message_order, event_index, {_EVENT_TEXT} AS text FROM survivors
+        ),
+        pairs AS (
+          SELECT t.message_order, t.message_id, t.batch_id, f.first_order FROM tagged t JOIN first_writers f USING (batch_id)
+          WHERE status = 'conflict'
+        ),
+        places AS (
+          SELECT p.message_order, event_index FROM pairs p JOIN texts t ON t.message_order = p.message_order
+          UNION SELECT p.message_order, event_index FROM pairs p JOIN texts t ON t.message_order = p.first_order
+        )
+        SELECT p.message_id, p.batch_id, string_agg(l.event_index, ',' ORDER BY l.event_index) AS places
+        FROM pairs p JOIN places l USING (message_order)
+        LEFT JOIN texts a ON a.message_order = p.message_order AND a.event_index = l.event_index
+        LEFT JOIN texts b ON b.message_order = p.first_order AND b.event_index = l.event_index
+        WHERE a.text IS DISTINCT FROM b.text GROUP BY p.message_order, p.message_id, p.batch_id""",
     "batch_redeliveries": f"WITH {_STATUS} SELECT message_id, batch_id, status FROM tagged",
     "orphan_events": f"""WITH {_STATUS} SELECT batch_id, event_index FROM stored s WHERE NOT EXISTS (
         SELECT 1 FROM stored o WHERE o.batch_id = s.batch_id AND o.event_index = 0 AND o.name <> '{R.NAME}')""",

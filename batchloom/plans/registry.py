@@ -59,11 +59,11 @@ def _validated(ws: Workspace) -> DataFrame:
 
 
 def _empty_ledger(ws: Workspace) -> DataFrame:
-    return ws.spark.createDataFrame([], "batch_id string, payload_hash string")
+    return ws.ledger(None)
 
 
 def _verdicts(ws: Workspace, stored: DataFrame) -> DataFrame:
-    return ledger.judge_contents(ledger.batch_contents(ws.accepted), stored)
+    return ledger.judge_contents(ledger.batch_contents(ws.accepted), stored, ws.store.buckets(ws.spark))
 
 
 def _tagged(ws: Workspace, stored: DataFrame) -> DataFrame:
@@ -233,6 +233,12 @@ def _(ws):
     return _stored(lookups.events_by_properties(ws.table("events"), {"k": 87}))
 
 
+@query("events_by_properties_indexed")
+def _(ws):
+    """The same lookup over a store whose properties have postings."""
+    return _stored(ws.indexed.find(ws.spark, {"k": 87}))
+
+
 @query("events_by_org_time")
 def _(ws):
     return _stored(lookups.events_by_org_time(ws.table("events"), ORG, START_MS, END_MS))
@@ -250,12 +256,12 @@ def _(ws):
 
 @query("batch_by_id")
 def _(ws):
-    return lookups.batch_by_id(ws.table("batches"), BATCH_ID)
+    return lookups.batch_by_id(ws.table("batches"), BATCH_ID, ws.store.buckets(ws.spark))
 
 
 @query("events_by_batch")
 def _(ws):
-    return _as_text(lookups.events_by_batch(ws.table("events"), BATCH_ID), "properties")
+    return _as_text(lookups.events_by_batch(ws.store.read_batch(ws.spark, BATCH_ID)), "properties")
 
 
 @query("log_lines_since")
@@ -301,6 +307,13 @@ def _(ws):
     return _tagged(ws, _empty_ledger(ws)).filter("status = 'conflict'").select("message_id", "batch_id")
 
 
+@query("conflict_places")
+def _(ws):
+    """Which events of a message in conflict differ from the first writer's."""
+    found = ingest.quarantined_conflicts(ws.store, ws.spark)
+    return found.select("message_id", "batch_id", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
 @query("batch_redeliveries")
 def _(ws):
     return _tagged(ws, _empty_ledger(ws)).select("message_id", "batch_id", "status")
@@ -511,7 +524,7 @@ def _(ws):
     group = F.expr("first.message_order div 10") % 10
     other = F.when(group == 5, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash"))
     contents = ledger.batch_contents(ws.accepted).filter(group.isin(0, 5))
-    known = contents.select("batch_id", other.alias("payload_hash"))
+    known = ws.ledger(contents.select("batch_id", other.alias("payload_hash")))
     return _tagged(ws, known).select("message_id", "batch_id", "status")
 
 

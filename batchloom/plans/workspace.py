@@ -62,6 +62,11 @@ class Workspace:
         drain(store, self.message_stream, f"{self.root}/store-checkpoint")
         return store
 
+    @functools.cached_property
+    def indexed(self) -> EventStore:
+        self.store.index(self.spark)
+        return self.store
+
     @functools.cached_property
     def twice_written(self) -> EventStore:
         """Two epochs with the same messages, and a third that broke off before its commit."""
@@ -72,6 +77,14 @@ class Workspace:
         store.write("batches", 2, halfway.withColumn("batch_id", F.concat("batch_id", F.lit("x"))))
         return store
 
+    def ledger(self, known: DataFrame | None) -> DataFrame:
+        """The ledger of a new store that holds some batches already."""
+        store = EventStore(self.fresh("ledger")).create(self.spark)
+        if known is not None:
+            store.write("batches", 0, known.withColumn("created_at", F.current_timestamp()))
+            store.commit(self.spark, 0, {})
+        return store.read(self.spark, "batches")
+
     def table(self, name: str) -> DataFrame:
         return self.store.read(self.spark, name)
 

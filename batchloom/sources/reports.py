@@ -19,16 +19,19 @@ def read_run_reports(spark: SparkSession, folder: str) -> DataFrame:
 
     A file that does not parse fails the read. Loose ``*.json`` files hold one document each and carry their own
     name; reports written by ``write_run_reports`` carry theirs in their folder, one document per line, so that runs
-    with the same finish time stay apart as rows. Other sub-folders are not read.
+    with the same finish time stay apart as rows. Other sub-folders are not read, whatever their names end with, nor
+    is a manifest, be it a file or a folder.
     """
     reader = spark.read.schema(S.REPORT).option("mode", "FAILFAST")
     report = F.struct(*S.REPORT.fieldNames()).alias("report")
     parts = []
-    if any(_listed(spark, f"{folder}/*.json")):
+    if any(s.isFile() for s in _listed(spark, f"{folder}/*.json")):
         loose = reader.option("multiLine", True).json(f"{folder}/*.json")
         own = F.col("_metadata.file_name")
-        outside = ~F.col("_metadata.file_path").contains(f"/{MANIFEST}")
-        parts.append(loose.filter(outside).select(own.alias("file"), report))
+        # The pattern also matches folders: only files that lie directly in this folder are reports.
+        steps = F.size(F.split(F.regexp_replace("_metadata.file_path", "^[^:/]+:(//[^/]*)?", ""), "/"))
+        kept = (own != MANIFEST) & (steps == _depth(spark, folder) + 1)
+        parts.append(loose.filter(kept).select(own.alias("file"), report))
     if any(_listed(spark, f"{folder}/{WRITTEN}=*")):
         written = spark.read.schema(f"{WRITTEN} string, {_fields()}").option("mode", "FAILFAST")
         named = written.option("basePath", folder).json(f"{folder}/{WRITTEN}=*")
@@ -48,6 +51,13 @@ def _listed(spark: SparkSession, glob: str):
     return list(found)
 
 
+def _depth(spark: SparkSession, folder: str) -> int:
+    """Parts of the folder's full path, the empty one before its first slash included."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+    return len(whole.toUri().getPath().split("/"))
+
+
 def _fields() -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.REPORT.fields)
 

@@ -1,30 +1,32 @@
-"""The event store: plain Parquet tables made atomic by a log of commits.
+"""The event store: Parquet folders per epoch, and one marker per stream that says how far it is whole.
 
-Every epoch writes ``<table>/stream=S/epoch=E`` of each table by overwrite and last of all its entry in the log. The
-epochs of a stream come one after another, so all up to the last entry are complete: readers keep only those, by a
-filter on the folders and without a join, and see the store as it was when ``read`` was called. A half-written epoch is
-never seen, and running it again replaces what an earlier try left behind.
+One writer at a time. Every epoch writes ``<table>/stream=S/epoch=E`` of each table by overwrite, and last of all the
+marker. The epochs of a stream come one after another, so all up to the marker are complete: readers keep only those, by
+a filter on the folders and without a join, and see the store as it was when ``read`` was called. A half-written epoch
+is never seen, and running it again replaces what an earlier try left behind.
 
-Entries are numbered across all streams, and an entry is made only where none is: a writer that has read the store
-before another one committed does not get the next number, and has to decide its epoch again. Every ``ROLL_UP`` entries
-the log is rolled up into one file and the old entries are removed, so a read lists a bounded number of them.
+The marker is an empty file ``commits/<stream>/<first epoch>-<last epoch>``. The next one is made before the old one is
+removed, so a listing always shows the last epoch; nothing is ever decided by a file that was removed.
 
-Epoch numbers belong to one stream checkpoint: a stream begun afresh has a new name, so its epoch 0 is not taken for
-one already done.
+Layout: events are in folders by day, sorted along a curve over project, organization and user. The ledger is bucketed
+by batch id, and each bucket is a folder too: a join by batch id reads it without a shuffle, and only the buckets that
+the other side has ids in. Epoch numbers belong to one stream checkpoint: a stream begun afresh has a new name, so its
+epoch 0 is not taken for one already done.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-from dataclasses import dataclass, field, replace
+import hashlib
+from dataclasses import dataclass, replace
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom import schemas as S
+from batchloom.functions.contains import json_contains
+from batchloom.operators.layout import bucket, cell, event_day
+from batchloom.operators.postings import PART, in_parts, matching_parts, postings
 
 TABLES = {
     "events": S.EVENTS,
@@ -32,110 +34,34 @@ TABLES = {
     "outcomes": S.OUTCOMES,
     "quarantine": S.QUARANTINE,
 }
-BLOOM_FILTERS = {"events": ("batch_id", "user_id", "funnel_id", "org_id"), "batches": ("batch_id",)}
-#: Entries of the log between two roll-ups.
-ROLL_UP = 50
+BLOOM_FILTERS = {"events": ("batch_id", "user_id", "funnel_id", "org_id")}
 _KEY_FIELDS = [T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType())]
+#: Columns that say where an event lies; ``event_day`` is a folder.
+_PLACED = {
+    "events": [
+        T.StructField("cell", T.IntegerType()), T.StructField("part", T.LongType()),
+        T.StructField("event_day", T.IntegerType()),
+    ]
+}
+#: Rows of a part of a file of events, as a power of two; row groups hold whole parts but for their ends.
+PART_BITS = 13
+#: Parts that a lookup by postings names one by one; beyond that they are joined.
+MOST_PARTS = 1_000
+#: Buckets of a new store's ledger; an existing store keeps its own number.
+BUCKETS = 16
 
+#: Last epoch of every stream, with its first one.
+Snapshot = dict[str, tuple[int, int]]
+
+
+def _file_system(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
-@dataclass(frozen=True)
-class Snapshot:
-    """State of the log after entry ``number``: first and last epoch of every stream.
-
-    ``replaced`` holds the last epoch of a stream whose rows were compacted into another stream.
-    """
-
-    number: int
-    epochs: dict[str, tuple[int, int]]
-    replaced: dict[str, int] = field(default_factory=dict)
-
-    def with_entry(self, number: int, entry: dict) -> Snapshot:
-        first = self.epochs.get(entry["stream"], (entry["epoch"], 0))[0]
-        epochs = {**self.epochs, entry["stream"]: (first, entry["epoch"])}
-        return Snapshot(number, epochs, {**self.replaced, **entry.get("replaces", {})})
-
-
-class CommitLog:
-    """Files ``<number>.entry`` with one stream and epoch, and ``<number>.all`` with the state after that number."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.fs_api = spark._jvm.org.apache.hadoop.fs
-        self.jvm, self.gateway = spark._jvm, spark.sparkContext._gateway
-        self.conf, self.folder = spark._jsc.hadoopConfiguration(), folder
-        self.fs = self._path("").getFileSystem(self.conf)
-
-    def _path(self, name: str):
-        return self.fs_api.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def _load(self, name: str):
-        stream = self.fs.open(self._path(name))
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _create(self, name: str, content) -> bool:
-        """Write a file whole, by a rename that fails where one of that name is."""
-        part = self._path(f"_{uuid.uuid4().hex}")
-        out = self.fs.create(part, True)
-        try:
-            out.write(bytearray(json.dumps(content).encode()))
-        finally:
-            out.close()
-        context = self.fs_api.FileContext.getFileContext(part.toUri(), self.conf)
-        try:
-            context.rename(part, self._path(name), self.gateway.new_array(self.fs_api.Options.Rename, 0))
-        except Py4JJavaError as error:
-            self.fs.delete(part, False)
-            if "AlreadyExists" in str(error.java_exception.getClass().getName()):
-                return False
-            raise
-        return True
-
-    def _names(self) -> list[str]:
-        if not self.fs.exists(self._path("")):
-            return []
-        found = (s.getPath().getName() for s in self.fs.listStatus(self._path("")))
-        return sorted(n for n in found if n.endswith((".entry", ".all")))
-
-    def read(self) -> Snapshot:
-        for _ in range(5):
-            names = self._names()
-            states = [n for n in names if n.endswith(".all")]
-            try:
-                state = Snapshot(0, {})
-                if states:
-                    saved = self._load(states[-1])
-                    epochs = {k: tuple(v) for k, v in saved["epochs"].items()}
-                    state = Snapshot(int(states[-1][:12]), epochs, saved["replaced"])
-                for name in names:
-                    if name.endswith(".entry") and int(name[:12]) > state.number:
-                        state = state.with_entry(int(name[:12]), self._load(name))
-                return state
-            except Py4JJavaError as error:  # rolled up and removed between listing and reading: list again
-                if "FileNotFound" not in str(error.java_exception.getClass().getName()):
-                    raise
-        raise RuntimeError(f"the log in {self.folder} changes faster than it can be read")
-
-    def add(self, snapshot: Snapshot, stream: str, epoch: int, replaces: dict[str, int] | None = None) -> bool:
-        number, entry = snapshot.number + 1, {"stream": stream, "epoch": epoch, "replaces": replaces or {}}
-        # A number that was rolled up away is taken too.
-        if self.read().number != snapshot.number or not self._create(_name(number, "entry"), entry):
-            return False
-        if number % ROLL_UP == 0:
-            self._roll_up()
-        return True
-
-    def _roll_up(self) -> None:
-        state = self.read()
-        self._create(_name(state.number, "all"), {"epochs": state.epochs, "replaced": state.replaced})
-        for name in self._names():
-            if int(name[:12]) < state.number or name == _name(state.number, "entry"):
-                self.fs.delete(self._path(name), False)
-
-
-def _name(number: int, kind: str) -> str:
-    return f"{number:012d}.{kind}"
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, folder = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
 @dataclass(frozen=True)
@@ -153,88 +79,203 @@ class EventStore:
         """Where a stream keeps an intermediate table; every epoch overwrites it."""
         return f"{self.root}/work/{self.stream}/{step}"
 
-    def create(self, spark: SparkSession) -> EventStore:
-        """Make the table folders, so that reading an empty store is no error."""
-        nothing = EventStore(self.root, "none")
-        for table, schema in TABLES.items():
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(nothing.epoch_path(table, -1))
+    def create(self, spark: SparkSession, buckets: int = BUCKETS) -> EventStore:
+        """Make the table folders, so that reading an empty store is no error.
+
+        ``buckets`` of the ledger should be so many that one holds what a task can sort: batch ids are kept for ever.
+        """
+        folders = [self.path(table) for table in TABLES]
+        if not _children(spark, self.path("batches")):
+            folders.append(f"{self.path('batches')}/buckets={buckets}")
+        for folder in folders:
+            fs, path = _file_system(spark, folder)
+            fs.mkdirs(path)
         return self
 
-    def _raw(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.schema(T.StructType(TABLES[table].fields + _KEY_FIELDS)).parquet(self.path(table))
+    # Markers
+
+    def _marks(self, spark: SparkSession, kind: str) -> Snapshot:
+        found = {}
+        for stream in _children(spark, self.path(kind)):
+            marks = [tuple(map(int, m.split("-"))) for m in _children(spark, f"{self.path(kind)}/{stream}")]
+            if marks:
+                found[stream] = max(marks, key=lambda m: m[1])
+        return found
+
+    def _mark(self, spark: SparkSession, kind: str, stream: str, epochs: tuple[int, int]) -> None:
+        folder = f"{self.path(kind)}/{stream}"
+        fs, mark = _file_system(spark, f"{folder}/{epochs[0]}-{epochs[1]}")
+        fs.create(mark, True).close()
+        for name in _children(spark, folder):
+            if int(name.split("-")[1]) < epochs[1]:
+                fs.delete(_file_system(spark, f"{folder}/{name}")[1], False)
 
     def snapshot(self, spark: SparkSession) -> Snapshot:
         """What is committed now."""
-        return CommitLog(spark, self.path("commits")).read()
-
-    def read(self, spark: SparkSession, table: str, snapshot: Snapshot | None = None) -> DataFrame:
-        """Committed rows of a table, of all streams."""
-        snapshot = snapshot or self.snapshot(spark)
-        committed = F.lit(False)
-        for stream, (first, last) in snapshot.epochs.items():
-            first = max(first, snapshot.replaced.get(stream, first - 1) + 1)
-            if first <= last:
-                committed = committed | ((F.col("stream") == stream) & F.col("epoch").between(first, last))
-        return self._raw(spark, table).filter(committed).drop("stream", "epoch")
+        return self._marks(spark, "commits")
 
     def is_committed(self, snapshot: Snapshot, epoch: int) -> bool:
-        first, last = snapshot.epochs.get(self.stream, (epoch, epoch - 1))
+        first, last = snapshot.get(self.stream, (epoch, epoch - 1))
         if not first <= epoch <= last + 1:
             raise ValueError(f"epoch {epoch} of stream {self.stream} does not follow its epochs {first} to {last}")
         return epoch <= last
 
+    def commit(self, spark: SparkSession, epoch: int, snapshot: Snapshot) -> None:
+        """Mark an epoch as complete, all others of the stream before it being so in ``snapshot``."""
+        first = snapshot.get(self.stream, (epoch, epoch))[0]
+        self._mark(spark, "commits", self.stream, (first, epoch))
+
+    # Reading
+
+    def buckets(self, spark: SparkSession) -> int:
+        """Buckets of the ledger."""
+        return int(_children(spark, self.path("batches"))[0].removeprefix("buckets="))
+
+    def _ledger(self, spark: SparkSession) -> str:
+        """Name of the ledger in the session's catalog, which is how Spark knows of the buckets."""
+        buckets = self.buckets(spark)
+        place = f"{self.path('batches')}/buckets={buckets}"
+        name = f"batchloom_ledger_{hashlib.sha256(place.encode()).hexdigest()[:24]}"
+        if not spark.catalog.tableExists(name):
+            kept = spark.conf.get("spark.sql.hive.manageFilesourcePartitions")
+            spark.conf.set("spark.sql.hive.manageFilesourcePartitions", "false")  # the folders say what is there
+            try:
+                spark.sql(
+                    f"CREATE TABLE {name} ({_columns(S.BATCHES.fields + _KEY_FIELDS)}, part INT) USING parquet "
+                    f"OPTIONS (`parquet.bloom.filter.enabled#batch_id` 'true') PARTITIONED BY (stream, epoch, part) "
+                    f"CLUSTERED BY (batch_id) SORTED BY (batch_id) INTO {buckets} BUCKETS LOCATION '{place}'"
+                )
+            finally:
+                spark.conf.set("spark.sql.hive.manageFilesourcePartitions", kept)
+        spark.catalog.refreshTable(name)
+        return name
+
+    def _raw(self, spark: SparkSession, table: str) -> DataFrame:
+        if table == "batches":
+            return spark.table(self._ledger(spark))
+        fields = TABLES[table].fields + _PLACED.get(table, []) + _KEY_FIELDS
+        return spark.read.schema(T.StructType(fields)).parquet(self.path(table))
+
+    def read(self, spark: SparkSession, table: str, snapshot: Snapshot | None = None) -> DataFrame:
+        """Committed rows of a table, of all streams.
+
+        The ledger also has ``part``, its bucket, and events have ``cell``, ``part`` and ``event_day``, for the filters
+        in ``layout`` and ``postings``.
+        """
+        return self._committed(spark, table, snapshot).drop("stream", "epoch")
+
+    def _committed(self, spark: SparkSession, table: str, snapshot: Snapshot | None = None) -> DataFrame:
+        snapshot = self.snapshot(spark) if snapshot is None else snapshot
+        committed = F.lit(False)
+        for stream, (first, last) in snapshot.items():
+            committed = committed | ((F.col("stream") == stream) & F.col("epoch").between(first, last))
+        return self._raw(spark, table).filter(committed)
+
+    def read_batch(self, spark: SparkSession, batch_id: str) -> DataFrame:
+        """Events of one batch: the ledger, of which one bucket is read, names the folder that holds them."""
+        snapshot = self.snapshot(spark)
+        own = (F.col("batch_id") == batch_id) & (F.col("part") == bucket(F.lit(batch_id), self.buckets(spark)))
+        owner = self._committed(spark, "batches", snapshot).filter(own).select("stream", "epoch").head()  # one at most
+        events = self._committed(spark, "events", snapshot)
+        where = F.lit(False)
+        if owner:
+            where = (F.col("stream") == owner.stream) & (F.col("epoch") == owner.epoch)
+        return events.filter(where & (F.col("batch_id") == batch_id)).drop("stream", "epoch")
+
     def written(self, spark: SparkSession, table: str, epoch: int) -> DataFrame:
         """What an epoch wrote to a table, committed or not."""
         return spark.read.schema(TABLES[table]).parquet(self.epoch_path(table, epoch))
 
+    # Writing
+
     def write(self, table: str, epoch: int, rows: DataFrame) -> None:
-        writer = rows.select(*TABLES[table].fieldNames()).write.mode("overwrite")
-        for column in BLOOM_FILTERS.get(table, ()):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-        writer.parquet(self.epoch_path(table, epoch))
+        rows = rows.select(*TABLES[table].fieldNames())
+        if table == "batches":
+            self._write_ledger(epoch, rows)
+        elif table == "events":
+            self._write_events(epoch, rows)
+        else:
+            rows.write.mode("overwrite").parquet(self.epoch_path(table, epoch))
 
-    def write_events(self, epoch: int, rows: DataFrame) -> None:
-        """Events sorted inside each file, so that row groups outside a project, name or time are skipped.
+    def _write_events(self, epoch: int, rows: DataFrame) -> None:
+        """Events in folders by day, along the curve inside each file; one shuffle, which splits what is too large.
 
         Bloom filters skip row groups without a batch, user, funnel or organization that is asked for.
         """
-        keys = ["project_id", "name", "timestamp_ms"]
-        self.write("events", epoch, rows.repartitionByRange(*keys).sortWithinPartitions(*keys))
-
-    def write_ledger(self, epoch: int, rows: DataFrame) -> None:
-        """Ledger rows sorted by batch id, so that a lookup skips row groups."""
-        self.write("batches", epoch, rows.sortWithinPartitions("batch_id"))
+        placed = rows.withColumns({"event_day": event_day(F.col("timestamp_ms")), "cell": cell()})
+        dealt = placed.hint("rebalance", F.col("event_day"), F.col("cell"))
+        order = ["event_day", "cell", "project_id", "name", "timestamp_ms"]
+        part = F.shiftright(F.monotonically_increasing_id(), PART_BITS)
+        ordered = dealt.sortWithinPartitions(*order).withColumn("part", part)
+        writer = ordered.write.mode("overwrite").partitionBy("event_day")
+        for column in BLOOM_FILTERS["events"]:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(self.epoch_path("events", epoch))
+
+    def _write_ledger(self, epoch: int, rows: DataFrame) -> None:
+        spark = rows.sparkSession
+        name, buckets = self._ledger(spark), self.buckets(spark)
+        fs, left = _file_system(spark, f"{self.path('batches')}/buckets={buckets}/stream={self.stream}/epoch={epoch}")
+        fs.delete(left, True)
+        keys = {"stream": F.lit(self.stream), "epoch": F.lit(epoch).cast("bigint")}
+        rows = rows.withColumns({**keys, "part": bucket(F.col("batch_id"), buckets)})
+        rows.hint("rebalance", F.col("part")).write.insertInto(name)
+
+    # Postings of the properties
+
+    def index(self, spark: SparkSession) -> None:
+        """Write the postings of all committed epochs that have none yet; lookups read the others without."""
+        done, snapshot = self._marks(spark, "indexed"), self.snapshot(spark)
+        for stream, (first, last) in snapshot.items():
+            start = max(first, done.get(stream, (first, first - 1))[1] + 1)
+            if start > last:
+                continue
+            own = (F.col("stream") == stream) & F.col("epoch").between(start, last)
+            found = postings(self._committed(spark, "events", snapshot).filter(own)).drop("stream")
+            # Terms are hashes, so their first bits deal them evenly; sorted, a lookup reads the row groups of its terms.
+            dealt = found.withColumn("slice", F.shiftright("term", 58)).hint("rebalance", F.col("slice")).drop("slice")
+            dealt.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path('postings')}/stream={stream}/start={start}")
+            self._mark(spark, "indexed", stream, (first, last))
+
+    def find(self, spark: SparkSession, pattern) -> DataFrame:
+        """Events whose properties contain ``pattern``; of the indexed epochs only the parts that may hold one are read."""
+        snapshot, indexed = self.snapshot(spark), self._marks(spark, "indexed")
+        events = self._committed(spark, "events", snapshot)
+        parts = None
+        if indexed:
+            fields = [T.StructField("epoch", T.LongType()), T.StructField("event_day", T.IntegerType())]
+            fields += [T.StructField(n, T.LongType()) for n in ("part", "term")]
+            fields += [T.StructField("stream", T.StringType()), T.StructField("start", T.LongType())]
+            parts = matching_parts(spark.read.schema(T.StructType(fields)).parquet(self.path("postings")), pattern)
+        if parts is not None:
+            covered, new = F.lit(False), False
+            for stream, (first, last) in snapshot.items():
+                done = indexed.get(stream, (first, first - 1))[1]
+                covered = covered | ((F.col("stream") == stream) & F.col("epoch").between(first, done))
+                new = new or done < last
+            listed = parts.limit(MOST_PARTS + 1).collect()
+            if len(listed) <= MOST_PARTS:
+                found = events.filter(in_parts(listed))
+            else:
+                found = events.join(parts, PART, "left_semi")
+            events = found.unionByName(events.filter(~covered)) if new else found
+        return events.filter(json_contains(F.col("properties"), pattern)).drop("stream", "epoch")
 
-    def compact(self, spark: SparkSession) -> bool:
-        """Write all committed rows again as one epoch; False when another writer committed meanwhile.
+    def rewrite(self, spark: SparkSession, root: str) -> EventStore:
+        """All committed rows as one epoch of a new store at ``root``: fewer files, the same rows and markers.
 
-        Events are then in one global order by project, name and time, and the ledger in order of batch ids, so a
-        lookup reads few files. The replaced folders stay for readers that hold an earlier snapshot;
-        ``remove_replaced`` takes them away.
+        A plain read and write that leaves this store as it is. Streams go on in the new store once it is returned;
+        this one must not be written to meanwhile.
         """
         snapshot = self.snapshot(spark)
-        target = replace(self, stream=f"compact-{uuid.uuid4().hex}")
+        made = EventStore(root, "rewritten").create(spark, self.buckets(spark))
         for table in TABLES:
-            rows = self.read(spark, table, snapshot)
-            if table == "events":
-                target.write_events(0, rows)
-            elif table == "batches":
-                target.write_ledger(0, rows.repartitionByRange("batch_id"))
-            else:
-                target.write(table, 0, rows)
-        replaces = {stream: last for stream, (_, last) in snapshot.epochs.items()}
-        return CommitLog(spark, self.path("commits")).add(snapshot, target.stream, 0, replaces)
+            made.write(table, 0, self.read(spark, table, snapshot))
+        made.commit(spark, 0, {})
+        for stream, (first, last) in snapshot.items():
+            replace(made, stream=stream).commit(spark, last, {stream: (first, last)})
+        return replace(made, stream=self.stream)
 
-    def remove_replaced(self, spark: SparkSession) -> None:
-        """Delete the folders of compacted epochs; no reader may still use an earlier snapshot."""
-        log, snapshot = CommitLog(spark, self.path("commits")), self.snapshot(spark)
-        for table in TABLES:
-            for stream, last in snapshot.replaced.items():
-                for epoch in range(snapshot.epochs[stream][0], last + 1):
-                    path = log.fs_api.Path(f"{self.path(table)}/stream={stream}/epoch={epoch}")
-                    if log.fs.exists(path):
-                        log.fs.delete(path, True)
-
-    def commit(self, spark: SparkSession, epoch: int, snapshot: Snapshot) -> bool:
-        """Commit an epoch that was decided on ``snapshot``; False when another writer committed since then."""
-        return CommitLog(spark, self.path("commits")).add(snapshot, self.stream, epoch)
+
+def _columns(fields: list[T.StructField]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)

@@ -4,7 +4,7 @@ Delivery is at least once and the sink is idempotent. One epoch:
 
 1. decode, validate and hash every message in one narrow pass, written to ``staging`` with a row number;
 2. decide per distinct content against the ledger, tag every delivery;
-3. write outcomes, events, quarantine and ledger rows of the epoch, then its entry in the commit log.
+3. write outcomes, events, quarantine and ledger rows of the epoch, then the stream's marker.
 
 A bad message is put in quarantine with its reason and the stream goes on.
 """
@@ -15,14 +15,14 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from batchloom import schemas as S
 from batchloom.operators import ledger as L
 from batchloom.operators.decode import decode_batches
-from batchloom.operators.spread import BROADCAST_ROWS, lookup_join
+from batchloom.operators.spread import BROADCAST_ROWS, is_small, lookup_join, size_columns
 from batchloom.operators.validate import enforce_batch_limit, stored_rows, validate_batches, with_payload_hash
 from batchloom.sources.messages import envelope_error
 from batchloom.sources.store import EventStore, Snapshot
@@ -64,7 +64,7 @@ def _fresh(staged: DataFrame, tagged: DataFrame, counts: dict[str, int]) -> Data
     """
     is_new = F.col("status") == "new"
     new, others = tagged.filter(is_new).select("row_id"), tagged.filter(~is_new).select("row_id")
-    if counts.get("new", 0) <= BROADCAST_ROWS:
+    if counts["new"] <= BROADCAST_ROWS:
         return staged.join(F.broadcast(new), "row_id", "left_semi")
     if sum(counts.values()) - counts["new"] <= BROADCAST_ROWS:
         return staged.join(F.broadcast(others), "row_id", "left_anti")
@@ -89,7 +89,7 @@ def _conflicts(messages: DataFrame, tagged: DataFrame, max_events: int) -> DataF
 def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events: int = 0) -> None:
     """Ingest one micro-batch. Does nothing when the epoch is already committed.
 
-    When another writer commits to the store meanwhile, the epoch is decided again on what is there then.
+    A store has one writer at a time; a try that breaks off is replaced by the next one.
     """
     spark = messages.sparkSession
     snapshot = store.snapshot(spark)
@@ -97,47 +97,56 @@ def process_epoch(store: EventStore, messages: DataFrame, epoch: int, max_events
         return
     messages = messages.withColumn("message_id", F.coalesce("message_id", F.lit("")))
     staged = _stage(store, spark, messages, max_events)
-    contents = L.batch_contents(staged.filter("reason IS NULL"), "row_id")
-    contents.write.mode("overwrite").parquet(store.work_path("contents"))
-    contents = spark.read.schema(contents.schema).parquet(store.work_path("contents"))
-    while True:
-        _decide(store, messages, staged, contents, epoch, max_events, snapshot)
-        if store.commit(spark, epoch, snapshot):
-            return
-        snapshot = store.snapshot(spark)
-        if store.is_committed(snapshot, epoch):
-            return
+    _decide(store, messages, staged, epoch, max_events, snapshot)
+    store.commit(spark, epoch, snapshot)
+
+
+def _observed(rows: DataFrame, write, *counts: Column) -> dict:
+    """Write ``rows`` and count on the way, instead of reading what was written."""
+    if not counts:
+        write(rows)
+        return {}
+    seen = Observation()
+    write(rows.observe(seen, *counts))
+    return seen.get
 
 
 def _decide(
-    store: EventStore, messages: DataFrame, staged: DataFrame, contents: DataFrame, epoch: int, max_events: int,
-    snapshot: Snapshot,
+    store: EventStore, messages: DataFrame, staged: DataFrame, epoch: int, max_events: int, snapshot: Snapshot
 ) -> None:
     """Write everything an epoch adds to the store as it is in ``snapshot``."""
     spark = messages.sparkSession
     created_at = F.lit(datetime.now(timezone.utc)).cast("timestamp")
     accepted = staged.filter("reason IS NULL")
     rejected = staged.filter("reason IS NOT NULL")
+    buckets = store.buckets(spark)
 
-    known = L.relevant_ledger(store.read(spark, "batches", snapshot), contents)
-    judged = L.judge_contents(contents, known)
-    judged.write.mode("overwrite").parquet(store.work_path("verdicts"))
-    verdicts = spark.read.schema(judged.schema).parquet(store.work_path("verdicts"))
+    def work(step: str, rows: DataFrame, *counts: Column) -> tuple[DataFrame, dict]:
+        path = store.work_path(step)
+        seen = _observed(rows, lambda r: r.write.mode("overwrite").parquet(path), *counts)
+        return spark.read.schema(rows.schema).parquet(path), seen
 
-    tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id")
+    found = L.batch_contents(accepted, "row_id")
+    contents, size = work("contents", found, *size_columns(found), L.content_parts(buckets).alias("parts"))
+    known = L.relevant_ledger(store.read(spark, "batches", snapshot), size["parts"])
+    verdicts, _ = work("verdicts", L.judge_contents(contents, known, buckets))
+
+    tagged = L.tag_deliveries(accepted.drop("valid_list", "payload"), verdicts, "row_id", is_small(size))
     turned_away = rejected.withColumn("status", F.lit("rejected"))
     thin = S.OUTCOMES.fieldNames()
-    store.write("outcomes", epoch, tagged.select(*thin).unionByName(turned_away.select(*thin)))
+    outcomes = tagged.select(*thin).unionByName(turned_away.select(*thin))
+    kinds = [F.count_if(F.col("status") == status).alias(status) for status in ("new", "duplicate", "conflict", "rejected")]
+    counts = _observed(outcomes, lambda rows: store.write("outcomes", epoch, rows), *kinds)
     tagged = store.written(spark, "outcomes", epoch)
-    counts = {r["status"]: r["count"] for r in tagged.groupBy("status").count().collect()}
 
-    store.write_events(epoch, stored_rows(_fresh(staged, tagged, counts)).withColumn("created_at", created_at))
+    fresh = stored_rows(_fresh(staged, tagged, counts))
+    store.write("events", epoch, fresh.withColumn("created_at", created_at))
     quarantined = rejected.select(*S.QUARANTINE.fieldNames())
-    if counts.get("conflict"):
+    if counts["conflict"]:
         conflicts = _conflicts(messages, tagged, max_events)
         quarantined = quarantined.unionByName(conflicts.select(*S.QUARANTINE.fieldNames()))
     store.write("quarantine", epoch, quarantined)
-    store.write_ledger(epoch, L.new_batches(verdicts).withColumn("created_at", created_at))
+    store.write("batches", epoch, L.new_batches(verdicts).withColumn("created_at", created_at))
 
 
 def epoch_writer(store: EventStore, max_events: int = 0) -> Callable[[DataFrame, int], None]:
@@ -190,6 +199,21 @@ def live_lag(query: StreamingQuery) -> dict[str, int]:
     }
 
 
+def quarantined_conflicts(store: EventStore, spark: SparkSession) -> DataFrame:
+    """Messages in conflict with the places at which they differ from the stored batch: ``(message_id, batch_id, places)``.
+
+    Their texts are kept in quarantine and decoded again; only the events of their batches are read.
+    """
+    snapshot = store.snapshot(spark)
+    kept = store.read(spark, "quarantine", snapshot).filter(F.col("reason") == S.CONFLICT)
+    decoded = validate_batches(decode_batches(kept.drop("reason"), strict=True)).select("message_id", "batch_id", "valid_list")
+    owners = L.owner_digests(store.read(spark, "events", snapshot), kept.select("batch_id").distinct())
+    path = store.work_path("owners")
+    owners.write.mode("overwrite").parquet(path)
+    found = L.conflict_places(decoded, spark.read.schema(owners.schema).parquet(path))
+    return found.select("message_id", "batch_id", "places")
+
+
 def append_batches(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """The plain backend: append every accepted batch as it is, nested, without looking for duplicates."""
     accepted = prepare(messages).filter("reason IS NULL")

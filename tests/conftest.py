@@ -22,3 +22,10 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     session.stop()
+
+
+@pytest.fixture
+def long_metadata(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")

@@ -32,6 +32,10 @@ CASES = [
     ('"x"', "x", True),
     ("[]", [], True),
     ("{}", [], False),
+    ('{"a":%d}' % (10**37 + 1), {"a": 10**37 + 1}, True),
+    ('{"a":%d}' % (10**37 + 1), {"a": 10**37 + 2}, False),
+    ('{"a":%d}' % (10**40 + 12), {"a": 10**40 + 13}, True),  # the stored document does not hold these digits
+    ('{"a":%d}' % (10**40 + 12), {"a": 2 * 10**40}, False),
 ]
 
 

@@ -63,6 +63,41 @@ def test_golden_batches(spark):
             assert (row.batch_id, row.n) == (batch_id, n), text
 
 
+STRICT_CASES = [
+    (GOOD_BATCH := '{"batch_id":"b","events":[' + GOOD + "]}", "b"),
+    (" \n" + GOOD_BATCH + "\t ", "b"),
+    ("null", ""),
+    (" null ", ""),
+    (GOOD_BATCH + " x", None),
+    (GOOD_BATCH + GOOD_BATCH, None),
+    (GOOD_BATCH + "," + GOOD_BATCH, None),
+    (GOOD_BATCH + "]", None),
+    (GOOD_BATCH + ',{"":1}]', None),
+    (GOOD_BATCH + ",null", None),
+    ("null,null", None),
+    ("null]", None),
+    ("]", None),
+    ("", None),
+    ("   ", None),
+    (",", None),
+    ("5", None),
+    ("[]", None),
+    ('"x"', None),
+    ("nul", None),
+    (GOOD_BATCH[:-1], None),
+    (GOOD_BATCH[:-1] + ',"":5}', "b"),
+    (GOOD_BATCH + "//", None),
+    (None, None),
+]
+
+
+def test_strict_batches(spark):
+    """Kept messages are one JSON value and nothing more."""
+    rows = decode_batches(messages(spark, [c[0] for c in STRICT_CASES]), strict=True).orderBy("message_order").collect()
+    for (text, batch_id), row in zip(STRICT_CASES, rows, strict=True):
+        assert row.batch_id == batch_id and (row.decode_error is None) == (batch_id is not None), text
+
+
 def test_null_element_is_an_invalid_event(spark):
     payload = '{"batch_id":"b","events":[null,' + GOOD + "]}"
     validated = validate_batches(decode_batches(messages(spark, [payload])))
@@ -107,6 +142,10 @@ def test_single_events(spark):
         (GOOD.replace("1", "-1"), False, S.TIMESTAMP_REQUIRED),
         (GOOD.replace('"o"', '""'), False, S.ORGANIZATION_REQUIRED),
         (GOOD.replace('"p"', "7"), False, S.INVALID_JSON),
+        (GOOD[:-1] + ',"properties":{"x":1e400}}', False, S.INVALID_JSON),
+        (GOOD[:-1] + ',"unknown":[-1e999]}', False, S.INVALID_JSON),
+        (GOOD[:-1] + ',"properties":{"x":"1e400","y":1e300}}', True, None),
+        (GOOD + " trailing", True, None),
     ]
     bodies = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, body string")
     rows = decode_events(bodies).orderBy("i").select("accepted", "reason").collect()

@@ -7,7 +7,7 @@ import pytest
 
 from batchloom import schemas as S
 from batchloom.operators import ledger as L
-from batchloom.operators import spread
+from batchloom.operators import lookups, spread
 from batchloom.plans import inputs
 from batchloom.sources import store as store_module
 from batchloom.sources.messages import read_batch_messages, stream_batch_messages, with_stream_order
@@ -31,7 +31,7 @@ def _statuses(store, spark):
 
 
 def _committed(store, spark):
-    return sum(last - first + 1 for first, last in store.snapshot(spark).epochs.values())
+    return sum(last - first + 1 for first, last in store.snapshot(spark).values())
 
 
 def _events(store, spark):
@@ -88,6 +88,26 @@ def test_first_writer_wins_across_epochs(spark, store):
     assert store.read(spark, "events").count() == 2
 
 
+def test_conflicts_say_where(spark, store):
+    """Changed, added, missing and swapped events; invalid ones don't count; one batch in conflict many times."""
+    e = [event(timestamp=i + 1, properties={"n": i}) for i in range(4)]
+    process_epoch(store, messages(spark, [batch("b", *e), batch("c", e[0])]), 0)
+    sent = {
+        "m10": ("b", batch("b", e[0], event(timestamp=2, properties={"n": 1.5}), e[2], e[3]), [1]),
+        "m11": ("b", batch("b", *e, event(timestamp=9)), [4]),
+        "m12": ("b", batch("b", e[0], e[1]), [2, 3]),
+        "m13": ("b", batch("b", e[1], e[0], e[2], e[3]), [0, 1]),
+        "m14": ("b", batch("b", event(event=""), e[0], e[1], e[2], event(timestamp=4, properties={"n": "3"})), [3]),
+        "m15": ("c", batch("c", event(timestamp=1, properties={"n": 0}, user_id="")), [0]),
+        "m16": ("b", batch("b", *e), None),  # a copy
+        "m17": ("b", batch("b", event(timestamp=1, properties={"n": 0.0}), *e[1:]), None),  # equal by value
+    }
+    rows = [(m, i, b, payload) for i, (m, (b, payload, _)) in enumerate(sent.items())]
+    process_epoch(store, spark.createDataFrame(rows, S.MESSAGE), 1)
+    found = {r.message_id: r.places for r in ingest.quarantined_conflicts(store, spark).collect()}
+    assert found == {m: places for m, (_, _, places) in sent.items() if places is not None}
+
+
 def test_same_message_id_twice(spark, store):
     payload = batch("b", event())
     rows = [("m0", 0, "b", payload)] * 3
@@ -134,8 +154,8 @@ def test_hot_batch_id(spark, store, monkeypatch, limit):
     """One id holds most messages, both as copies and as conflicts; with and without broadcasts."""
     if limit is not None:
         monkeypatch.setattr(ingest, "BROADCAST_ROWS", limit)
-        for module in (spread, L):
-            monkeypatch.setattr(module, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(spread, "fits_broadcast", lambda *_: False)
+        monkeypatch.setattr(ingest, "is_small", lambda *_: False)
         monkeypatch.setattr(spread, "ROWS_PER_SALT", 50)
     copies = [batch("hot", event())] * 200
     conflicts = [batch("hot", event(timestamp=i + 2)) for i in range(200)]
@@ -253,6 +273,17 @@ def test_append_backend_keeps_copies(spark, tmp_path):
     assert [(r.batch_id, len(r.events)) for r in rows] == [("b", 1), ("b", 1)]
 
 
+def test_an_epoch_takes_few_jobs(spark, store):
+    """Counts are taken while tables are written, not by reading them again."""
+    process_epoch(store, messages(spark, [batch("a", event())]), 0)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("epoch", "")
+    process_epoch(store, messages(spark, [batch("a", event()), batch("b", event(), event()), "{", batch("b", event(), event())]), 1)
+    spark.sparkContext.setJobGroup("other", "")
+    assert 0 < len(tracker.getJobIdsForGroup("epoch")) <= 15
+    assert sorted(r.status for r in store.read(spark, "outcomes").collect()) == ["duplicate", "duplicate", "new", "new", "rejected"]
+
+
 def test_synthetic_load(spark, store):
     made = synth_batches(batch_numbers(spark, 200), 7, 0.1, 1_700_000_000_000)
     process_epoch(store, synth_messages(made), 0)
@@ -279,65 +310,116 @@ def test_generator_rate(spark):
         batch_numbers(spark, 0)
 
 
-def test_a_second_writer_decides_again(spark, tmp_path, monkeypatch):
-    """Two streams ingest one batch id, the second one commits while the first one is about to."""
+def test_a_new_stream_goes_on_after_another(spark, tmp_path):
+    """The second stream's epochs have the same numbers, and its batches meet those of the first."""
     root = str(tmp_path / "store")
     one, two = EventStore(root, "one").create(spark), EventStore(root, "two")
-    commit, calls = EventStore.commit, []
-
-    def interleaved(self, spark, epoch, snapshot):
-        if self.stream == "one" and not calls:
-            calls.append(1)
-            process_epoch(two, messages(spark, [batch("x", event(orgid="q")), batch("y", event())]), 0)
-        return commit(self, spark, epoch, snapshot)
-
-    monkeypatch.setattr(EventStore, "commit", interleaved)
     process_epoch(one, messages(spark, [batch("x", event()), batch("z", event())]), 0)
+    process_epoch(two, messages(spark, [batch("x", event(orgid="q")), batch("y", event())]), 0)
+    process_epoch(two, messages(spark, [batch("z", event())]), 1)
     assert sorted(r.batch_id for r in one.read(spark, "batches").collect()) == ["x", "y", "z"]
-    assert one.read(spark, "events").count() == 3
-    assert sorted(r.status for r in one.read(spark, "outcomes").collect()) == ["conflict", "new", "new", "new"]
+    assert one.snapshot(spark) == {"one": (0, 0), "two": (0, 1)}
+    assert sorted(r.status for r in one.read(spark, "outcomes").collect()) == ["conflict", "duplicate", "new", "new", "new"]
+
+
+def test_one_marker_per_stream(spark, store, tmp_path):
+    snapshot = store.snapshot(spark)
+    for epoch in range(5, 12):
+        assert not store.is_committed(snapshot, epoch)
+        store.commit(spark, epoch, snapshot)
+        snapshot = store.snapshot(spark)
+        assert snapshot == {"batch": (5, epoch)} and store.is_committed(snapshot, epoch)
+    assert [p.name for p in (tmp_path / "store" / "commits" / "batch").iterdir() if not p.name.startswith(".")] == ["5-11"]
+    # A marker whose removal was missed changes nothing.
+    (tmp_path / "store" / "commits" / "batch" / "5-9").touch()
+    assert store.snapshot(spark) == {"batch": (5, 11)}
+    store.commit(spark, 12, snapshot)
+    assert store.snapshot(spark) == {"batch": (5, 12)}
+    with pytest.raises(ValueError):
+        store.is_committed({"batch": (5, 11)}, 13)
+
 
+def test_a_crash_between_marker_and_clean_up(spark, store, monkeypatch):
+    process_epoch(store, messages(spark, [batch("a", event())]), 0)
+    children = store_module._children
+
+    def broken(spark, path):
+        if path.endswith("commits/batch"):
+            raise RuntimeError("lost")
+        return children(spark, path)
 
-def test_the_log_stays_short(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store_module, "ROLL_UP", 7)
-    log = store_module.CommitLog(spark, str(tmp_path / "commits"))
-    most = 0
-    for number in range(300):
-        seen = log.read()
-        assert log.add(seen, f"s{number % 3}", number // 3)
-        assert not log.add(seen, "late", 0)  # the number is taken, rolled up or not
-        most = max(most, len(log._names()))
-    assert log.read() == store_module.Snapshot(300, {f"s{k}": (0, 99) for k in range(3)})
-    assert most <= 8
+    snapshot = store.snapshot(spark)
+    with monkeypatch.context() as patch:
+        patch.setattr(store_module, "_children", broken)
+        with pytest.raises(RuntimeError):
+            store.commit(spark, 1, snapshot)
+    assert store.snapshot(spark) == {"batch": (0, 1)}
+
+
+def test_a_broken_off_epoch_leaves_nothing(spark, store):
+    """The first try wrote other ledger rows and event days than the second one."""
+    process_epoch(store, messages(spark, [batch("a", event())]), 0)
+    rows = spark.createDataFrame([(f"b{i}", "h", None) for i in range(50)], S.BATCHES)
+    store.write("batches", 1, rows)
+    moved = store.read(spark, "events").selectExpr("* EXCEPT (timestamp_ms)", "1000000000000L AS timestamp_ms")
+    store.write("events", 1, moved)
+    process_epoch(store, messages(spark, [batch("c", event())]), 1)
+    assert sorted(r.batch_id for r in store.read(spark, "batches").collect()) == ["a", "c"]
+    assert sorted(r.batch_id for r in store.read(spark, "events").collect()) == ["a", "c"]
 
 
-def test_compaction_changes_no_result(spark, tmp_path):
+def test_rewriting_changes_no_result(spark, tmp_path):
     store = EventStore(str(tmp_path / "store")).create(spark)
     for epoch in range(4):
         process_epoch(store, messages(spark, [batch(f"b{epoch}", event(), event()), batch("b0", event(), event()), "{"]), epoch)
-    before = {t: sorted(map(str, store.read(spark, t).drop("properties", "context").collect())) for t in store_module.TABLES}
-    old = store.read(spark, "batches")
-    assert store.compact(spark)
-    after = {t: sorted(map(str, store.read(spark, t).drop("properties", "context").collect())) for t in store_module.TABLES}
-    assert after == before and old.count() == 4
-    process_epoch(store, messages(spark, [batch("b2", event(orgid="z"))]), 3)  # done already
-    process_epoch(store, messages(spark, [batch("b2", event(orgid="z")), batch("c", event())]), 4)
-    assert sorted(r.batch_id for r in store.read(spark, "batches").collect()) == ["b0", "b1", "b2", "b3", "c"]
-    store.remove_replaced(spark)
-    assert store.read(spark, "batches").count() == 5 and store.read(spark, "events").count() == 9
-    assert len(list((tmp_path / "store" / "events").glob("stream=*/epoch=*/*.parquet"))) <= 12
-
-
-def test_compaction_gives_way_to_a_writer(spark, tmp_path, monkeypatch):
-    store = EventStore(str(tmp_path / "store")).create(spark)
-    process_epoch(store, messages(spark, [batch("a", event())]), 0)
-    write = EventStore.write_ledger
-
-    def meanwhile(self, epoch, rows):
-        write(self, epoch, rows)
-        if self.stream.startswith("compact"):
-            process_epoch(EventStore(store.root, "other"), messages(spark, [batch("b", event())]), 0)
 
-    monkeypatch.setattr(EventStore, "write_ledger", meanwhile)
-    assert not store.compact(spark)
-    assert store.read(spark, "events").count() == 2
+    def rows(of):
+        return {t: sorted(map(str, of.read(spark, t).drop("properties", "context").collect())) for t in store_module.TABLES}
+
+    made = store.rewrite(spark, str(tmp_path / "made"))
+    assert rows(made) == rows(store)
+    assert len(list((tmp_path / "made" / "events").glob("stream=*/epoch=*/*/*.parquet"))) == 1
+    process_epoch(made, messages(spark, [batch("b2", event(orgid="z"))]), 3)  # done already
+    process_epoch(made, messages(spark, [batch("b2", event(orgid="z")), batch("c", event())]), 4)
+    assert sorted(r.batch_id for r in made.read(spark, "batches").collect()) == ["b0", "b1", "b2", "b3", "c"]
+    again = made.rewrite(spark, str(tmp_path / "again"))
+    assert rows(again) == rows(made) and again.snapshot(spark)["batch"] == (0, 4)
+
+
+def test_a_new_session_reads_the_same_ledger(spark, store):
+    """The session's catalog is forgotten; the folders say how many buckets there are."""
+    process_epoch(store, messages(spark, [batch("a", event()), batch("b", event())]), 0)
+    spark.sql(f"DROP TABLE {store._ledger(spark)}")
+    process_epoch(store, messages(spark, [batch("a", event()), batch("c", event())]), 1)
+    assert sorted(r.batch_id for r in store.read(spark, "batches").collect()) == ["a", "b", "c"]
+
+
+def test_lookups_find_what_plain_filters_find(spark, store):
+    """Days before, inside and beyond the range of the folders, ids that share cells, and rows without a user."""
+    times = [1, 86_399_999, 86_400_000, 1_700_000_000_000, 4_102_444_799_999, 4_102_444_800_000, 9 * 10**18]
+    events = [
+        event(timestamp=t, projectid=f"p{i % 7}", orgid=f"o{i % 5}", user_id=None if i % 3 == 0 else f"u{i % 11}", funnelid=f"f{i % 2}")
+        for i, t in enumerate(times * 12)
+    ]
+    process_epoch(store, messages(spark, [batch(f"b{i}", *events[i::4]) for i in range(4)]), 0)
+    stored = store.read(spark, "events")
+    rows = [r.asDict() for r in stored.collect()]
+
+    def same(found, keep):
+        assert sorted((r.batch_id, r.event_index) for r in found.collect()) == sorted(
+            (r["batch_id"], r["event_index"]) for r in rows if keep(r)
+        )
+
+    for low, high in [(None, None), (0, 86_399_999), (2, 86_400_000), (4_102_444_799_999, 4_102_444_800_000), (4_102_444_800_000, 2**63 - 1), (-5, 1), (86_400_000, 86_399_999)]:
+        def inside(r, low=low, high=high):
+            return (low is None or r["timestamp_ms"] >= low) and (high is None or r["timestamp_ms"] <= high)
+
+        same(lookups.funnel_timeline(stored, "f1", low, high), lambda r: r["funnel_id"] == "f1" and inside(r))
+        same(lookups.events_by_user_time(stored, "u4", low, high), lambda r: r["user_id"] == "u4" and inside(r))
+        if low is not None:
+            same(lookups.events_by_org_time(stored, "o3", low, high), lambda r: r["org_id"] == "o3" and inside(r))
+            same(lookups.events_by_project_time(stored, "p2", "click", low, high), lambda r: r["project_id"] == "p2" and inside(r))
+    for p in range(7):
+        same(lookups.events_by_project_name(stored, f"p{p}", "click"), lambda r, p=p: r["project_id"] == f"p{p}")
+    for name in ("b0", "b3", "none"):
+        same(store.read_batch(spark, name), lambda r, name=name: r["batch_id"] == name)

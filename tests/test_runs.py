@@ -128,6 +128,23 @@ def test_loose_report_files(spark, tmp_path):
         read_run_reports(spark, str(tmp_path)).collect()
 
 
+def test_report_folders_of_any_name(spark, tmp_path):
+    document = json.dumps({"started_at": "2026-09-10T23:00:00Z", "batches": 1})
+    for name in ("reports.json-2026", "reports.json", "x.json"):
+        folder = tmp_path / name
+        folder.mkdir()
+        for file in ("a.json", "reports.json.json", "reports.json"):
+            (folder / file).write_text(document)
+        for inner in ("reports.json.d", "old.json", name if name != "reports.json" else "r.json"):
+            (folder / inner).mkdir()
+            (folder / inner / "part-0.json").write_text("{")
+        found = read_run_reports(spark, str(folder))
+        assert sorted(r.file for r in found.collect()) == ["a.json", "reports.json.json"]
+    only_folders = tmp_path / "none"
+    (only_folders / "reports.json").mkdir(parents=True)
+    assert read_run_reports(spark, str(only_folders)).isEmpty()
+
+
 def test_worker_log(spark, tmp_path):
     lines = [
         'time="2026-09-10T23:00:01Z" level=info msg="Worker processed batch" worker_id=worker-10',
