@@ -12,13 +12,14 @@ start of the sweep; one part of the units moves per sweep, so that neighbours do
 *Layout.* Nothing here holds the vocabulary, which grows with the corpus, in one place. Texts are cut into chunks of
 bounded size; inside a chunk words are small numbers, and only the chunk's distinct words are shuffled: once by word to
 add up counts, then per sweep by unit to fetch classes. The numbered texts lie in a table bucketed by chunk, so that
-no sweep shuffles them again. What is sent to all tasks is a square of the number of classes.
+no sweep shuffles them again. The classes of units are sent to all tasks where they were counted to fit, else joined by
+a shuffle of the chunks' units; everything else that is sent is a square of the number of classes.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,18 +30,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from batchloom.llm.common import free_name, materialize, named, scratch, table
+from batchloom.llm.common import free_name, materialize, named, remove, scratch, small, table
 
 CLASSES = 64
 #: A word seen less often is exchanged together with the others of its ending.
-LEAST_COUNT = 5
+LEAST_COUNT = 50
 #: Bytes of an ending.
 ENDING = 3
 SWEEPS = 2
 #: One of so many parts of the units moves per sweep.
 PARTS = 2
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 #: Added to the transitions of every class, spread like the classes themselves.
 PRIOR = 5.0
 BASE_ADDED = 0.1
@@ -58,12 +59,13 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def _narrow(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as bytes, their low, middle and high bytes apart: most high ones are zero and pack well."""
-    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Numbers below 2**32 packed, their low, middle and high bytes apart, since most high ones are zero."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T), 1)
 
 
 def _wide(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    bytes_ = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(bytes_.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 class _Chunk:
@@ -131,7 +133,7 @@ def _numbered(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if chunk.texts:
             yield from chunk.batches(at, schema)
 
-    return materialize(docs.select("key", "held", "text").mapInArrow(number, kind), "numbered")
+    return materialize(docs.select("key", "held", "text").mapInArrow(number, kind), "numbered", "zstd")
 
 
 # Counts
@@ -165,7 +167,7 @@ def _counted(numbered: DataFrame, least_count: int) -> DataFrame:
     words = numbered.filter("word IS NOT NULL").select("chunk", "place", "word", "n")
     words = words.withColumns({"c": F.sum("n").over(by_word), "first": F.min("chunk").over(by_word) == F.col("chunk")})
     unit = _unit(F.col("word"), F.col("c"), least_count).alias("unit")
-    return materialize(words.select("chunk", "place", "c", unit, "first"), "counted")
+    return materialize(words.select("chunk", "place", "c", unit, "first"), "counted", "zstd")
 
 
 def _totals(numbered: DataFrame, counted: DataFrame) -> Totals:
@@ -235,51 +237,63 @@ def _bucketed(spark: SparkSession, rows: DataFrame, column: str) -> DataFrame:
 # Exchange
 
 
-def _contexts(in_units: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """How often each unit stands after and before each class: ``(unit, at, n)``, classes after it from ``k`` on."""
+def _counts(in_units: DataFrame, classes: DataFrame, k: int, may_move: Column | None) -> DataFrame:
+    """What the learned texts hold under ``classes``, written: class pairs, and the neighbours of units that may move.
+
+    Pairs have no ``unit``, and ``at`` is the class before times ``k`` plus the class. The others say how often a unit
+    stands after class ``at``, or before class ``at - k``. ``may_move`` looks at ``unit`` and ``cls``, -1 for none.
+    """
 
     def count(texts: pa.Table, units: pa.Table) -> pa.Table:
         size = len(units)
-        cls, unit = np.full(size, -1), np.zeros(size, np.int64)
         place = units["place"].to_numpy()
+        cls, unit, may = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size, bool)
         cls[place], unit[place] = units["cls"].to_numpy(), units["unit"].to_numpy()
+        may[place] = units["may"].to_numpy(zero_copy_only=False)
         # All texts of the chunk behind each other, each with an end before its first and after its last token.
         ids = [x for packed in texts["ids"] for x in (_wide(packed.as_py()), [0])]
         ids = np.concatenate([[0], *ids]).astype(np.int64)
         before, after = ids[:-1], ids[1:]
-        keys = np.concatenate([after * (2 * k) + cls[before], before * (2 * k) + k + cls[after]])
-        keys = keys[np.concatenate([cls[before] >= 0, cls[after] >= 0])]
-        found, n = np.unique(keys, return_counts=True)
+        first, second = cls[before], cls[after]
+        both = (first >= 0) & (second >= 0)
+        pairs = np.bincount(first[both] * k + second[both], minlength=k * k)
+        at = np.flatnonzero(pairs)
+        left, right = may[after] & (first >= 0), may[before] & (second >= 0)
+        near = np.concatenate([after[left] * (2 * k) + first[left], before[right] * (2 * k) + k + second[right]])
+        near, n = np.unique(near, return_counts=True)
         return pa.table({
-            "unit": pa.array(unit[found // (2 * k)], pa.int64()), "at": pa.array(found % (2 * k), pa.int32()),
-            "n": pa.array(n, pa.int64()),
+            "unit": pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(unit[near // (2 * k)], pa.int64())]),
+            "at": pa.array(np.concatenate([at, near % (2 * k)]), pa.int32()),
+            "n": pa.array(np.concatenate([pairs[at], n]), pa.int64()),
         })
 
-    found = _with_classes(in_units, classes, count, "unit long, at int, n long", learned=True)
-    return found.groupBy("unit", "at").agg(F.sum("n").alias("n"))
+    may = F.lit(False) if may_move is None else may_move
+    found = _with_classes(in_units, classes, count, "unit long, at int, n long", learned=True, may=may)
+    return materialize(found.groupBy("unit", "at").agg(F.sum("n").alias("n")), "counts")
 
 
-def _with_classes(in_units: DataFrame, classes: DataFrame, work, schema: str, learned: bool) -> DataFrame:
+def _with_classes(
+    in_units: DataFrame, classes: DataFrame, work, schema: str, learned: bool, **columns: Column
+) -> DataFrame:
     """``work`` on the texts of each chunk and its units with their class, -1 where they have none."""
     # Both sides are the same table: the units get columns of their own.
     own = [F.col(c).alias(c) for c in ("chunk", "place", "unit", "seen")]
     units = in_units.filter("unit IS NOT NULL").select(*own)
-    units = units.join(classes, "unit", "left").withColumn("cls", F.coalesce("cls", F.lit(-1)))
+    units = units.join(small(classes), "unit", "left").withColumn("cls", F.coalesce("cls", F.lit(-1)))
     texts = in_units.filter("ids IS NOT NULL" + (" AND NOT held" if learned else ""))
-    return texts.groupBy("chunk").cogroup(units.groupBy("chunk")).applyInArrow(work, schema)
+    return texts.groupBy("chunk").cogroup(units.withColumns(columns).groupBy("chunk")).applyInArrow(work, schema)
 
 
-def _transitions(contexts: DataFrame, classes: DataFrame, k: int) -> np.ndarray:
-    """Class pairs ``[before, class]``, at most ``k`` squared rows."""
-    cells = contexts.filter(F.col("at") < k).join(classes, "unit").groupBy("at", "cls").agg(F.sum("n").alias("n"))
-    pairs = np.zeros((k, k))
-    for r in cells.collect():
-        pairs[r.at, r.cls] = r.n
-    return pairs
+def _pairs(counts: DataFrame, k: int) -> np.ndarray:
+    """Class pairs ``[before, class]``: ``k`` squared rows at most."""
+    pairs = np.zeros(k * k)
+    for r in counts.filter("unit IS NULL").collect():
+        pairs[r.at] = r.n
+    return pairs.reshape(k, k)
 
 
 def exchange_scores(pairs: np.ndarray) -> np.ndarray:
-    """What one neighbour adds to the likelihood of a unit, per class: rows are the ``at`` of ``_contexts``.
+    """What one neighbour adds to the likelihood of a unit, per class: rows are the ``at`` of a unit's neighbours.
 
     The pointwise mutual information of two classes, with half an expected pair added.
     """
@@ -289,27 +303,26 @@ def exchange_scores(pairs: np.ndarray) -> np.ndarray:
     return np.vstack([together, together.T])
 
 
-def _moved(contexts: DataFrame, classes: DataFrame, scores: np.ndarray, may_move: Column) -> DataFrame:
-    """``(unit, cls)`` with each unit that may move in its best class; units without neighbours in classes stay."""
-    k = scores.shape[1]
-    rows = contexts.groupBy("unit").agg(F.collect_list(F.struct("at", "n")).alias("near"))  # 2 k entries at most
+def _moved(counts: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """``classes`` with each unit that has neighbours in ``counts`` in its best class, written."""
+    scores = exchange_scores(_pairs(counts, k))
+    near = counts.filter("unit IS NOT NULL").groupBy("unit")
+    near = near.agg(F.collect_list(F.struct("at", "n")).alias("near"))  # 2 k entries at most
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = batch.column(2)
+            near = batch.column(1)
             at, n = near.flatten().flatten()
             row = np.repeat(np.arange(len(near)), near.value_lengths().to_numpy())
             counts = np.zeros((len(near), 2 * k))
             counts[row, at.to_numpy()] = n.to_numpy()
             fit = np.round(counts @ scores, 6)[:, 1:]  # class 0 is the end's
             best = pa.array(fit.argmax(axis=1).astype(np.int32) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), best], ["unit", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), best], ["unit", "best"])
 
-    may = classes.filter(may_move)
-    moving = may.join(rows, "unit").select("unit", "cls", "near").mapInArrow(choose, "unit long, cls int")
-    return classes.withColumnRenamed("cls", "old").join(moving, "unit", "left").select(
-        "unit", F.coalesce("cls", "old").alias("cls")
-    )
+    best = near.mapInArrow(choose, "unit long, best int")
+    found = classes.join(best, "unit", "left").select("unit", F.coalesce("best", "cls").alias("cls"))
+    return materialize(found, "classes")
 
 
 @dataclass
@@ -342,47 +355,29 @@ class Model:
         return int(self.types[1:].argmax()) + 1
 
 
-def _learn(in_units: DataFrame, counted: DataFrame, totals: Totals, k: int, sweeps: int) -> Model:
+def _units(counted: DataFrame) -> DataFrame:
+    """``(unit, n, types)``: tokens and distinct words of each unit."""
+    words = counted.filter("first AND c > 0").groupBy("unit")
+    return materialize(words.agg(F.sum("c").alias("n"), F.count("*").alias("types")), "units")
+
+
+def _learn(in_units: DataFrame, units: DataFrame, totals: Totals, k: int, sweeps: int) -> Model:
     spark = in_units.sparkSession
-    units = counted.filter("first AND c > 0").groupBy("unit").agg(F.sum("c").alias("n"), F.count("*").alias("types"))
-    units = materialize(units, "units")
     seeds = units.orderBy(F.desc("n"), "unit").limit(k - 1).collect()
     end = spark.range(1).select(_end_unit().alias("unit")).first().unit
     fixed = [(r.unit, i + 1) for i, r in enumerate(seeds)] + [(end, 0)]
     fixed = spark.createDataFrame(fixed, "unit long, cls int")
-    contexts = materialize(_contexts(in_units, F.broadcast(fixed), k), "contexts")
-    scores = exchange_scores(_transitions(contexts, F.broadcast(fixed), k))
-    spread = F.pmod("unit", F.lit(k - 1)).cast("int") + 1
+    spread = F.pmod("unit", F.lit(k - 1)).cast("int") + 1  # for units that never stand beside a seed
     others = units.select("unit").join(F.broadcast(fixed), "unit", "left_anti").select("unit", spread.alias("cls"))
-    classes = materialize(_moved(contexts, others, scores, F.lit(True)).unionByName(fixed), "classes")
+    classes = _moved(_counts(in_units, fixed, k, F.col("cls") < 0), others.unionByName(fixed), k)
     for sweep in range(sweeps):
-        contexts = materialize(_contexts(in_units, classes, k), "contexts")
-        scores = exchange_scores(_transitions(contexts, classes, k))
-        may = (F.pmod("unit", F.lit(PARTS)) == sweep % PARTS) & (F.col("cls") > 0)
-        classes = materialize(_moved(contexts, classes, scores, may), "classes")
+        may_move = (F.pmod("unit", F.lit(PARTS)) == sweep % PARTS) & (F.col("cls") > 0)
+        classes = _moved(_counts(in_units, classes, k, may_move), classes, k)
     counts, types = np.zeros(k), np.zeros(k)
     for r in units.join(classes, "unit").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("types").alias("t")).collect():
         counts[r.cls], types[r.cls] = r.n, r.t
     counts[0] = totals.ends
-    return Model(classes, totals, _class_pairs(in_units, classes, k), counts, types)
-
-
-def _class_pairs(in_units: DataFrame, classes: DataFrame, k: int) -> np.ndarray:
-    def count(texts: pa.Table, units: pa.Table) -> pa.Table:
-        cls = np.zeros(len(units), np.int64)
-        cls[units["place"].to_numpy()] = units["cls"].to_numpy()
-        pairs = np.zeros(k * k, np.int64)
-        for packed in texts["ids"]:
-            c = np.concatenate([[0], cls[_wide(packed.as_py())], [0]])
-            np.add.at(pairs, c[:-1] * k + c[1:], 1)
-        at = np.flatnonzero(pairs)
-        return pa.table({"at": pa.array(at, pa.int32()), "n": pa.array(pairs[at], pa.int64())})
-
-    found = _with_classes(in_units, classes, count, "at int, n long", learned=True)
-    pairs = np.zeros(k * k)
-    for r in found.groupBy("at").agg(F.sum("n").alias("n")).collect():
-        pairs[r.at] = r.n
-    return pairs.reshape(k, k)
+    return Model(classes, totals, _pairs(_counts(in_units, classes, k, None), k), counts, types)
 
 
 # Scores
@@ -427,8 +422,11 @@ def fit_and_score(
     numbered = _numbered(rows, chunk_bytes)
     counted = _counted(numbered, least_count)
     totals = _totals(numbered, counted)
+    units = _units(counted)
     in_units = _in_units(numbered, counted, totals)
-    model = _learn(in_units, counted, totals, classes, sweeps)
+    for done in (numbered, counted):
+        remove(done)
+    model = _learn(in_units, units, totals, classes, sweeps)
     found = _scored(in_units, model).withColumnRenamed("held", "held_out")
     return found.withColumnRenamed("key", key if key != "held_out" else free_name(found, key)), model
 

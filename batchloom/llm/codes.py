@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import materialize, named, table
+from batchloom.llm.common import materialize, named, remove, table
 from batchloom.operators.spread import lookup_join
 
 PARTS = 4
@@ -270,13 +270,6 @@ def _means(assigned: DataFrame, books: Codebooks) -> np.ndarray:
     return entries
 
 
-def _remove(spark: SparkSession, frame: DataFrame) -> None:
-    """Delete the files of a written table that nothing reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def train_codes(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
     parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE,
@@ -288,7 +281,6 @@ def train_codes(
     by vector. Parts are equal: where the length is no multiple of ``parts``, the last one is filled up with zeros.
     Components beyond ``most`` once scaled (8,192 for 16 components a part) are refused: their distances would not be exact.
     """
-    spark = vectors.sparkSession
     rows = scaled(vectors.select(named(key).alias("id"), named(label).alias("label"), named(vector).alias("x")), "x", scale)
     rows = rows.filter(F.size("v") > 0).select("id", "label", "v")
     first = rows.orderBy(F.col("id").asc_nulls_last(), "v").limit(entries)
@@ -309,7 +301,7 @@ def train_codes(
     for _ in range(rounds):
         books.history.append(_means(assigned, books))
         before, assigned = assigned, _assigned(assigned.drop("error"), books, "codes")
-        _remove(spark, before)
+        remove(before)
     return assigned, books
 
 

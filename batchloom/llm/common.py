@@ -26,13 +26,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy, which no lost executor can take away."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(written: DataFrame) -> None:
+    """Delete the files of a ``materialize`` that no frame reads any more."""
+    spark = written.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}
