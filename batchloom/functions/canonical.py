@@ -34,7 +34,7 @@ def _numbers_by_value(text: str) -> str:
     spelled = f"array_join(transform({pieces}, n -> CASE WHEN n RLIKE '^-?[0-9]' THEN {one} ELSE n END), '')"
     parts = f"regexp_extract_all(t, '{JSON_PARTS}', 0)"
     joined = f"array_join(transform({parts}, p -> CASE WHEN startswith(p, '\"') THEN p ELSE {spelled} END), '')"
-    odd = "t RLIKE '[0-9][.eE]|[0-9]{19}'"
+    odd = "(t RLIKE '[0-9][.eE]' OR t RLIKE '[0-9]{19}')"
     # ``transform`` over one element names the text, so that it is not worked out again at each use.
     return f"transform(array({text}), t -> CASE WHEN {odd} THEN {joined} ELSE t END)[0]"
 

@@ -75,10 +75,30 @@ def has_infinite_number(text: str) -> str:
     parts = f"filter(regexp_extract_all({text}, '{JSON_PARTS}', 0), p -> NOT startswith(p, '\"'))"
     numbers = f"flatten(transform({parts}, p -> regexp_extract_all(p, '{_NUMBER}', 0)))"
     # Only a long exponent or a very long number can be out of range; nearly no text holds one.
-    possible = f"{text} RLIKE '[eE][+]?[0-9]{{3}}|[0-9]{{300}}'"
+    possible = f"({text} RLIKE '[eE][+]?[0-9]{{3}}' OR {text} RLIKE '[0-9]{{300}}')"
     return f"({possible} AND exists({numbers}, n -> abs(try_cast(n AS double)) = double('Infinity')))"
 
 
+def may_need_folding(text: str) -> str:
+    """True when the text may hold a known key in other letters; without one, keys can be taken as they are.
+
+    Such a key has a capital and letters up to its closing quote, or an escape; the first test is quick and rarely true.
+    """
+    keys = "|".join(["batch_id", "events", *[key for key, _, _ in EVENT_FIELDS]])
+    capital = f"{text} RLIKE '[A-Z][A-Za-z_]*+\"\\\\s*+:' AND {text} RLIKE '\"(?=[a-z_]*[A-Z])(?i:{keys})\"'"
+    return f"(({capital}) OR contains({text}, '\\\\u00'))"
+
+
+def plain_events(value: str) -> str:
+    """The raw values of the known keys of all events of an array, spelled as they are known.
+
+    NULL where it is no array, or one with other elements than objects.
+    """
+    kinds = ",".join(f"{key}:variant" for key, _, _ in EVENT_FIELDS)
+    events = f"try_variant_get({value}, '$', 'array<struct<{kinds}>>')"
+    return f"CASE WHEN NOT exists({events}, e -> e IS NULL) THEN {events} END"
+
+
 def fold_keys(fields: str) -> str:
     return f"transform_keys({fields}, (key, value) -> lower(key))"
 

@@ -43,8 +43,9 @@ def decode_batches(messages: DataFrame, text: str = "payload", strict: bool = Fa
             "_raw_id": F.expr("try_element_at(_fields, 'batch_id')"),
             "_raw_events": F.expr("try_element_at(_fields, 'events')"),
         })
-        .withColumn("_elements", F.expr(element_fields))
-        .withColumn("_elements", F.expr(picked))
+        .withColumn("_plain", F.expr(f"CASE WHEN NOT {J.may_need_folding(text)} THEN {J.plain_events('_raw_events')} END"))
+        .withColumn("_elements", F.expr(f"CASE WHEN _plain IS NULL THEN {element_fields} END"))
+        .withColumn("_elements", F.expr(f"coalesce(_plain, {picked})"))
         .withColumn("_error", F.expr(f"CASE WHEN {failed} THEN '{S.INVALID_JSON}' END"))
     )
     columns = {

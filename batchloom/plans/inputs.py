@@ -170,6 +170,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One delivery or acknowledgement per source event, a message for every user and day."""
+    ms = epoch_millis(F.col("ts"))
+    return source_events(spark, sf_dir).select(
+        F.concat_ws("-", F.lit("m"), F.col("user_id").cast("string"), F.floor(ms / 86_400_000).cast("string")).alias("message_id"),
+        _text("worker-", F.col("event_id") % 12).alias("consumer"),
+        F.when(F.col("event_type").isin("purchase", "error"), "acknowledged").otherwise("delivered").alias("kind"),
+        # Times by the minute, so that some are equal and some leases end just when they could be claimed.
+        (F.floor(ms / 60_000) * 60_000).alias("at_ms"),
+    )
+
+
 def worker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per source event, as ``run_id, value``: errors name no worker, purchases have no time."""
     kind = F.col("event_type")

@@ -135,6 +135,25 @@ _RAW_EVENT = """message_id, batch_id, CAST(pos AS INTEGER) AS event_index, coale
   coalesce(properties, 'null') AS properties, coalesce(context, 'null') AS context,
   CAST(0 AS BIGINT) AS received_at_ms"""
 
+# The derived delivery log and its leases.
+_LEASES = """
+log AS (
+  SELECT 'm-' || user_id || '-' || (epoch_us(ts) // 86400000000) AS message_id, 'worker-' || (event_id % 12) AS consumer,
+    event_type IN ('purchase', 'error') AS ack, epoch_us(ts) // 60000000 * 60000 AS at_ms FROM events
+),
+following AS (
+  SELECT *, min(at_ms) FILTER (WHERE NOT ack) OVER later AS delivered, min(at_ms) FILTER (WHERE ack) OVER later AS acked
+  FROM log WINDOW later AS (PARTITION BY message_id ORDER BY at_ms, ack, consumer
+    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+),
+leases AS (
+  SELECT message_id, consumer, at_ms AS delivered_ms, least(delivered, acked) AS ended_ms,
+    CASE WHEN acked <= coalesce(delivered, acked) THEN 'acknowledged' WHEN delivered IS NOT NULL THEN 'claimed' END AS ended_by,
+    CASE WHEN coalesce(least(delivered, acked) >= at_ms + 60000, true) THEN at_ms + 60000 END AS claimable_ms,
+    coalesce(delivered < coalesce(acked, delivered + 1) AND delivered < at_ms + 60000, false) AS early
+  FROM following WHERE NOT ack
+)"""
+
 # The derived requests, log lines and runs.
 _REQUESTS = """
 requests AS (
@@ -349,6 +368,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN g IN (2, 3, 6, 8) THEN NULL ELSE coalesce(properties, 'null') END AS properties,
         g = 6 AS bad_properties FROM (SELECT *, event_id % 11 AS g FROM wire) AS grouped""",
     "ingest_stream": _STORED,
+    "lease_timeline": f"WITH {_LEASES} SELECT * FROM leases",
+    "claimable_messages": f"""WITH {_LEASES} SELECT message_id, consumer, delivered_ms, claimable_ms FROM leases
+        WHERE claimable_ms <= {R.CLAIM_MS} AND (ended_ms IS NULL OR ended_ms > {R.CLAIM_MS})""",
     "stream_first_writer": f"""WITH {_STATUS} SELECT message_id, batch_id,
         CASE WHEN {_GROUP} = 0 THEN 'duplicate' WHEN {_GROUP} = 5 THEN 'conflict' ELSE status END AS status FROM tagged""",
     "replay_recovery": _STORED,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from batchloom.functions import display, fields
 from batchloom.functions.canonical import canonical_batch_json
 from batchloom.functions.contains import json_contains
-from batchloom.operators import decode, ledger, lookups, runs, validate
+from batchloom.operators import decode, leases, ledger, lookups, runs, validate
 from batchloom.plans import inputs
 from batchloom.plans.workspace import Workspace, workspace
 from batchloom.sources import reports, synth, worker_log
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 # Parameters of the lookups.
 PROJECT, NAME, ORG, FUNNEL, USER, BATCH_ID = "project_1", "click", "org_1", "signup_funnel", "7", "b7"
 START_MS, END_MS = 1_704_240_000_000, 1_705_500_000_000
+CLAIM_MS = 1_704_672_000_000
 SINCE = "2024-01-10 00:00:00.5"
 LIMIT = 25
 
@@ -510,6 +511,17 @@ def _(ws):
     return raw.select("event_id", *columns)
 
 
+@query("lease_timeline")
+def _(ws):
+    return leases.lease_timeline(inputs.delivery_log(ws.spark, ws.sf_dir))
+
+
+@query("claimable_messages")
+def _(ws):
+    timeline = leases.lease_timeline(inputs.delivery_log(ws.spark, ws.sf_dir))
+    return leases.claimable_at(timeline, CLAIM_MS).select("message_id", "consumer", "delivered_ms", "claimable_ms")
+
+
 # Streaming
 
 

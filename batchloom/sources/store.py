@@ -45,6 +45,8 @@ _PLACED = {
 }
 #: Rows of a part of a file of events, as a power of two; row groups hold whole parts but for their ends.
 PART_BITS = 13
+#: Slices of a cell that are sorted and written apart.
+SLICES = 16
 #: Parts that a lookup by postings names one by one; beyond that they are joined.
 MOST_PARTS = 1_000
 #: Buckets of a new store's ledger; an existing store keeps its own number.
@@ -203,7 +205,9 @@ class EventStore:
         Bloom filters skip row groups without a batch, user, funnel or organization that is asked for.
         """
         placed = rows.withColumns({"event_day": event_day(F.col("timestamp_ms")), "cell": cell()})
-        dealt = placed.hint("rebalance", F.col("event_day"), F.col("cell"))
+        # A cell may hold most events, so each is cut into slices; a batch stays in one.
+        sliced = placed.withColumn("slice", F.pmod(F.xxhash64("batch_id"), F.lit(SLICES)))
+        dealt = sliced.hint("rebalance", F.col("event_day"), F.col("cell"), F.col("slice")).drop("slice")
         order = ["event_day", "cell", "project_id", "name", "timestamp_ms"]
         part = F.shiftright(F.monotonically_increasing_id(), PART_BITS)
         ordered = dealt.sortWithinPartitions(*order).withColumn("part", part)
