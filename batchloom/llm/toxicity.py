@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from batchloom.llm.common import free_name, materialize, named, table
+from batchloom.llm.common import free_name, materialize, named, small, table
 
 #: Labelled rows that fitting reads, at most, chosen by hash of the key.
 SAMPLE = 16_000
@@ -220,18 +220,25 @@ class Model:
     constant: float = 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents, chosen by hash of the key; ``labels`` must be training rows only.
-
-    Null labels and keys are no labels; a key labelled more than once has its mean, rounded. Without labels of both
-    classes the score is constant: the share of ones, 0 without any.
-    """
+def sample_of(docs: DataFrame, labels: DataFrame, key: str, label: str, sample: int) -> DataFrame:
+    """``(_key, label, text)`` of at most ``sample`` labelled keys, one row each: that of the smallest hash of its text."""
     known = labels.filter(named(key).isNotNull() & named(label).isNotNull()).groupBy(named(key).alias("_key"))
     known = known.agg(F.round(F.avg(named(label))).cast("int").alias("label"))
     texts = docs.select(named(key).alias("_key"), F.col("text"))
     order = F.xxhash64(F.col("_key").cast("string"))
     chosen = texts.select("_key").distinct().join(known, "_key").orderBy(order, "_key").limit(sample)
-    rows = materialize(texts.join(F.broadcast(chosen), "_key"), "labelled")  # bounded by ``sample`` thin rows
+    known = texts.join(small(chosen), "_key").groupBy("_key", "label")
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    return materialize(known.agg(text.alias("text")), "labelled")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
+    """Fit on at most ``sample`` labelled documents, chosen by hash of the key; ``labels`` must be training rows only.
+
+    Null labels and keys are no labels; a key labelled more than once has its mean, rounded, and of several rows with
+    one key one is read. Without labels of both classes the score is constant: the share of ones, 0 without any.
+    """
+    rows = sample_of(docs, labels, key, label, sample)
     whole = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if not whole.get(0) or not whole.get(1):
         return Model({}, constant=1.0 if whole.get(1) else 0.0)
@@ -246,7 +253,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         fit.orderBy("_key").coalesce(4)
     )
     margin = trees.transform(check).select("label", _chance(trees).alias("features"))
-    curve = IsotonicRegression().fit(margin)
+    # Copies share a margin: one weighted row for each, so that they are not dealt to one task.
+    margin = margin.groupBy("features").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("rows"))
+    curve = IsotonicRegression(weightCol="rows").fit(margin)
     return Model(lexicon, trees, list(zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist())))
 
 

@@ -47,6 +47,17 @@ def test_features():
     assert not maker.features(None).any() and not maker.features(" \n").any()
 
 
+def test_the_sample_is_bounded_in_rows(spark, docs_of):
+    """One key holds most rows, some of them copies; it counts once, whatever the order of rows."""
+    rows = [(7, f"text {i % 900}", "en", "a", 1) for i in range(2_500)] + [(i, f"w{i}", "en", "a", 1) for i in range(8, 300)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    found = X.sample_of(docs_of(rows), labels, "doc_id", "toxic", 100).collect()
+    assert len(found) == len({r["_key"] for r in found}) == 100
+    again = X.sample_of(docs_of(rows[::-1]).repartition(7), labels, "doc_id", "toxic", 100).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    assert X.sample_of(docs_of(rows), labels, "doc_id", "toxic", 10_000).count() == 293
+
+
 def test_constant_without_both_labels(spark, docs_of):
     rows, _ = _docs(5)
     none = X.train(docs_of(rows), spark.createDataFrame([], "doc_id long, toxic int"))
