@@ -69,6 +69,23 @@ def events_by_batch(events: DataFrame) -> DataFrame:
     )
 
 
+_DAILY = ["project_id", "name", "event_day"]
+
+
+def daily_counts(events: DataFrame) -> DataFrame:
+    """Events, and their first and last time, per project, name and day; see ``layout`` for days out of range."""
+    return events.groupBy(*_DAILY).agg(
+        F.count("*").alias("events"), F.min("timestamp_ms").alias("first_ms"), F.max("timestamp_ms").alias("last_ms")
+    )
+
+
+def merged_counts(counts: DataFrame) -> DataFrame:
+    """``daily_counts`` of several sets of events that have none in common, put together."""
+    return counts.groupBy(*_DAILY).agg(
+        F.sum("events").alias("events"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms")
+    )
+
+
 def stored_counts(ledger: DataFrame, events: DataFrame) -> DataFrame:
     """Number of ledger rows and of events per batch id, for ids in either table."""
     rows = ledger.select("batch_id", F.lit(1).alias("b"), F.lit(0).alias("e")).unionByName(

@@ -326,6 +326,8 @@ ORACLES: dict[str, str] = {
         SELECT message_id, batch_id, total_events, valid_events, invalid_events, reason FROM summary""",
     "stored_counts": f"""WITH {_STATUS} SELECT batch_id, CAST(1 AS BIGINT) AS batches, count(*) AS events
         FROM stored GROUP BY batch_id""",
+    "daily_event_counts": f"""WITH {_STATUS} SELECT project_id, name, CAST(timestamp_ms // 86400000 AS INTEGER) AS event_day,
+        count(*) AS events, min(timestamp_ms) AS first_ms, max(timestamp_ms) AS last_ms FROM stored GROUP BY ALL""",
     "status_code_counts": f"""WITH {_REQUESTS} SELECT run_id, status, count(*) AS n FROM requests
         WHERE status IS NOT NULL GROUP BY run_id, status""",
     "request_outcomes": f"WITH {_REQUESTS}, {_OUTCOMES} SELECT * FROM outcomes",

@@ -339,6 +339,12 @@ def _(ws):
     return lookups.stored_counts(ws.table("batches"), ws.table("events"))
 
 
+@query("daily_event_counts")
+def _(ws):
+    """Counts merged from those of each of two epochs, the second of which brought copies and nothing else."""
+    return ws.rolled_up.read_daily(ws.spark)
+
+
 @query("status_code_counts")
 def _(ws):
     return runs.status_code_counts(ws.requests)

@@ -67,6 +67,11 @@ class Workspace:
         self.store.index(self.spark)
         return self.store
 
+    @functools.cached_property
+    def rolled_up(self) -> EventStore:
+        self.twice_written.roll_up(self.spark)
+        return self.twice_written
+
     @functools.cached_property
     def twice_written(self) -> EventStore:
         """Two epochs with the same messages, and a third that broke off before its commit."""

@@ -17,15 +17,17 @@ epoch 0 is not taken for one already done.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom import schemas as S
 from batchloom.functions.contains import json_contains
 from batchloom.operators.layout import bucket, cell, event_day
+from batchloom.operators.lookups import daily_counts, merged_counts
 from batchloom.operators.postings import PART, in_parts, matching_parts, postings
 
 TABLES = {
@@ -225,44 +227,82 @@ class EventStore:
         rows = rows.withColumns({**keys, "part": bucket(F.col("batch_id"), buckets)})
         rows.hint("rebalance", F.col("part")).write.insertInto(name)
 
-    # Postings of the properties
+    # Tables made from the events afterwards: postings of the properties, daily counts
 
-    def index(self, spark: SparkSession) -> None:
-        """Write the postings of all committed epochs that have none yet; lookups read the others without."""
-        done, snapshot = self._marks(spark, "indexed"), self.snapshot(spark)
+    def _derive(self, spark: SparkSession, kind: str, build: Callable[[DataFrame], DataFrame]) -> None:
+        """Write what ``build`` makes of the committed epochs that ``kind`` does not cover yet, stream by stream.
+
+        A try that breaks off is replaced by the next one, since the marker comes last.
+        """
+        done, snapshot = self._marks(spark, f"{kind}-done"), self.snapshot(spark)
         for stream, (first, last) in snapshot.items():
             start = max(first, done.get(stream, (first, first - 1))[1] + 1)
             if start > last:
                 continue
             own = (F.col("stream") == stream) & F.col("epoch").between(start, last)
-            found = postings(self._committed(spark, "events", snapshot).filter(own)).drop("stream")
+            made = build(self._committed(spark, "events", snapshot).filter(own))
+            made.write.mode("overwrite").parquet(f"{self.path(kind)}/stream={stream}/start={start}")
+            self._mark(spark, f"{kind}-done", stream, (first, last))
+
+    def _derived(self, spark: SparkSession, kind: str, fields: list[T.StructField], done: Snapshot) -> DataFrame:
+        """What ``_derive`` wrote; folders beyond the marker come from a try that broke off."""
+        schema = T.StructType([*fields, T.StructField("stream", T.StringType()), T.StructField("start", T.LongType())])
+        whole = F.lit(False)
+        for stream, (_, last) in done.items():
+            whole = whole | ((F.col("stream") == stream) & (F.col("start") <= last))
+        return spark.read.schema(schema).parquet(self.path(kind)).filter(whole)
+
+    def _covered(self, snapshot: Snapshot, done: Snapshot) -> tuple[Column, bool]:
+        """Predicate over rows of epochs that a derived table covers, and whether all committed ones are."""
+        covered, whole = F.lit(False), True
+        for stream, (first, last) in snapshot.items():
+            end = done.get(stream, (first, first - 1))[1]
+            covered = covered | ((F.col("stream") == stream) & F.col("epoch").between(first, end))
+            whole = whole and end >= last
+        return covered, whole
+
+    def roll_up(self, spark: SparkSession) -> None:
+        """Write the daily counts of all committed epochs that have none yet; reads count the others as they are."""
+        self._derive(spark, "daily", daily_counts)
+
+    def read_daily(self, spark: SparkSession) -> DataFrame:
+        """``daily_counts`` of all committed events: of rolled-up epochs a few rows are read instead of their events."""
+        snapshot, done = self.snapshot(spark), self._marks(spark, "daily-done")
+        covered, whole = self._covered(snapshot, done)
+        events = self._committed(spark, "events", snapshot)
+        if not done:
+            return daily_counts(events)
+        schema = daily_counts(events).schema
+        counted = self._derived(spark, "daily", schema.fields, done).select(*schema.fieldNames())
+        return merged_counts(counted if whole else counted.unionByName(daily_counts(events.filter(~covered))))
+
+    def index(self, spark: SparkSession) -> None:
+        """Write the postings of all committed epochs that have none yet; lookups read the others without."""
+
+        def build(events: DataFrame) -> DataFrame:
             # Terms are hashes, so their first bits deal them evenly; sorted, a lookup reads the row groups of its terms.
-            dealt = found.withColumn("slice", F.shiftright("term", 58)).hint("rebalance", F.col("slice")).drop("slice")
-            dealt.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path('postings')}/stream={stream}/start={start}")
-            self._mark(spark, "indexed", stream, (first, last))
+            found = postings(events).drop("stream").withColumn("slice", F.shiftright("term", 58))
+            return found.hint("rebalance", F.col("slice")).drop("slice").sortWithinPartitions("term")
+
+        self._derive(spark, "postings", build)
 
     def find(self, spark: SparkSession, pattern) -> DataFrame:
         """Events whose properties contain ``pattern``; of the indexed epochs only the parts that may hold one are read."""
-        snapshot, indexed = self.snapshot(spark), self._marks(spark, "indexed")
+        snapshot, indexed = self.snapshot(spark), self._marks(spark, "postings-done")
         events = self._committed(spark, "events", snapshot)
         parts = None
         if indexed:
             fields = [T.StructField("epoch", T.LongType()), T.StructField("event_day", T.IntegerType())]
             fields += [T.StructField(n, T.LongType()) for n in ("part", "term")]
-            fields += [T.StructField("stream", T.StringType()), T.StructField("start", T.LongType())]
-            parts = matching_parts(spark.read.schema(T.StructType(fields)).parquet(self.path("postings")), pattern)
+            parts = matching_parts(self._derived(spark, "postings", fields, indexed), pattern)
         if parts is not None:
-            covered, new = F.lit(False), False
-            for stream, (first, last) in snapshot.items():
-                done = indexed.get(stream, (first, first - 1))[1]
-                covered = covered | ((F.col("stream") == stream) & F.col("epoch").between(first, done))
-                new = new or done < last
+            covered, whole = self._covered(snapshot, indexed)
             listed = parts.limit(MOST_PARTS + 1).collect()
             if len(listed) <= MOST_PARTS:
                 found = events.filter(in_parts(listed))
             else:
                 found = events.join(parts, PART, "left_semi")
-            events = found.unionByName(events.filter(~covered)) if new else found
+            events = found if whole else found.unionByName(events.filter(~covered))
         return events.filter(json_contains(F.col("properties"), pattern)).drop("stream", "epoch")
 
     def rewrite(self, spark: SparkSession, root: str) -> EventStore:

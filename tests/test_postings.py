@@ -91,6 +91,22 @@ def _rows(frame):
     return sorted((r.batch_id, r.event_index, r.p) for r in frame.select("batch_id", "event_index", F.to_json("properties").alias("p")).collect())
 
 
+def test_a_broken_off_index_changes_nothing(spark, tmp_path, monkeypatch):
+    store = EventStore(str(tmp_path / "store")).create(spark)
+    for epoch in range(3):
+        process_epoch(store, messages(spark, [batch(f"b{epoch}", event(properties={"a": 1}), event(properties={"a": 2}))]), epoch)
+        if epoch == 0:
+            store.index(spark)
+        if epoch == 1:
+            with monkeypatch.context() as patch:
+                patch.setattr(store_module.EventStore, "_mark", lambda *_: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    store.index(spark)
+        assert sorted(r.batch_id for r in store.find(spark, {"a": 2}).collect()) == [f"b{e}" for e in range(epoch + 1)]
+    store.index(spark)
+    assert store.find(spark, {"a": 2}).count() == 3
+
+
 @pytest.mark.parametrize("most_parts", [1_000, 0])
 def test_same_rows_with_and_without(spark, stores, monkeypatch, most_parts):
     monkeypatch.setattr(store_module, "MOST_PARTS", most_parts)
