@@ -140,6 +140,14 @@ def test_one_shuffle_serves_both_uses_of_the_contents(spark):
     assert "ReusedExchange" in _plan(verdicts)
 
 
+@pytest.mark.parametrize("name", ["new_batches", "batch_conflicts", "batch_redeliveries", "stream_first_writer"])
+def test_verdicts_need_no_ingested_store(spark, name):
+    made = workspace(spark, "/root/testdata/sf0.001")
+    made.__dict__.pop("store", None)
+    entry_module.queries()[name](spark, made.sf_dir)
+    assert "store" not in made.__dict__
+
+
 def test_shared_folder():
     named = {"spark.checkpoint.dir": "/shared/x/"}
     assert session.shared_dir(types.SimpleNamespace(conf=named)) == "/shared/x"
