@@ -204,3 +204,16 @@ def test_kafka_records(spark):
         "TIMESTAMP '1970-01-01 00:00:01' AS timestamp"
     )
     assert [tuple(r) for r in kafka_messages(raw).collect()] == [("3-7", 7, "b", "{}")]
+
+
+def test_ids_are_no_exponents(spark):
+    """Only a digit can have an exponent: ids of a letter and a number do not cost a search for numbers."""
+    texts = {
+        '{"id":"e123456"}': False, '{"id":"type1234","x":1e30}': False, "[1e400]": True, "[-1.5E+999]": True, '["7e123"]': True,
+        "[" + "1" * 310 + "]": True,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        "t", f"{J.may_hold_infinite_number('t')} AS may", f"{J.has_infinite_number('t')} AS found"
+    ).collect()
+    assert {r.t: r.may for r in rows} == texts
+    assert {r.t: r.found for r in rows} == {t: may and '"' not in t for t, may in texts.items()}
