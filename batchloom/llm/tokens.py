@@ -9,6 +9,7 @@ the key, the shard and the offsets. A lookup reads one bucket, one seed and one
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,12 @@ BLOCK_DOCS = 1 << 13
 #: Keys of an index bucket on average, and of a displacement group.
 BUCKET_KEYS = 4096
 GROUP_KEYS = 2
+#: Bytes of texts that are encoded at a time, about.
+LOT_BYTES = 2 << 20
 #: Words whose ids a worker keeps.
 MEMO_WORDS = 400_000
+#: Marks that the tokenizer cuts off the letter or digit before them.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Words may be encoded one by one where single spaces and line ends stand between other characters, and only characters
 # whose classes no version of Unicode has changed. Other texts are encoded whole.
@@ -56,8 +62,9 @@ class Encoder:
 
     A byte-level BPE of this kind never merges across a single space or line end, so the ids of a text are those of
     its words, each with the space or line end before it. Ids of words are kept; new words are encoded many at a time
-    and cut where a token begins with the space or line end. ``encode_batch`` of the tokenizers library gives the same
-    ids, more slowly.
+    and cut where a token begins with the space or line end. Nor does it merge a letter or digit with a mark after it:
+    a new word that ends in marks has the ids of the word without them and those of the marks. ``encode_batch`` of the
+    tokenizers library gives the same ids, more slowly.
     """
 
     def __init__(self, path: str):
@@ -69,6 +76,9 @@ class Encoder:
         for token, i in vocabulary.items():
             self.opens[i] = token[0] in "ĠĊ"  # how the vocabulary spells a space and a line end
         self.memo: dict[str, bytes] = {}
+        before, n = self.tokenizer.pre_tokenizer, len(_MARKS)
+        cuts = [at for _, at in before.pre_tokenize_str(f"a{_MARKS} 1{_MARKS}")] if before else []
+        self.cuts_marks = cuts == [(0, 1), (1, n + 1), (n + 1, n + 3), (n + 3, 2 * n + 3)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -90,32 +100,49 @@ class Encoder:
                 learnt.update((w, raw[4 * a : 4 * b]) for (w, _), a, b in zip(lot, cuts.tolist(), ends))
         return learnt
 
+    def _stem(self, word: str) -> str:
+        """``word`` without the marks that it ends in, if a letter or digit is before them."""
+        stem = word.rstrip(_MARKS)
+        return stem if stem and self.cuts_marks and stem[-1].isalnum() else word
+
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, as ``_learn`` has them."""
+        memo = self.memo
+        found = list(map(memo.get, words))
+        new = [(i, word, self._stem(word)) for i, word in enumerate(words) if found[i] is None]
+        known = {stem: memo.get(stem) if len(stem) < len(word) else None for _, word, stem in new}
+        known.update(self._learn([stem for stem, ids in known.items() if ids is None]))
+        marks = list({word[len(stem) :] for _, word, stem in new})
+        marks = {m: ids.tobytes() for m, ids in zip(marks, self._ids(marks))}
+        for i, word, stem in new:
+            found[i] = known[stem] + marks[word[len(stem) :]]
+        if len(memo) < MEMO_WORDS:
+            memo.update(known)
+            memo.update((word, found[i]) for i, word, _ in new)
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " \n").split(" ") if _by_words(t) else [] for t in texts]
+        worded = [_by_words(t) for t in texts]
+        spaced = pa.array([t.replace("\n", " \n") for t, w in zip(texts, worded) if w], pa.large_string())
+        split = pc.split_pattern(spaced, " ")
+        words, starts = split.flatten().dictionary_encode(), split.offsets.to_numpy()
         # The first word has nothing before it: it is encoded as the head of its text.
-        heads = self._ids([words[0] if words else text for words, text in zip(split, texts)])
-        parts = [list(map(self.memo.get, words)) for words in split]
-        holes = []
-        for words, found in zip(split, parts):
-            if words:
-                found[0] = b""
-            at = 0
-            for _ in range(found.count(None)):
-                at = found.index(None, at)
-                holes.append((found, at, words[at]))
-                found[at] = b""
-        fresh = self._learn(list({word for _, _, word in holes}))
-        for found, at, word in holes:
-            found[at] = fresh[word]
-        if len(self.memo) < MEMO_WORDS:
-            self.memo.update(fresh)
-        return [head.tobytes() + b"".join(found) for head, found in zip(heads, parts)]
+        heads = iter(pc.list_element(split, 0).to_pylist())
+        heads = self._ids([next(heads) if w else text for text, w in zip(texts, worded)])
+        at, distinct = words.indices.to_numpy().copy(), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at[starts[:-1]] = len(distinct)
+        ids = pa.array([*self._ids_of_words(distinct), b""], pa.large_binary()).take(pa.array(at))
+        _, ends, raw = ids.buffers()
+        raw, cuts = memoryview(raw or b""), np.frombuffer(ends, np.int64)[starts].tolist()
+        rest = iter([raw[a:b] for a, b in zip(cuts, cuts[1:])])
+        return [head.tobytes() + next(rest) if w else head.tobytes() for head, w in zip(heads, worded)]
 
 
 def _encoder(path: str) -> Encoder:
     """One encoder per worker process; its memo serves all tasks of the process."""
     import tokenizers
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     kept = tokenizers.__dict__.setdefault("_encoders_of_this_process", {})
     if path not in kept:
         kept[path] = Encoder(path)
@@ -162,9 +189,12 @@ def _pack(path: str, end_id: int, key_type: pa.DataType | None):
 
         for batch in batches:
             keys = batch.column("_key").to_pylist()
-            for at in range(0, len(keys), 256):
-                texts = [t or "" for t in batch.column("_text").slice(at, 256).to_pylist()]
-                for key, ids in zip(keys[at : at + 256], encoder.encode(texts)):
+            column = batch.column("_text")
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            lots = np.unique(sizes // LOT_BYTES, return_index=True)[1].tolist()
+            for at, to in zip(lots, [*lots[1:], len(keys)]):
+                texts = [t or "" for t in column.slice(at, to - at).to_pylist()]
+                for key, ids in zip(keys[at:to], encoder.encode(texts)):
                     copy = copy + 1 if key == last else 0
                     last, n = key, len(ids) // 4 + 1
                     held.append((key, copy, first, n))

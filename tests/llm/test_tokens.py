@@ -35,6 +35,17 @@ def test_memo_is_bounded(monkeypatch):
         assert encoder.encode([text]) == [plain(text)]
 
 
+def test_words_are_learnt_once_whatever_marks_follow(monkeypatch):
+    encoder, learnt = K.Encoder(PATH), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: learnt.extend(words) or learn(words))
+    texts = ["x house don't Ünder 23 \nend", "x house, don't' Ünder... 23%\nend!? ... 's. '' \"house\" don't.", "  x house,", "house."]
+    for text in texts:
+        assert encoder.encode([text]) == [plain(text)]
+    assert encoder.encode(texts) == [plain(t) for t in texts]
+    assert len(learnt) == len(set(learnt)) and not {"house,", "don't.", "Ünder...", "23%", "\nend!?"} & set(learnt)
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 1000, 4096])
 def test_hash_is_minimal_and_perfect(n):
     draw = np.random.default_rng(n)
